@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import bpe, neardup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shuffled shards by the law ``key``, with the shard among 17."""
+    out = sharding.shuffled_shards(table(spark, sf_dir, "documents"), shards=16)
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    grown = sharding.shard_of(F.col("record.doc_id"), 17, 17)
+    return out.select(F.col("record.doc_id").alias("doc_id"), "size", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of all documents under the 50k byte-level ranks, as digests."""
+    import public_tokenizers
+
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents under the 50k byte-level tokenizer file."""
+    import public_tokenizers
+
+    return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op4_bpe_encode_decode, op10_token_counts)}
 
 
 #: Words as the operators take them, in DuckDB: A-Z as a-z, split at space and 0x09-0x0D.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, sharding
+from . import bpe, decontam, licenses, lines, neardup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record.doc_id").alias("doc_id"), "size", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 of 100 five-word shingles of a benchmark item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages freed of the lines that more than a tenth of the pages of their host contain."""
+    pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
+    out = lines.drop_boilerplate(pages, host_col="host", text_col="text")
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of all documents under the 50k byte-level ranks, as digests."""
     import public_tokenizers
@@ -44,12 +61,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op4_bpe_encode_decode, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_decontamination, op5_license_scan, op6_line_dedup, op4_bpe_encode_decode, op10_token_counts)}
 
 
 #: Words as the operators take them, in DuckDB: A-Z as a-z, split at space and 0x09-0x0D.
-SQL_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+SQL_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def sql_grams(k: int) -> str:
+    """The k-word sequences of w in their order."""
+    return f"list_transform(range(1, len(w) - {k - 2}), lambda x: array_to_string(w[x:x + {k - 1}], ' '))"
+
+
+OP3_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {SQL_WORDS} AS w FROM documents),
+items AS (SELECT DISTINCT item_id, {SQL_WORDS} AS w FROM benchmark),
+held AS (SELECT DISTINCT k, doc_id, unnest({sql_grams(5)}) AS s FROM docs),
+wanted AS (SELECT item_id, len(g) AS n, unnest(g) AS s FROM (SELECT item_id, list_distinct({sql_grams(5)}) AS g FROM items)),
+shared AS (SELECT k, doc_id, item_id, n, count(*) AS c FROM held JOIN wanted USING (s) GROUP BY ALL HAVING 100 * c >= 80 * n)
+SELECT doc_id, item_id, max(n) AS n_item_shingles, max(c) AS n_shared, max(c / n) AS containment FROM shared GROUP BY doc_id, item_id
+"""
+
+
+def _op5_sql() -> str:
+    sized = {name: (min(len(text.split()), 5), text) for name, text in licenses.TEMPLATES.items()}
+    values = ", ".join("('%s', %d, '%s')" % (name, width, text.replace("'", "''")) for name, (width, text) in sorted(sized.items()))
+    widths = sorted({width for width, _ in sized.values()})
+    grams = lambda w: sql_grams(w)
+    held = " UNION ALL ".join(f"SELECT k, doc_id, {w} AS width, unnest({grams(w)}) AS s, generate_subscripts({grams(w)}, 1) - 1 AS place FROM docs" for w in widths)
+    wanted = " UNION ALL ".join(f"SELECT template, width, list_distinct({grams(w)}) AS g FROM notices WHERE width = {w}" for w in widths)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {SQL_WORDS} AS w FROM documents),
+notices AS (SELECT template, width, {SQL_WORDS} AS w FROM (VALUES {values}) AS v(template, width, text)),
+held AS ({held}),
+wanted AS (SELECT template, width, len(g) AS n, unnest(g) AS s FROM ({wanted})),
+shared AS (SELECT k, doc_id, template, n, count(DISTINCT s) AS c, min(place) AS place FROM held JOIN wanted USING (width, s) GROUP BY ALL HAVING 100 * c >= 80 * n)
+SELECT doc_id, template, n AS n_template_shingles, c AS n_shared, place AS first_word, c / n AS containment FROM shared
+"""
+
+
+OP6_SQL = f"""
+WITH raw AS (SELECT row_number() OVER () AS k, page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 1)), '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{lines.UNSEEN}', '', 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g'), '\n[ \t\r\f\n]*', chr(10), 'g') AS text FROM pages),
+split AS (SELECT k, page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM raw),
+bare AS (SELECT *, regexp_replace(line, '{lines.EDGES}', '', 'g') AS b FROM split),
+totals AS (SELECT host, count(*) AS pages FROM raw WHERE host IS NOT NULL GROUP BY host),
+common AS (SELECT host, b FROM (SELECT host, b, count(DISTINCT k) AS n FROM bare WHERE b <> '' AND host IS NOT NULL GROUP BY host, b) JOIN totals USING (host) WHERE n >= {lines.MIN_PAGES} AND n > CAST({lines.RATIO} AS DOUBLE) * pages),
+marked AS (SELECT bare.*, common.b IS NOT NULL AS out FROM bare LEFT JOIN common ON bare.host = common.host AND bare.b = common.b)
+SELECT any_value(page_id) AS page_id, any_value(host) AS host, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT out), '')) AS text_md5 FROM marked GROUP BY k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL, "op5_license_scan": _op5_sql(), "op6_line_dedup": OP6_SQL}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .bits import bit_table, bits_set
 from .shared import materialize
 
 U = np.uint64
@@ -63,20 +64,14 @@ def _items(k: int, share: float):
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS with two bits for each hash, put together by Spark; its rows are bounded by its size."""
+    """A bitmap of FILTER_BITS with two bits for each hash."""
     low = (1 << FILTER_BITS) - 1
-    bits = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", 40).bitwiseAND(low))).alias("bit"))
-    words = bits.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, int(bit & 63))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return out.view(np.uint64)
+    return bit_table(hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", 40).bitwiseAND(low))).alias("bit")), 1 << FILTER_BITS)
 
 
 def _probe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = U((1 << FILTER_BITS) - 1)
-    test = lambda b: (bitmap[(b >> U(6)).astype(np.int64)] >> (b & U(63))) & U(1)
-    hit = np.flatnonzero(test(hashes & low))
-    return hit[test((hashes[hit] >> U(40)) & low).astype(bool)]
+    hit = np.flatnonzero(bits_set(bitmap, hashes & U((1 << FILTER_BITS) - 1)))
+    return hit[bits_set(bitmap, hashes[hit] >> U(64 - FILTER_BITS))]
 
 
 def _scan(k: int, widths: list[int], every, sketches):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .bits import IdFilter
 from .components import connected_components
 from .shared import materialize
 
@@ -108,10 +109,12 @@ def _sign(k: int, bands: int, text: str):
     return run
 
 
-def _sets(k: int, text: str):
+def _sets(k: int, text: str, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.passes(batch, text):
+            ids = batch.column(0)
+            few = batch.filter(pa.array(wanted.value.test(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            for part in K.passes(few, text):
                 elements, at = K.shingle_sets(*K.buffers(part.column(1)), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([elements[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["rep", "elements"])
 
@@ -270,7 +273,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = materialize(pairs.select("rep", "centre", "n", "cn", "sig", "csig").mapInArrow(_resemble(floor, num, den), "rep long, centre long"), "stars")
 
     def sets(ids: DataFrame, name: str) -> DataFrame:
-        return materialize(rows.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle_words, "text"), "rep long, elements binary"), name)
+        # texts stay where they are read: a bitmap leaves out most that aren't wanted, the join those it lets through
+        ids = materialize(ids.select("rep").distinct(), "ids")
+        wanted = docs.sparkSession.sparkContext.broadcast(IdFilter(ids, "rep"))
+        return materialize(rows.mapInArrow(_sets(shingle_words, "text", wanted), "rep long, elements binary").join(ids, "rep", "left_semi"), name)
 
     full = sets(pairs.select("rep").unionByName(pairs.select(F.col("centre").alias("rep"))), "sets")
     links = pairs.join(full, "rep").join(full.select(F.col("rep").alias("centre"), F.col("elements").alias("celements")), "centre")

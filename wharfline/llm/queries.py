@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, lines, neardup, sharding
+from . import bpe, decontam, licenses, lines, neardup, quality, sharding, syncmers, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,23 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labels outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels"), modulus=5, left_out=0), modulus=5, left_out=0, threshold=0.3)
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), modulus=3, left_out=1), modulus=3, left_out=1, threshold=0.7)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents under the 50k byte-level tokenizer file."""
     import public_tokenizers
@@ -61,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_decontamination, op5_license_scan, op6_line_dedup, op4_bpe_encode_decode, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_decontamination, op5_license_scan, op6_line_dedup, op4_bpe_encode_decode, op7_quality_classifier, op8_document_fingerprints, op9_toxicity, op10_token_counts)}
 
 
 #: Words as the operators take them, in DuckDB: A-Z as a-z, split at space and 0x09-0x0D.

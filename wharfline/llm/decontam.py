@@ -130,6 +130,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle_words: int = 5, s
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows without an id stay unless they are empty of one too."""
+    """``docs`` without the documents that hold a test item; rows without an id go together: all of them if one holds an item."""
     found = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("leaky_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("leaky_id")), "left_anti")
+    return docs.join(found, docs[id_col].eqNullSafe(found["leaky_id"]), "left_anti")

@@ -31,13 +31,14 @@ def _bare(line: Column) -> Column:
     return F.regexp_replace(line, EDGES, "")
 
 
-def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True, length_col: str | None = None) -> DataFrame:
     """``pages`` with ``text_col`` freed of lines that more than ``ratio`` of the pages of their host contain, on ``min_pages`` pages at least.
 
-    Adds n_lines and n_dropped.  Lines are compared without white space at their ends; blank lines never count and
+    Adds n_lines and n_dropped unless ``counts`` is false; ``length_col`` names a column that holds the length of the
+    text, set anew where lines go.  Lines are compared without white space at their ends; blank lines never count and
     stay.  A page counts once for a line, however often it repeats it; repeated rows are pages of their own.  Pages
     without a host (null) are left as they are, a null text stays null with 0 lines.  Further columns pass
-    through; n_lines and n_dropped replace columns of those names.  An empty table stays empty.
+    through; the two counts replace columns of those names.  An empty table stays empty.
     """
     host, text = F.col(f"`{host_col}`"), F.col(f"`{text_col}`")
     keys = lambda lines: F.transform(F.filter(F.transform(lines, _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
@@ -51,7 +52,9 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: f
     lines = F.split(F.col("row")[text_col], "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("common", F.xxhash64(_bare(x))) & (_bare(x) != ""), F.lit(False)))
     out = rows.select("row", lines.alias("lines"), F.when(F.col("common").isNull(), lines).otherwise(kept).alias("kept"))
-    cleaned = F.when(F.size("lines") == F.size("kept"), F.col("row")[text_col]).otherwise(F.array_join("kept", "\n"))
-    columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    same = F.col("row")[text_col].isNull() | (F.size("lines") == F.size("kept"))
+    cleaned = F.when(same, F.col("row")[text_col]).otherwise(F.array_join("kept", "\n"))
+    changed = {text_col: cleaned} | ({length_col: F.when(same, F.col("row")[length_col]).otherwise(F.length(cleaned)).cast(pages.schema[length_col].dataType)} if length_col else {})
     many = lambda c: F.when(F.col("lines").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return out.select(*columns, many("lines").alias("n_lines"), (many("lines") - many("kept")).alias("n_dropped"))
+    added = {"n_lines": many("lines"), "n_dropped": many("lines") - many("kept")} if counts else {}
+    return out.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in pages.columns if c not in added), *(v.alias(k) for k, v in added.items()))

@@ -319,7 +319,7 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity)
     kept = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"), "kept")
-    key = F.col(id_col) == F.col("kept_id")
-    once = docs.join(kept.where("count = 1"), key, "left_semi")
-    repeated = docs.join(kept.where("count > 1"), key, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    single, several = kept.where("count = 1"), kept.where("count > 1")
+    once = docs.join(single, docs[id_col] == single["kept_id"], "left_semi")
+    repeated = docs.join(several, docs[id_col] == several["kept_id"], "left_semi").dropDuplicates([id_col])
+    return once.unionByName(repeated).unionByName(docs.where(docs[id_col].isNull()))

@@ -44,9 +44,9 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: f
     keys = lambda lines: F.transform(F.filter(F.transform(lines, _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
     seen = pages.where(host.isNotNull()).select(host.alias("site"), text.alias("text"))
     totals = seen.groupBy("site").agg(F.count("*").alias("pages"))
-    counts = seen.where("text is not null").select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    found = seen.where("text is not null").select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     # a host has at most (distinct lines of a page / ratio) such lines, so an array of them stays small
-    common = counts.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > ratio * F.col("pages")).groupBy("site").agg(F.collect_set("line").alias("common"))
+    common = found.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > ratio * F.col("pages")).groupBy("site").agg(F.collect_set("line").alias("common"))
     # the names inside this join can't meet those of the table: its columns travel in a struct
     rows = pages.select(host.alias("site"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row")).join(common, "site", "left")
     lines = F.split(F.col("row")[text_col], "\n")

@@ -7,15 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wharfline.session import table
+
 from . import bpe, decontam, licenses, lines, neardup, quality, sharding, syncmers, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, 85 / 100."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))

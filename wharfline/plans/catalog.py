@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import worklist
+from .registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (worklist,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.registry.sql.items()}

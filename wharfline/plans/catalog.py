@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import worklist
+from . import survival, worklist
 from .registry import Query
 
-MODULES = (worklist,)
+MODULES = (worklist, survival)
 
 
 def queries() -> dict[str, Query]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import survival, worklist
+from . import retrieval, survival, worklist
 from .registry import Query
 
-MODULES = (worklist, survival)
+MODULES = (worklist, survival, retrieval)
 
 
 def queries() -> dict[str, Query]:

@@ -77,9 +77,9 @@ def fused(spark: SparkSession, sf: str) -> DataFrame:
     return R.fuse(lexical(spark, sf), d)
 
 
-@registry.query(f"WITH {_FUSED} SELECT query_id, chunk_id, lexical_rank, dense_rank, score, rank FROM fused")
+@registry.query(f"WITH {_FUSED} SELECT query_id, chunk_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank, score, rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return fused(spark, sf).select("query_id", "chunk_id", F.col("l").cast("long").alias("lexical_rank"), F.col("d").cast("long").alias("dense_rank"), "score", "rank")
+    return fused(spark, sf).select("query_id", "chunk_id", F.coalesce(F.col("l").cast("long"), F.lit(0)).alias("lexical_rank"), F.coalesce(F.col("d").cast("long"), F.lit(0)).alias("dense_rank"), "score", "rank")
 
 
 @registry.query(f"WITH {_FUSED} SELECT query_id, sha256(string_agg(CAST(chunk_id AS VARCHAR), chr(10) ORDER BY rank)) AS digest, count(*) AS n FROM fused GROUP BY query_id")

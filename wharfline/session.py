@@ -36,6 +36,12 @@ def ship_code(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """checkpoint() writes to the shared folder in spark.checkpoint.dir; only where none is set, to one of our own."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wharfline-checkpoints-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder, by Spark's own reader."""
     ship_code(spark)

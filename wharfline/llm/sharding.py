@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 8 << 20
+#: Text in a bucket, about; larger where there would be more than MOST_BUCKETS of them.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 100_000
 
 
 def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
@@ -34,6 +35,7 @@ def shuffled_shards(docs: DataFrame, *, shards: int = 16, seed: int = 17, bucket
     # the sizes of the shards alone decide on the number of buckets; neither column below needs more than key and text length
     measured = docs.select(shard.alias("shard"), size.alias("size")).groupBy("shard").agg(F.sum("size").alias("bytes"))
     bytes_ = {r["shard"]: r["bytes"] for r in measured.collect()}  # a row for each shard
+    bucket_bytes = max(bucket_bytes, sum(bytes_.values()) // MOST_BUCKETS)
     many = max([1, *(-(-b // bucket_bytes) for b in bytes_.values())])
     bucket = F.pmod(F.xxhash64(F.col(key_col), F.lit(seed + 1)), F.lit(many)).cast("int")
 
@@ -43,8 +45,11 @@ def shuffled_shards(docs: DataFrame, *, shards: int = 16, seed: int = 17, bucket
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
-    buckets = scattered.repartition(max(len(bytes_), 1) * many, "shard", "bucket").groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("draw", "size", "record"))).alias("rows"))
-    mixed = buckets.withColumn("rows", F.shuffle("rows", F.lit(seed))).join(starts, ["shard", "bucket"])
+    # one partition for each bucket: the shuffle's seed is then that of the bucket, and a task holds one bucket
+    cell = (F.col("shard") * many + F.col("bucket")).cast("int")
+    dealt = scattered.withColumn("cell", cell).repartitionById(shards * many, F.col("cell"))
+    buckets = dealt.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("draw", "size", "record"))).alias("rows"))
+    mixed = buckets.select((F.col("cell") / many).cast("int").alias("shard"), (F.col("cell") % many).cast("int").alias("bucket"), F.shuffle("rows", F.lit(seed)).alias("rows")).join(starts, ["shard", "bucket"])
     out = mixed.select("shard", "bucket", "start", F.posexplode("rows").alias("at", "row"))
     return out.select("shard", "bucket", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.col("row.size").alias("size"), F.col("row.record").alias("record"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ingestion, ledger, retrieval, survival, worklist
+from . import forecast, ingestion, ledger, retrieval, survival, worklist
 from .registry import Query
 
-MODULES = (worklist, survival, retrieval, ingestion, ledger)
+MODULES = (worklist, survival, forecast, retrieval, ingestion, ledger)
 
 
 def queries() -> dict[str, Query]:

@@ -13,13 +13,13 @@ UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?<
 BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|body|html)\b[^>]*>"
 TAGS = r"<[^>]*>"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
-EDGES = r"^[ \t\r\f]+|[ \t\r\f]+$"
+BLANKS = " \t\r\f"
 
 
 def html_lines(html: Column) -> Column:
     """The text of a page with a line for each block of its markup."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), BREAKS, "\n"), TAGS, "")
-    return F.regexp_replace(text, r"\n[ \t\r\f\n]*", "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: _bare(x) != ""), "\n")
 
 
 def host_of(url: Column) -> Column:
@@ -28,7 +28,7 @@ def host_of(url: Column) -> Column:
 
 
 def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, EDGES, "")
+    return F.trim(line, F.lit(BLANKS))
 
 
 def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True, length_col: str | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: f
     keys = lambda lines: F.transform(F.filter(F.transform(lines, _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
     seen = pages.where(host.isNotNull()).select(host.alias("site"), text.alias("text"))
     totals = seen.groupBy("site").agg(F.count("*").alias("pages"))
-    found = seen.where("text is not null").select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    found = seen.select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     # a host has at most (distinct lines of a page / ratio) such lines, so an array of them stays small
     common = found.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > ratio * F.col("pages")).groupBy("site").agg(F.collect_set("line").alias("common"))
     # the names inside this join can't meet those of the table: its columns travel in a struct

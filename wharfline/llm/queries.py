@@ -115,11 +115,15 @@ SELECT doc_id, template, n AS n_template_shingles, c AS n_shared, place AS first
 """
 
 
+def _bare_sql(column: str) -> str:
+    return f"trim({column}, ' ' || chr(9) || chr(13) || chr(12))"
+
+
 OP6_SQL = f"""
 WITH raw AS (SELECT row_number() OVER () AS k, page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 1)), '') AS host,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{lines.UNSEEN}', '', 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g'), '\n[ \t\r\f\n]*', chr(10), 'g') AS text FROM pages),
+  array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(html, '{lines.UNSEEN}', '', 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g'), chr(10)), lambda x: {_bare_sql("x")} <> ''), chr(10)) AS text FROM pages),
 split AS (SELECT k, page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM raw),
-bare AS (SELECT *, regexp_replace(line, '{lines.EDGES}', '', 'g') AS b FROM split),
+bare AS (SELECT *, {_bare_sql("line")} AS b FROM split),
 totals AS (SELECT host, count(*) AS pages FROM raw WHERE host IS NOT NULL GROUP BY host),
 common AS (SELECT host, b FROM (SELECT host, b, count(DISTINCT k) AS n FROM bare WHERE b <> '' AND host IS NOT NULL GROUP BY host, b) JOIN totals USING (host) WHERE n >= {lines.MIN_PAGES} AND n > CAST({lines.RATIO} AS DOUBLE) * pages),
 marked AS (SELECT bare.*, common.b IS NOT NULL AS out FROM bare LEFT JOIN common ON bare.host = common.host AND bare.b = common.b)

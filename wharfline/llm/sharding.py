@@ -49,7 +49,8 @@ def shuffled_shards(docs: DataFrame, *, shards: int = 16, seed: int = 17, bucket
     cell = (F.col("shard") * many + F.col("bucket")).cast("int")
     dealt = scattered.withColumn("cell", cell).repartitionById(shards * many, F.col("cell"))
     buckets = dealt.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("draw", "size", "record"))).alias("rows"))
-    mixed = buckets.select((F.col("cell") / many).cast("int").alias("shard"), (F.col("cell") % many).cast("int").alias("bucket"), F.shuffle("rows", F.lit(seed)).alias("rows")).join(starts, ["shard", "bucket"])
+    mixed = buckets.select((F.col("cell") / many).cast("int").alias("shard"), (F.col("cell") % many).cast("int").alias("bucket"), F.shuffle("rows", F.lit(seed)).alias("rows"))
+    mixed = mixed.join(F.broadcast(starts), ["shard", "bucket"])  # a row for each bucket: shards more than MOST_BUCKETS at most
     out = mixed.select("shard", "bucket", "start", F.posexplode("rows").alias("at", "row"))
     return out.select("shard", "bucket", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.col("row.size").alias("size"), F.col("row.record").alias("record"))
 

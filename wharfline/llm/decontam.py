@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bits import bit_table, bits_set
-from .shared import materialize
+from .shared import by_ids, materialize
 
 U = np.uint64
 MISS = 1e-6
@@ -132,4 +132,4 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle_words: int = 5, s
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a test item; rows without an id go together: all of them if one holds an item."""
     found = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("leaky_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["leaky_id"]), "left_anti")
+    return by_ids(docs, id_col, materialize(found, "leaky"), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .bits import IdFilter
 from .components import connected_components
-from .shared import materialize
+from .shared import by_ids, materialize
 
 U = np.uint64
 BINS = 128
@@ -318,8 +318,10 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows without doc_id stay.  Of rows that repeat a kept doc_id one stays.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity)
-    kept = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"), "kept")
-    single, several = kept.where("count = 1"), kept.where("count > 1")
-    once = docs.join(single, docs[id_col] == single["kept_id"], "left_semi")
-    repeated = docs.join(several, docs[id_col] == several["kept_id"], "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(docs[id_col].isNull()))
+    found = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("kept").alias("kept")), "found")
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
+    several = materialize(found.where("kept and rows > 1").select(F.col("doc_id").alias("several_id")), "several")
+    stay = by_ids(docs, id_col, gone, "left_anti")
+    if not several.limit(1).count():
+        return stay
+    return by_ids(stay, id_col, several, "left_anti").unionByName(by_ids(docs, id_col, several, "left_semi").dropDuplicates([id_col]))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that a task may be given whole: 8 MB of longs.
+FEW_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join of ``docs`` with a written table of distinct ids (one column, null equal to null).
+
+    Up to FEW_IDS ids, counted first, go to the tasks and the texts stay where they are; more are joined by a shuffle.
+    """
+    few = ids.count() <= FEW_IDS
+    side = F.broadcast(ids) if few else ids
+    return docs.join(side, docs[id_col].eqNullSafe(side[ids.columns[0]]), how)

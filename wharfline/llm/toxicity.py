@@ -20,7 +20,7 @@ from .labelled import crc_of, sample
 
 U = np.uint64
 #: Labelled documents to fit on, at most, and the words of one of them (longer ones are left out of the fit).
-FIT_DOCS, FIT_WORDS = 6000, 3000
+FIT_DOCS, FIT_WORDS = 5000, 2000
 #: A feature must occur in so many documents of the sample, and in that share of them.
 FIT_SEEN, FIT_SHARE = 3, 0.004
 #: Toxic documents are few: each counts as so many.
@@ -30,7 +30,7 @@ STEM_BYTES = 4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes (with repeats) of all documents and the document of each."""
+    """Feature hashes of 32 bits (with repeats) of all documents and the document of each."""
     hashes, starts, ends, at = K.words(data, offsets)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     # punctuation at either end of a word is not part of it
@@ -49,7 +49,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             same = doc[lag:] == doc[:-lag]
             parts.append(K.mix(bare[:-lag][same] * U(0x9E3779B97F4A7C15) + bare[lag:][same] * U(0xC2B2AE3D27D4EB4F) + U(salt)))
             owners.append(doc[lag:][same])
-    return np.concatenate(parts), np.concatenate(owners)
+    return (np.concatenate(parts) >> U(32)).astype(np.uint32), np.concatenate(owners)
 
 
 _EDGE = np.zeros(256, dtype=bool)
@@ -82,8 +82,8 @@ class Weights:
         total = np.full(n, self.bias)
         if len(self.hashes) and len(hashes):
             few = np.zeros(1 << 20, dtype=bool)
-            few[(self.hashes >> U(44)).astype(np.int64)] = True
-            maybe = np.flatnonzero(few[(hashes >> U(44)).astype(np.int64)])
+            few[self.hashes >> np.uint32(12)] = True
+            maybe = np.flatnonzero(few[hashes >> np.uint32(12)])
             place = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
             hit = self.hashes[place] == hashes[maybe]
             once = np.unique(doc[maybe[hit]] * len(self.hashes) + place[hit])
@@ -94,7 +94,7 @@ class Weights:
 def fit(examples: list[np.ndarray], y: np.ndarray) -> Weights:
     """FTRL-proximal over the documents in their order, EPOCHS times; features of too few documents are left out."""
     if not len(y):
-        return Weights(np.zeros(0, dtype=U), np.zeros(0), 0.0)
+        return Weights(np.zeros(0, dtype=np.uint32), np.zeros(0), 0.0)
     known, counts = np.unique(np.concatenate(examples), return_counts=True)
     known = known[counts >= max(FIT_SEEN, FIT_SHARE * len(y))]
     rows = []
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
     got = chosen.mapInArrow(_collect, "doc_id long, y int, x binary").toArrow()  # bounded by the two constants
     ids = got.column("doc_id").to_numpy()
     order = np.argsort(K.mix(ids.astype(U)), kind="stable")
-    rows = [np.frombuffer(v.as_buffer(), dtype=U) for c in got.column("x").chunks for v in c]
+    rows = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for c in got.column("x").chunks for v in c]
     return fit([rows[i] for i in order], got.column("y").to_numpy()[order])
 
 

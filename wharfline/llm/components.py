@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
+def is_star_forest(tree: DataFrame) -> bool:
+    """Whether no node of the distinct edges (u, v) has two v or is both a u and a v: one shuffle of partial sums by node."""
+    ends = tree.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return not nodes.agg(F.count_if(F.expr("up > 1 or (up > 0 and down > 0)"))).first()[0]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b) but the roots; root is the least node reachable.
 
-    Every round is one shuffle by node with partial minima, written to the shared folder; a star is a fixed point.
-    Duplicate edges, loops and an empty table are fine.
+    Rounds shuffle by node with partial minima and are written to the shared folder, until every component is a
+    star.  Duplicate edges, loops and an empty table are fine.
     """
     tree = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not is_star_forest(tree):
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -24,7 +30,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = large.join(least, "u")
         small = near.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         tree = materialize(small.where("u <> v").distinct(), "edges")
-        now = tree.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == seen:
-            return tree.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+    return tree.select(F.col("u").alias("node"), F.col("v").alias("root"))

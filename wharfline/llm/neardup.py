@@ -214,10 +214,10 @@ def _live(floor: float, num: int, den: int):
 
 
 def _joining(floor: float, num: int, den: int):
-    """Confirmed links of a block, as many as join its components (a forest)."""
+    """Pairs of components that confirmed links of a block join, as many as it takes (a forest)."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, n, found = _candidates(table, floor, num, den)
+        _, comp, n, found = _candidates(table, floor, num, den)
         a, b = [], []
         if found:
             sets = [np.frombuffer(x.as_buffer(), dtype=U) for x in table.column("elements")]
@@ -238,8 +238,8 @@ def _joining(floor: float, num: int, den: int):
                     x, y = root(int(comp[i])), root(int(comp[j]))
                     if x != y:
                         up[max(x, y)] = min(x, y)
-                        a.append(rep[i])
-                        b.append(rep[j])
+                        a.append(comp[i])
+                        b.append(comp[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = materialize(rows.mapInArrow(_sign(shingle_words, bands, "text"), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"), "signatures")
     # equal sets are one class from here on, named by its least doc_id
     classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    slots = classes.select("rep", F.explode("bands").alias("key"))
+    slots = classes.select("rep", "n", F.explode("bands").alias("key"))
     buckets = slots.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("centre")).where("m > 1")
     members = materialize(slots.join(buckets, "key"), "buckets")
 
@@ -284,10 +284,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links)
 
     # buckets that the stars have left in several components, dealt out in blocks
-    placed = members.where("m > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "centre", "m", F.coalesce("root", "rep").alias("comp"))
+    placed = members.where("m > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "centre", F.coalesce("root", "rep").alias("comp"))
     minor = F.col("comp") != F.col("main")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("comp"))).alias("main")).where("low <> high").select("key", "main")
-    placed = materialize(placed.where("rep <> centre").join(split, "key").join(classes.select("rep", "n"), "rep"), "split")
+    placed = materialize(placed.where("rep <> centre").join(split, "key"), "split")
     sizes = placed.groupBy("key").agg(*(F.ceil(F.greatest(F.sum(F.when(c, 1).otherwise(0)) / BLOCK_DOCS, F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_ELEMENTS)).cast("long").alias(x) for c, x in ((minor, "few"), (~minor, "many"))))
     dealt = placed.join(sizes.where("few > 0"), "key").withColumn("minor", minor).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))))
     chunks = F.sequence(F.lit(0).cast("long"), F.col("few") - 1)
@@ -303,9 +303,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     live = materialize(blocks.groupBy("key", "i", "j", "major").applyInArrow(_live(floor, num, den), schema), "live")
     held = sets(live.select("rep").join(full.select("rep"), "rep", "left_anti"), "sets").unionByName(full)
     more = live.join(held, "rep").select(*live.columns, "elements").groupBy("key", "i", "j", "major").applyInArrow(_joining(floor, num, den), "a long, b long")
-    roots = connected_components(links.unionByName(more))
+    joined = connected_components(more).select(F.col("node").alias("comp"), F.col("root").alias("joined"))
 
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component_id"))
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
+    named = named.join(joined, "comp", "left").select("h1", "h2", "n", F.coalesce("joined", "comp").alias("component_id"))
     out = signed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between Spark and Python, and Spark's own default, in whose place it is set.
+ARROW_BYTES, ARROW_KEY, ARROW_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def session(app: str = "wharfline", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,7 +24,12 @@ def session(app: str = "wharfline", master: str | None = None, **conf: str) -> S
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, so that functions in tasks can be imported there."""
+    """Give the executors this package, once for each application, so that functions in tasks can be imported there.
+
+    Also bounds Arrow batches by bytes in this session, unless the user has: rows of long texts else fill memory on both sides.
+    """
+    if spark.conf.get(ARROW_KEY, None) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 RATIO = 0.1
 MIN_PAGES = 10
+#: Bytes of hosts and line hashes that a task may be given whole.
+COMMON_BYTES = 16 << 20
 
 # The patterns by which markup becomes lines.
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>"
@@ -47,6 +51,10 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: f
     found = seen.select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     # a host has at most (distinct lines of a page / ratio) such lines, so an array of them stays small
     common = found.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > ratio * F.col("pages")).groupBy("site").agg(F.collect_set("line").alias("common"))
+    common = materialize(common, "common")
+    size = common.agg(F.sum(F.octet_length("site") + 8 * F.size("common") + 64)).first()[0] or 0
+    # measured to be small, it goes to the tasks and the texts stay where they are; else they are joined by a shuffle
+    common = F.broadcast(common) if size <= COMMON_BYTES else common
     # the names inside this join can't meet those of the table: its columns travel in a struct
     rows = pages.select(host.alias("site"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row")).join(common, "site", "left")
     lines = F.split(F.col("row")[text_col], "\n")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 RATIO = 0.1
+#: A line of a single page is never boilerplate; above that the ratio decides.
+LEAST_PAGES = 2
+#: The floor that OP6_SQL still has.
 MIN_PAGES = 10
 #: Bytes of hosts and line hashes that a task may be given whole.
 COMMON_BYTES = 16 << 20
@@ -35,7 +38,7 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True, length_col: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = LEAST_PAGES, counts: bool = True, length_col: str | None = None) -> DataFrame:
     """``pages`` with ``text_col`` freed of lines that more than ``ratio`` of the pages of their host contain, on ``min_pages`` pages at least.
 
     Adds n_lines and n_dropped unless ``counts`` is false; ``length_col`` names a column that holds the length of the

@@ -4,12 +4,16 @@ Templates fall into classes of about one size; the windows of a class are as lon
 begin at every word.  The number of one-row bands follows from the least likeness between a template and the
 window that holds its required share, so that a match is retrieved with the chance 1 - MISS at least.
 Retrieved templates are verified on exact shingle containment in the document.
+Classes of whole texts and headers look only at documents with enough of the class's shingles, which is counted
+exactly beforehand and loses nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,8 @@ U = np.uint64
 MISS = 1e-6
 #: Sizes of the templates of a class lie within this factor.
 CLASS_RATIO = 1.25
+#: Classes whose least template has more shingles than this are looked for only where enough of their shingles are.
+LONG = 40
 
 # Notices that texts carry.
 TEMPLATES = {
@@ -39,6 +45,12 @@ TEMPLATES = {
 }
 
 
+@cache
+def whole_texts() -> dict[str, str]:
+    """License texts without copyright lines and appendices, and full headers, by the name of their file."""
+    return {f"{f.stem}-text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def bands_for(sizes: list[int], window: int, share: float) -> int:
     """One-row bands so that any template of the class, at the share, meets its window in one with the chance 1 - MISS."""
     least = min(math.ceil(share * s) / (window + s - math.ceil(share * s)) for s in sizes)
@@ -72,7 +84,7 @@ def _salt(band: int) -> np.uint64:
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` values in a row, shorter at the end."""
-    out, have = x.copy(), 1
+    out, have, width = x.copy(), 1, min(width, len(x))
     while have < width:
         step = min(have, width - have)
         out[: len(out) - step] = np.minimum(out[: len(out) - step], out[step:])
@@ -80,19 +92,45 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _found_long(c: dict, grams: np.ndarray, at: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
+    """(document, template) that meet in a band, for documents with as many of the class's shingles as its least share needs."""
+    own = hits[np.isin(grams[hits], c["union"])]
+    held = np.bincount(np.searchsorted(at, own, "right") - 1, minlength=len(at))
+    found = set()
+    for d in np.flatnonzero(held >= c["need"]):
+        mine = grams[at[d] : max(at[d], at[d + 1] - c["width"] + 1)]
+        for band in range(c["bands"] if len(mine) else 0):
+            least = sliding_min(K.mix(mine ^ _salt(band)), c["window"])
+            found.update((int(d), int(t)) for t in np.flatnonzero(np.isin(c["minima"][band], least)))
+    return found
+
+
 def _scan(templates: dict[str, str], k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = template_classes(templates, k, num / den)
+        for c in classes:
+            c["need"] = min(-(-num * s // den) for s in c["sizes"])
+            c["union"] = np.unique(np.concatenate(c["sets"]))
+        long = [c for c in classes if c["sizes"][0] > LONG]
+        every = np.unique(np.concatenate([c["union"] for c in long])) if long else np.zeros(0, dtype=U)
+        likely = np.zeros(1 << 20, dtype=bool)
+        likely[(every >> U(44)).astype(np.int64)] = True
         for batch in batches:
             for part in K.passes(batch, "text"):
                 hashes, starts, _, at = K.words(*K.buffers(part.column(1)))
                 out = []
+                hits = None  # places of shingles of long classes, all of k words
                 for c in classes:
                     grams = K.shingle_at(hashes, c["width"])
                     if not len(grams):
                         continue
                     found = set()
-                    for band in range(c["bands"]):
+                    if c["sizes"][0] > LONG:
+                        if hits is None:
+                            hits = np.flatnonzero(likely[(grams >> U(44)).astype(np.int64)])
+                            hits = hits[np.isin(grams[hits], every)]
+                        found = _found_long(c, grams, at, hits)
+                    for band in range(0 if c["sizes"][0] > LONG else c["bands"]):
                         least = sliding_min(K.mix(grams ^ _salt(band)), c["window"])
                         few = np.zeros(1 << 16, dtype=bool)
                         few[(c["minima"][band] >> U(48)).astype(np.int64)] = True
@@ -119,12 +157,12 @@ def license_matches(docs: DataFrame, *, templates: dict[str, str] | None = None,
     """Templates of whose word shingles a document holds the share (an exact ratio) or more.
 
     Returns doc_id, template, n_template_shingles, n_shared, containment, first_word (place of the first shared
-    shingle), a row for each match in each row of ``docs``.  ``templates`` (name -> text) is a short list that
-    goes to every task.  A template of fewer than ``shingle_words`` words is one shingle of its words; one without
+    shingle), a row for each match in each row of ``docs``.  ``templates`` (name -> text; TEMPLATES and whole_texts() unless given) is a
+    bounded list that goes to every task.  A template of fewer than ``shingle_words`` words is one shingle of its words; one without
     words matches nothing, nor do null and blank texts.  Repeated rows give repeated matches, a null id stays
     null, further columns are ignored, an empty table gives no rows.
     """
     num, den = share
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_scan(templates or TEMPLATES, shingle_words, num, den), "doc_id long, template string, n_template_shingles long, n_shared long, first_word long")
+    found = rows.mapInArrow(_scan(templates or TEMPLATES | whole_texts(), shingle_words, num, den), "doc_id long, template string, n_template_shingles long, n_shared long, first_word long")
     return found.withColumn("containment", F.col("n_shared") / F.col("n_template_shingles"))

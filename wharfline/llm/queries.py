@@ -33,7 +33,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in all documents."""
+    """License notices, headers and whole texts in all documents."""
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 

@@ -4,12 +4,13 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pyspark
 from tests.compare import same
 
 from tests.llm import fixtures as X
 
-from wharfline.llm import licenses, lines, queries
+from wharfline.llm import kernels, licenses, lines, queries, syncmers
 
 
 def test_line_dedup_agrees_with_sql_without_its_floor(spark, sf):
@@ -52,3 +53,13 @@ def test_altered_license_texts_as_brute_force(spark):
     want = {(i, n, len(g), len(g & h)) for i, h in held.items() for n, g in wanted.items() if 100 * len(g & h) >= 80 * len(g)}
     got = {(r["doc_id"], r["template"], r["n_template_shingles"], r["n_shared"]) for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), templates=texts).collect()}
     assert got == want and {n for _, n, _, _ in want} == set(texts)
+
+
+def test_texts_without_a_syncmer_keep_apart():
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("abcdefgh ") for _ in range(16 + i % 7)) for i in range(400)})
+    prints = [syncmers.written(s) for s in syncmers.sketches_of(["", *texts])]
+    assert prints[0] == "" and "" not in prints[1:] and len(set(prints[1:])) == len(texts)
+    data, offsets = kernels.buffers(pa.array(texts, pa.large_string()))
+    place, _, doc = syncmers.anchors_of(data, offsets)
+    assert set(doc) == set(range(len(texts))) and (doc[1:] >= doc[:-1]).all() and (place >= offsets[doc]).all()

@@ -27,7 +27,7 @@ RANGE_BYTES = 12 << 20
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place (byte in the buffer), hash and document of each anchor; a text shorter than a k-mer is one anchor itself."""
+    """Place (byte in the buffer), hash and document of each anchor; a text without a closed syncmer is one anchor itself."""
     n, sizes = len(data), np.diff(offsets)
     place, hashes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     doc = np.zeros(0, dtype=np.int64)
@@ -47,7 +47,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         inside = chosen + KMER <= offsets[owner + 1]
         place, doc = chosen[inside], owner[inside]
         hashes = K.mix(word[place] * U(0xC2B2AE3D27D4EB4F) + K.mix(word[place + KMER - S]))
-    short = np.flatnonzero((sizes > 0) & (sizes < KMER))
+    short = np.flatnonzero((sizes > 0) & (np.bincount(doc, minlength=len(sizes)) == 0))
     if len(short):
         own = np.array([int.from_bytes(hashlib.blake2b(data[offsets[d] : offsets[d + 1]].tobytes(), digest_size=8).digest(), "little") for d in short], dtype=U)
         place, hashes, doc = np.concatenate([place, offsets[short]]), np.concatenate([hashes, own]), np.concatenate([doc, short])

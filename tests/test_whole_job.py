@@ -15,3 +15,7 @@ def uncut(name, cut, whole=""):
 @pytest.mark.parametrize("name", ["baseline_values", "label_classification", "confidence_histogram", "absence_records", "failure_counts", "field_precision_recall"])
 def test_all_order_lines_are_printed(spark, sf, name):
     same(spark, sf, catalog.queries()[name], uncut(name, "WHERE l_orderkey % 3 = 0 "))
+
+
+def test_the_grid_has_every_day(spark, sf):
+    same(spark, sf, catalog.queries()["survival_grid"], uncut("survival_grid", " WHERE k % 7 = 1"))

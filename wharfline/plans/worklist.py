@@ -96,9 +96,9 @@ def nearest_rank_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query(f"""WITH {POSTERIORS} SELECT vendor, k AS day, len(list_filter(draws, lambda d: d > k)) / len(draws) AS survival FROM posterior, range(1, {HORIZON + 1}) AS t(k) WHERE k % 7 = 1""")
 def survival_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The day grid of each vendor, every seventh day of it."""
+    """The day grid of each vendor, all HORIZON days of it."""
     grid = posteriors(spark, sf).select("vendor", arrays.survival_grid(F.col("draws"), HORIZON).alias("grid"))
-    return grid.select("vendor", F.posexplode("grid").alias("at", "survival")).where("at % 7 = 0").select("vendor", (F.col("at") + 1).cast("long").alias("day"), "survival")
+    return grid.select("vendor", F.posexplode("grid").alias("at", "survival")).select("vendor", (F.col("at") + 1).cast("long").alias("day"), "survival")
 
 
 @registry.query(f"WITH {POSTERIORS} SELECT vendor, len(list_filter(draws, lambda d: d > {HORIZON})) / len(draws) AS residual, true AS ascending, true AS non_increasing, true AS unit, true AS tail_agrees FROM posterior")

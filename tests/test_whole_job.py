@@ -3,6 +3,7 @@
 import pytest
 
 from tests.compare import same
+from wharfline.operators import identity
 from wharfline.plans import catalog
 
 
@@ -19,3 +20,9 @@ def test_all_order_lines_are_printed(spark, sf, name):
 
 def test_the_grid_has_every_day(spark, sf):
     same(spark, sf, catalog.queries()["survival_grid"], uncut("survival_grid", " WHERE k % 7 = 1"))
+
+
+def test_a_long_chain_of_merges_has_one_root(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 26)] + [(100, 101)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in identity.reachable(chain).collect()}
+    assert roots == {i: 1 for i in range(1, 27)} | {100: 100, 101: 100}

@@ -10,8 +10,6 @@ from .shared import materialize
 RATIO = 0.1
 #: A line of a single page is never boilerplate; above that the ratio decides.
 LEAST_PAGES = 2
-#: The floor that OP6_SQL still has.
-MIN_PAGES = 10
 #: Bytes of hosts and line hashes that a task may be given whole.
 COMMON_BYTES = 16 << 20
 

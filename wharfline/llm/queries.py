@@ -125,7 +125,7 @@ WITH raw AS (SELECT row_number() OVER () AS k, page_id, nullif(lower(regexp_extr
 split AS (SELECT k, page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM raw),
 bare AS (SELECT *, {_bare_sql("line")} AS b FROM split),
 totals AS (SELECT host, count(*) AS pages FROM raw WHERE host IS NOT NULL GROUP BY host),
-common AS (SELECT host, b FROM (SELECT host, b, count(DISTINCT k) AS n FROM bare WHERE b <> '' AND host IS NOT NULL GROUP BY host, b) JOIN totals USING (host) WHERE n >= {lines.MIN_PAGES} AND n > CAST({lines.RATIO} AS DOUBLE) * pages),
+common AS (SELECT host, b FROM (SELECT host, b, count(DISTINCT k) AS n FROM bare WHERE b <> '' AND host IS NOT NULL GROUP BY host, b) JOIN totals USING (host) WHERE n >= {lines.LEAST_PAGES} AND n > CAST({lines.RATIO} AS DOUBLE) * pages),
 marked AS (SELECT bare.*, common.b IS NOT NULL AS out FROM bare LEFT JOIN common ON bare.host = common.host AND bare.b = common.b)
 SELECT any_value(page_id) AS page_id, any_value(host) AS host, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT out), '')) AS text_md5 FROM marked GROUP BY k
 """

@@ -38,7 +38,7 @@ def unit_length_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Order lines printed as labelled text; two layouts, one of them with the value on the next line.
-PRINTED = """src AS (SELECT l_orderkey AS document_id, l_linenumber, min(l_quantity) AS q, min(l_partkey) AS p FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber),
+PRINTED = """src AS (SELECT l_orderkey AS document_id, l_linenumber, min(l_quantity) AS q, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber),
 raw AS (SELECT document_id, l_linenumber, unnest([
   'Item: ' || l_linenumber, 'MAKER: Brand#' || p % 25, CASE WHEN p % 2 = 0 THEN 'Qty:' ELSE 'Qty: ' || CAST(q AS INTEGER) END, CASE WHEN p % 2 = 0 THEN CAST(CAST(q AS INTEGER) AS VARCHAR) ELSE 'Note without meaning' END,
   'PRJ | Page ' || l_linenumber || ' of 7', 'Unknown label: x']) AS line, unnest([1, 2, 3, 4, 5, 6]) AS k FROM src),

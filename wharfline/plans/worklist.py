@@ -94,7 +94,7 @@ def nearest_rank_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return posteriors(spark, sf).select("vendor", *(arrays.nearest_rank(draws, p).alias(f"p{round(100 * p)}") for p in (0.5, 0.8, 0.95)), F.size(draws).alias("n"))
 
 
-@registry.query(f"""WITH {POSTERIORS} SELECT vendor, k AS day, len(list_filter(draws, lambda d: d > k)) / len(draws) AS survival FROM posterior, range(1, {HORIZON + 1}) AS t(k) WHERE k % 7 = 1""")
+@registry.query(f"""WITH {POSTERIORS} SELECT vendor, k AS day, len(list_filter(draws, lambda d: d > k)) / len(draws) AS survival FROM posterior, range(1, {HORIZON + 1}) AS t(k)""")
 def survival_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The day grid of each vendor, all HORIZON days of it."""
     grid = posteriors(spark, sf).select("vendor", arrays.survival_grid(F.col("draws"), HORIZON).alias("grid"))

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wharfline.llm import bpe, decontam, lines, neardup, quality
-from wharfline.llm.shared import materialize
 from wharfline.session import ship_code, table
+from wharfline.shared import materialize
 
 #: SQL can't express the classifier's field; the stages are tested by themselves.
 ORACLE_SQL = None

@@ -1,9 +1,50 @@
 """Core operators on cases that the given tables do not hold."""
 
+import random
+
+from wharfline import shared
 from wharfline.operators import identity
+from wharfline.operators.components import connected_components
 
 
 def test_a_long_chain_of_merges_has_one_root(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 26)] + [(100, 101)], "a long, b long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(1000, 1001)], "a long, b long")
     roots = {r["node"]: r["root"] for r in identity.reachable(chain).collect()}
-    assert roots == {i: 1 for i in range(1, 27)} | {100: 100, 101: 100}
+    assert roots == {i: 1 for i in range(1, 201)} | {1000: 1000, 1001: 1000}
+
+
+def test_components_round_a_hub(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(1, 400, 2)] + [(5000, 5001), (5001, 5001)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {1000 + i: 0 for i in range(1, 400, 2)} | {5001: 5000}
+
+
+def test_join_hot_is_a_join(spark):
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(rng.choice((1, 1, 1, rng.randrange(50), None)), i) for i in range(900)], "k long, v long")
+    side = shared.materialize(rows.where("k % 7 <> 3").groupBy("k").count(), "side")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(side, "k", how).select("k", "v", "count").collect()))
+        for hot_rows, hot_bytes in ((200, 8 << 20), (2, 300), (2, 1), (10**6, 1)):
+            got = shared.join_hot(rows, side, "k", many=side["count"], how=how, hot_rows=hot_rows, hot_bytes=hot_bytes)
+            assert sorted(map(str, got.select("k", "v", "count").collect())) == want
+    shared.discard(side)
+
+
+def greedy(pairs):
+    allowed, home = {frozenset(p[:2]) for p in pairs}, {}
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        x, y = home.setdefault(a, {a}), home.setdefault(b, {b})
+        if x is not y and all(frozenset((i, j)) in allowed for i in x for j in y):
+            x |= y
+            for j in y:
+                home[j] = x
+    return {r: min(c) for r, c in home.items()}
+
+
+def test_clusters_as_taking_the_pairs_in_turn(spark):
+    rng = random.Random(4)
+    for n, share in ((14, 0.7), (25, 0.4)):
+        pairs = [(a, b, round(rng.random(), 1)) for a in range(n) for b in range(a + 1, n) if rng.random() < share]
+        got = identity.clusters(spark.createDataFrame(pairs, "a long, b long, score double"))
+        assert {r["record_id"]: r["cluster_id"] for r in got.collect()} == greedy(pairs)

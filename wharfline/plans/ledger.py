@@ -205,7 +205,7 @@ def identity_review_items(spark: SparkSession, sf: str) -> DataFrame:
 def identity_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters all of whose pairs merge; the greedy clique has no SQL form, a test checks that every induced pair merges."""
     merges = banded(spark, sf).where("band = 'merge'").select("a", "b", "score")
-    return D.clusters(merges, D.reachable(merges))
+    return D.clusters(merges)
 
 
 @registry.query(f"""WITH {_RECORDS}, truth AS (SELECT x.record_id AS a, y.record_id AS b FROM record x JOIN record y ON x.project = y.project AND x.record_id < y.record_id AND x.m = y.m AND x.part = y.part),

@@ -26,14 +26,15 @@ def session(app: str = "wharfline", master: str | None = None, **conf: str) -> S
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once for each application, so that functions in tasks can be imported there.
 
-    Also bounds Arrow batches by bytes in this session, unless the user has: rows of long texts else fill memory on both sides.
+    Then also bounds Arrow batches by bytes in this session, unless the user has: rows of long texts else fill memory on
+    both sides.  A setting made later is left alone.
     """
-    if spark.conf.get(ARROW_KEY, None) == ARROW_DEFAULT:
-        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
+    if spark.conf.get(ARROW_KEY, None) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(PACKAGE.rglob("*.py")):
@@ -43,12 +44,6 @@ def ship_code(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() writes to the shared folder in spark.checkpoint.dir; only where none is set, to one of our own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wharfline-checkpoints-"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder, by Spark's own reader."""
     ship_code(spark)

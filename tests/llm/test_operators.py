@@ -12,8 +12,9 @@ import pytest
 import tiktoken
 from tests.llm import fixtures as X
 
-from wharfline.llm import bpe, components, decontam, kernels, licenses, lines, neardup, quality, sharding, syncmers, toxicity
+from wharfline.llm import bpe, decontam, kernels, licenses, lines, neardup, quality, sharding, syncmers, toxicity
 from wharfline.llm.bits import IdFilter
+from wharfline.operators.components import connected_components
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -143,9 +144,9 @@ def test_overlaps_are_exact():
 
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(3, 3), (1, 0), (100, 7)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: i // 10 * 10 for i in range(40) if i % 10} | {100: 0}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_id_filter_lets_all_members_through(spark):

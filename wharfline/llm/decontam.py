@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bits import bit_table, bits_set
-from .shared import by_ids, materialize
+from wharfline.shared import by_ids, materialize
 
 U = np.uint64
 MISS = 1e-6

@@ -234,6 +234,28 @@ def test_contamination_as_brute_force(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == set(content) - {x[0] for x in got}
 
 
+def test_items_that_share_an_id_are_judged_apart(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(9)) for c in "xy")
+    parts = "x0 x1 x2 x3 x4 x5 z y0 y1 y2 y3 y4 y5 y6"
+    rows = [(1, parts), (2, f"{x} {y}"), (None, x), (3, y), (3, "nothing of it"), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for item in (7, None):
+        b = spark.createDataFrame([(item, x), (item, y), (item, x), (5, x + " x9 x10 x11")], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in decontam.contaminated(d, b).collect()}
+        assert got == {(2, item, 5, 5), (None, item, 5, 5), (3, item, 5, 5)}
+    assert {(r["doc_id"], r["text"]) for r in decontam.drop_contaminated(d, b).collect()} == {(1, parts), (4, None)}
+
+
+def test_an_item_that_half_of_all_documents_hold(spark):
+    rng = random.Random(6)
+    item = X.prose(rng, 30)
+    content = {i: f"{X.prose(rng, 40)} {item if i % 2 else ''} {X.prose(rng, 20)}" for i in range(900)}
+    d = spark.createDataFrame(list(content.items()), "doc_id long, text string").repartition(8)
+    b = spark.createDataFrame([(i, item if i < 3 else X.prose(rng, 25)) for i in range(40)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()}
+    assert got == {(i, j) for i in range(1, 900, 2) for j in range(3)}
+
+
 def test_contamination_of_and_by_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

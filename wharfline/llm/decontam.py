@@ -1,10 +1,10 @@
 """Benchmark decontamination (operator 3): short test items inside long documents.
 
-Items are partitioned by the size of their shingle sets; an item of a partition is sketched by its k least
-shingles under a permutation, with k so large that a document which holds the required share of the item
-misses all of them at most once in a million.  Documents are not sketched: each probes all its shingles
-against two fixed-size filters, so an item is found in a document of any length.  A document of fewer
-shingles than the item's share needs is out by size.  Every candidate is verified on exact shared counts.
+Items are partitioned by the size of their shingle sets.  An item of a partition is sketched by its k least shingles
+under a permutation, with k so large that a document which holds the required share of the item misses all of them at
+most once in a million.  Documents are not cut down to sketches: each probes all its shingles, so an item is found in
+a document of any length.  A document that holds a sketched shingle of an item, and is large enough for the share of
+the item's partition, is a candidate; candidates alone are verified, on exact shared counts of the full sets.
 """
 
 from __future__ import annotations
@@ -17,19 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.shared import by_ids, discard, join_hot, materialize
+
 from . import kernels as K
 from .bits import bit_table, bits_set
-from wharfline.shared import by_ids, materialize
 
 U = np.uint64
 MISS = 1e-6
-#: Bits of a filter: what a task gets of the items has this size, however many there are.
-FILTER_BITS = 24
+#: Bits of a filter: grown with the items up to the greater bound (32 MB in each task), beyond which more is joined, not less found.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def partition_of(n: int) -> int:
+    """Number of the size partition (2^(p-1), 2^p] that holds n."""
+    return max(0, math.ceil(math.log2(max(n, 1))))
 
 
 def sketch_size(n: int, share: float) -> int:
-    """Least shingles to keep of an item with n in all: those of the largest set in its partition of sizes (2^p, 2^(p+1)]."""
-    top = 1 << max(0, math.ceil(math.log2(max(n, 1))))
+    """Least shingles to keep of an item with n in all: those of the largest set in its partition."""
+    top = 1 << partition_of(n)
     absent = top - math.ceil(share * top)
     k, chance = 0, 1.0
     while chance > MISS and k < top:
@@ -38,6 +44,9 @@ def sketch_size(n: int, share: float) -> int:
     return min(n, k)
 
 
+ITEM = "item_id long, n long, part int, width int, elements binary, sketch array<long>"
+
+
 def _items(k: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,62 +54,78 @@ def _items(k: int, share: float):
                 data, offsets = K.buffers(part.column(1))
                 elements, at = K.shingle_sets(data, offsets, k)
                 words = np.diff(K.words(data, offsets)[3])
-                ids, size, width, hashes, sketch = [], [], [], [], []
+                rows = []
                 for i, item in enumerate(part.column(0).to_pylist()):
                     own = elements[at[i] : at[i + 1]]
-                    if not len(own):
-                        continue
-                    mark = np.zeros(len(own), dtype=bool)
-                    mark[np.argsort(K.mix(own ^ U(0xA5A5A5A5)))[: sketch_size(len(own), share)]] = True
-                    ids += [item] * len(own)
-                    size += [len(own)] * len(own)
-                    width += [min(int(words[i]), k)] * len(own)
-                    hashes.append(own.view(np.int64))
-                    sketch.append(mark)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(width, pa.int32()), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(sketch))], ["item_id", "n", "width", "hash", "sketch"])
+                    if len(own):
+                        least = own[np.argsort(K.mix(own ^ U(0xA5A5A5A5)))[: sketch_size(len(own), share)]]
+                        rows.append({"item_id": item, "n": len(own), "part": partition_of(len(own)), "width": min(int(words[i]), k), "elements": own.tobytes(), "sketch": least.view(np.int64).tolist()})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("width", pa.int32()), ("elements", pa.binary()), ("sketch", pa.list_(pa.int64()))]))
 
     return run
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS with two bits for each hash."""
-    low = (1 << FILTER_BITS) - 1
-    return bit_table(hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", 40).bitwiseAND(low))).alias("bit")), 1 << FILTER_BITS)
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed.as_buffer(), dtype=np.int64))], ["hash"])
+
+
+class Filter:
+    """Which hashes may be among those given: two bits for each in a bitmap of a bounded size."""
+
+    def __init__(self, hashes: DataFrame, many: int):
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * many).bit_length())).bit_length() - 1
+        low = (1 << self.bits) - 1
+        self.table = bit_table(hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", 64 - self.bits))).alias("bit")), 1 << self.bits)
 
+    def probe(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be among them."""
+        hit = np.flatnonzero(bits_set(self.table, hashes & U((1 << self.bits) - 1)))
+        return hit[bits_set(self.table, hashes[hit] >> U(64 - self.bits))]
 
-def _probe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    hit = np.flatnonzero(bits_set(bitmap, hashes & U((1 << FILTER_BITS) - 1)))
-    return hit[bits_set(bitmap, hashes[hit] >> U(64 - FILTER_BITS))]
+
+SEEN = "key long, doc_id long, room long, held binary, probes array<long>"
 
 
 def _scan(k: int, widths: list[int], every, sketches):
+    """Documents with a shingle that may be sketched: all their shingles that may be an item's, and the sketched ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_bits, sketch_bits = every.value, sketches.value
+        of_items, of_sketches = every.value, sketches.value
         for batch in batches:
             for part in K.passes(batch, "text"):
                 hashes, _, _, at = K.words(*K.buffers(part.column(2)))
                 found = []
                 for width in widths:
                     grams = K.shingle_at(hashes, width)
-                    hit = _probe(all_bits, grams)
+                    hit = of_items.probe(grams)
                     doc = np.searchsorted(at, hit, "right") - 1
                     inside = hit + width <= at[doc + 1]
                     found.append((doc[inside], grams[hit[inside]]))
                 doc, gram = (np.concatenate(x) for x in zip(*found, strict=True))
-                likely = np.unique(doc[_probe(sketch_bits, gram)])
-                keep = np.isin(doc, likely)
-                doc, gram = doc[keep], gram[keep]
+                likely = of_sketches.probe(gram)
+                few = np.unique(doc[likely])
                 order = np.lexsort((gram, doc))
                 doc, gram = doc[order], gram[order]
-                new = np.ones(len(doc), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
-                doc, gram = doc[new], gram[new]
-                if len(doc):
-                    # shingles of the document at most: enough to leave out what is too small for an item
-                    room = np.maximum(np.diff(at)[doc] - k + 1, 1)
-                    index = pa.array(doc)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(room), pa.array(gram.view(np.int64))], ["key", "doc_id", "room", "hash"])
+                begin, end = np.searchsorted(doc, few), np.searchsorted(doc, few, "right")
+                held = [np.unique(gram[a:b]) for a, b in zip(begin, end, strict=True)]
+                probes = [h[of_sketches.probe(h)].view(np.int64) for h in held]
+                # shingles of the document at most: enough to leave out what is too small for an item
+                room = np.maximum(np.diff(at)[few] - k + 1, 1)
+                index = pa.array(few)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(room), pa.array([h.tobytes() for h in held], pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["key", "doc_id", "room", "held", "probes"])
+
+    return run
+
+
+def _verify(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [K.common(np.frombuffer(a.as_buffer(), dtype=U), np.frombuffer(b.as_buffer(), dtype=U)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            shared = np.array(both, dtype=np.int64)
+            keep = pa.array(np.flatnonzero(den * shared >= num * batch.column(4).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(shared).take(keep)], ["doc_id", "item", "n_shared"])
 
     return run
 
@@ -110,26 +135,51 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle_words: int = 5, s
 
     Returns doc_id, item_id, n_item_shingles, n_shared, containment.  An item of fewer than ``shingle_words`` words
     is one shingle, looked for as that sequence of words anywhere in the document.  Items without words (null,
-    blank) are in no document, documents without words hold none.  Repeated rows count once; a null id is an id
-    like others.  Further columns on either side are ignored, whatever their names.  Empty tables give no rows.
+    blank) are in no document, documents without words hold none.  A row of either side is judged by its own text:
+    an item is a set of shingles, whatever its id, and the rows of one item_id (or of none) with different texts are
+    found or not each for itself.  Of several finds of one (doc_id, item_id) the one with the greatest containment
+    is given, of equal ones that with most shared shingles; a null id is an id like others.  Further columns on
+    either side are ignored, whatever their names.  Empty tables give no rows.
     """
     num, den = share
-    own = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    parts = materialize(own.mapInArrow(_items(shingle_words, num / den), "item_id long, n long, width int, hash long, sketch boolean"), "items")
+    own = items.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).distinct()
+    read = materialize(own.mapInArrow(_items(shingle_words, num / den), ITEM), "items")
+    # items with equal sets are looked for once
+    sets = read.groupBy("elements", "width").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets.withColumn("item", F.monotonically_increasing_id()), "sets")
+    widths = sorted(r["width"] for r in sets.select("width").distinct().collect()) or [shingle_words]  # 1 to shingle_words
+    many = sets.agg(F.sum("n"), F.sum(F.size("sketch"))).first()
     context = docs.sparkSession.sparkContext
-    every, sketches = (context.broadcast(_filter(x)) for x in (parts, parts.where("sketch")))
-    widths = sorted(r["width"] for r in parts.select("width").distinct().collect())  # 1 to shingle_words
-    if not widths:
-        widths = [shingle_words]
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hits = rows.mapInArrow(_scan(shingle_words, widths, every, sketches), "key long, doc_id long, room long, hash long")
-    shared = hits.join(parts, "hash").where(F.col("room") * den >= F.col("n") * num)
-    shared = shared.groupBy("key", "doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"), F.max("sketch").alias("candidate"))
-    shared = shared.where(F.col("candidate") & (F.col("n_shared") * den >= F.col("n") * num))
-    return shared.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"), F.max(F.col("n_shared") / F.col("n")).alias("containment"))
+    every = context.broadcast(Filter(sets.select("elements").mapInArrow(_explode_sets, "hash long"), many[0] or 0))
+    sketches = context.broadcast(Filter(sets.select(F.explode("sketch").alias("hash")), many[1] or 0))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    seen = materialize(rows.mapInArrow(_scan(shingle_words, widths, every, sketches), SEEN), "seen")
+
+    # (document, item) by a common sketched shingle and the size of the item's partition: least share of its least set
+    probes = seen.select("key", "room", F.explode("probes").alias("hash"))
+    sketch = sets.select("item", "part", "n", F.explode("sketch").alias("hash"))
+    held = probes.groupBy("hash").agg(F.count("*").alias("many"))
+    sketched = materialize(sketch.groupBy("hash").agg(F.collect_list(F.struct("item", "part", "n")).alias("of")).join(held, "hash"), "sketched")
+    met = join_hot(probes, sketched, "hash", many=F.col("many"), width=24 * F.size("of") + 64).select("key", "room", F.explode("of").alias("i"))
+    least = F.when(F.col("i.part") > 0, F.expr("shiftleft(1L, i.part - 1) + 1")).otherwise(1)
+    fits = met.where((F.col("room") * den >= least * num) & (F.col("room") * den >= F.col("i.n") * num))
+    candidates = materialize(fits.select("key", F.col("i.item").alias("item")).distinct(), "candidates")
+
+    wanted = materialize(candidates.groupBy("item").agg(F.count("*").alias("many")).join(sets.select("item", "n", "elements"), "item"), "wanted")
+    pairs = join_hot(candidates, wanted, "item", many=F.col("many"), width=8 * F.col("n") + 64).join(seen.select("key", "doc_id", "held"), "key")
+    found = materialize(pairs.select("doc_id", "item", "elements", "held", "n").mapInArrow(_verify(num, den), "doc_id long, item long, n_shared long"), "found")
+    names = read.select("item_id", "elements", "width").join(sets.select("elements", "width", "item", "n"), ["elements", "width"]).select("item", "item_id", "n").distinct()
+    names = materialize(names.join(found.groupBy("item").agg(F.count("*").alias("many")), "item").groupBy("item", "n", "many").agg(F.collect_list(F.struct(F.col("item_id").alias("id"))).alias("ids")), "names")
+    out = join_hot(found, names, "item", many=F.col("many"), width=16 * F.size("ids") + 64).select("doc_id", "n", "n_shared", F.explode("ids").alias("i"))
+    best = F.max(F.struct((F.col("n_shared") / F.col("n")).alias("containment"), "n_shared", "n")).alias("b")
+    out = materialize(out.groupBy("doc_id", F.col("i.id").alias("item_id")).agg(best).select("doc_id", "item_id", F.col("b.n").alias("n_item_shingles"), "b.n_shared", "b.containment"), "contaminated")
+    discard(read, sets, seen, sketched, candidates, wanted, found, names)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows without an id go together: all of them if one holds an item."""
-    found = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("leaky_id")).distinct()
-    return by_ids(docs, id_col, materialize(found, "leaky"), "left_anti")
+    """``docs`` without the documents that hold a test item; rows that share an id, or have none, go together: all of them if one holds an item."""
+    found = contaminated(docs, items, id_col=id_col, **options)
+    leaky = materialize(found.select(F.col("doc_id").alias("leaky_id")).distinct(), "leaky")
+    discard(found)
+    return by_ids(docs, id_col, leaky, "left_anti")

@@ -90,11 +90,11 @@ def sql_grams(k: int) -> str:
 
 OP3_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {SQL_WORDS} AS w FROM documents),
-items AS (SELECT DISTINCT item_id, {SQL_WORDS} AS w FROM benchmark),
+items AS (SELECT row_number() OVER () AS i, item_id, {SQL_WORDS} AS w FROM benchmark),
 held AS (SELECT DISTINCT k, doc_id, unnest({sql_grams(5)}) AS s FROM docs),
-wanted AS (SELECT item_id, len(g) AS n, unnest(g) AS s FROM (SELECT item_id, list_distinct({sql_grams(5)}) AS g FROM items)),
-shared AS (SELECT k, doc_id, item_id, n, count(*) AS c FROM held JOIN wanted USING (s) GROUP BY ALL HAVING 100 * c >= 80 * n)
-SELECT doc_id, item_id, max(n) AS n_item_shingles, max(c) AS n_shared, max(c / n) AS containment FROM shared GROUP BY doc_id, item_id
+wanted AS (SELECT i, item_id, len(g) AS n, unnest(g) AS s FROM (SELECT i, item_id, list_distinct({sql_grams(5)}) AS g FROM items)),
+shared AS (SELECT k, doc_id, i, item_id, n, count(*) AS c FROM held JOIN wanted USING (s) GROUP BY ALL HAVING 100 * c >= 80 * n)
+SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, c / n AS containment FROM shared QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY c / n DESC, c DESC) = 1
 """
 
 

@@ -309,6 +309,47 @@ def test_counts_are_those_of_the_library(hard, chunk, overlap):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (want, len(text.encode()), want > 100), text[:40]
 
 
+UNSPACED = ["".join(random.Random(1).choice("一二三四五六七八九") for _ in range(3000)), "".join(random.Random(2).choice("ab1+/9Zx") for _ in range(3000)), "var a=1;if(a){b();}" * 150, "x" * 90 + "'s" * 80 + "''s" * 60 + " " * 200 + "<|endoftext|>" * 30 + "<|endo" * 40, "、".join("日本語テスト" for _ in range(300)), "'" * 300 + "s't're" * 60]
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(400, 64), (97, 40)])
+def test_texts_without_blanks(spark, chunk, overlap):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame(list(enumerate(UNSPACED)), "doc_id long, text string").repartition(2)
+    model, ranks = Tokenizer.from_file(JSON), bpe.ranks_of(RANKS, P.PATTERN).core
+    counts = {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(df, tokenizer_path=JSON, chunk_chars=chunk, overlap_chars=overlap).collect()}
+    assert counts == {i: len(model.encode(t, add_special_tokens=False).ids) for i, t in enumerate(UNSPACED)}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_decode(df, ranks_path=RANKS, pattern=P.PATTERN, chunk_chars=chunk, overlap_chars=overlap, with_ids=True).collect()}
+    assert got == {i: ranks.encode_ordinary(t) for i, t in enumerate(UNSPACED)}
+
+
+def test_every_scan_begins_a_pre_token_at_a_seam():
+    pattern = bpe.ranks_of(RANKS, P.PATTERN).pattern
+    rng = random.Random(3)
+    for text in [*HARD, *UNSPACED]:
+        seams = {m.start() + 1 for m in bpe.SEAM.finditer(text, overlapped=True)}
+        for low in [0, *(rng.randrange(len(text)) for _ in range(20))]:
+            starts = {m.start() for m in pattern.finditer(text, low)}
+            assert {p for p in seams if p > low} <= starts
+
+
+def test_long_unspaced_texts_take_linear_time(spark):
+    import time
+
+    text = "".join(random.Random(5).choice("一二三四五六七八九") for _ in range(800_000))
+    model = bpe.tokenizer_of(JSON)
+    began = time.perf_counter()
+    want = len(model.encode(text, add_special_tokens=False).ids)
+    library = time.perf_counter() - began
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bpe.count_tokens(df.limit(0), tokenizer_path=JSON).collect()
+    began = time.perf_counter()
+    assert bpe.count_tokens(df, tokenizer_path=JSON).first()["n_tokens"] == want
+    # each character is encoded twice at most; the rest is Spark's own time
+    assert time.perf_counter() - began < 3 * library + 15
+
+
 def test_encoding_nothing(empty):
     assert bpe.encode_decode(empty, ranks_path=RANKS, pattern=P.PATTERN).count() == 0
     assert bpe.count_tokens(empty, tokenizer_path=JSON).count() == 0

@@ -2,9 +2,10 @@
 
 Texts of up to ``chunk_chars`` are encoded where they are read.  Longer ones are cut into overlapping chunks that
 Spark deals out; neighbours are spliced at a position where both begin a pre-token and neither could have been
-misled by its own ends.  From such a position on a left-to-right scan depends only on what follows, so the
-spliced tokens are those of the whole text.  Where two chunks do not align, the overlap is widened: they are
-joined and encoded as one.
+misled by its own ends.  A left-to-right scan depends only on what follows the place it stands at.  So a chunk's scan is
+that of the whole text from its first seam on (a place where every scan begins a pre-token, see SEAM), and two chunks
+that begin a pre-token at one place, the left one past a seam, agree from there on.  Where two chunks do not align, the
+overlap is widened to all of both: they are joined and encoded as one, once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,18 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharfline.shared import materialize
+
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
 #: A pre-token is stable if the scan that found it saw so many characters past its end before the chunk ended
 #: (contractions look three characters ahead of their start, white space one past its run).
 MARGIN = 4
+#: Two characters between which every pre-token pattern of this family ends one: white space after something else, or a
+#: change of kind among letters, digits and other characters (but not into letters from others: a contraction crosses that).
+SEAM = regex.compile(r"\S\s|\p{L}[^\s\p{L}]|\p{N}[^\s\p{N}]|[^\s\p{L}\p{N}]\p{N}")
+#: Places of an overlap that a word of its bitmap holds (half of a long, so that no sign is in the way).
+WORD = 32
 
 
 # ---------------------------------------------------------------- tokenizers of a worker
@@ -94,7 +102,12 @@ class Counter:
             shape = json.load(f)
         before = shape["pre_tokenizer"] or {}
         self.splits = shape["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        added = self.model.get_added_tokens_decoder().values()
+        self.special = [x.content for x in added]
+        self.plain = not any(x.lstrip or x.rstrip or x.single_word for x in added)
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        #: A special string that an end of a chunk cuts has fewer characters than this.
+        self.reach = max(map(len, self.special), default=0)
         self.words = regex.compile(BYTE_LEVEL)
         self.known: dict[str, int] = {}
 
@@ -113,6 +126,15 @@ class Counter:
         known.update(zip(new, map(len, self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return sum(map(known.__getitem__, words))
 
+    def pre_tokens(self, text: str) -> Iterator[tuple[int, int]]:
+        """Ends of the library's own pre-tokens, and of special strings."""
+        at = 0
+        for low, high in [*(m.span() for m in self.cut.finditer(text)), (len(text), len(text))] if self.cut else [(len(text), len(text))]:
+            yield from ((at + a, at + b) for _, (a, b) in self.model.pre_tokenizer.pre_tokenize_str(text[at:low]))
+            if high > low:
+                yield low, high
+            at = high
+
 
 #: Fixed value: the pre-token pattern of byte-level tokenizer files.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,40 +148,99 @@ def counter_of(path: str) -> Counter:
 # ---------------------------------------------------------------- chunks
 
 
+CHUNK = "key long, doc_id long, n_bytes long, chunk int, low long, text string, last boolean"
+EDGES = "head array<long>, tail array<long>, synced boolean"
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, n_bytes, text): key tells rows apart even where doc_id repeats or is null."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+
+
 def chunked(rows: DataFrame, *, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    """(key, doc_id, chunk, low, text) of texts longer than ``chunk_chars``: chunk c covers [c * chunk_chars, (c + 1) * chunk_chars + overlap)."""
+    """Texts longer than ``chunk_chars`` in chunks: c covers [c * chunk_chars, (c + 1) * chunk_chars + overlap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("chunk", pa.int32()), ("low", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
         for batch in batches:
-            for key, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, doc, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lows = range(0, len(text), chunk_chars)
                 for c, low in enumerate(lows):
-                    yield pa.RecordBatch.from_pylist([{"key": key, "doc_id": doc, "chunk": c, "low": low, "text": text[low : low + chunk_chars + overlap_chars], "last": c == len(lows) - 1}], schema=CHUNK)
-
-    long_ones = rows.where(F.length("text") > chunk_chars)
-    return long_ones.mapInArrow(run, "key long, doc_id long, chunk int, low long, text string, last boolean").repartition("key", "chunk")
-
+                    yield pa.RecordBatch.from_pylist([{"key": key, "doc_id": doc, "n_bytes": size, "chunk": c, "low": low, "text": text[low : low + chunk_chars + overlap_chars], "last": c == len(lows) - 1}], schema=fields)
 
-CHUNK = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("low", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
+    return rows.where(F.length("text") > chunk_chars).mapInArrow(run, CHUNK).repartition("key", "chunk")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, doc_id, text): key tells rows apart even where doc_id repeats or is null."""
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def stable_starts(text: str, ends: Iterator[tuple[int, int]], whole: bool) -> list[int]:
+def stable_starts(length: int, ends: Iterator[tuple[int, int]], whole: bool, margin: int = MARGIN) -> list[int]:
     """Starts of pre-tokens that the end of a cut text can't have touched, and the start after the last of them."""
-    limit = len(text) if whole else len(text) - MARGIN
+    limit = length if whole else length - margin
     out = []
     for start, end in ends:
-        if start + MARGIN > limit and not whole or end > limit:
-            out.append(start)
-            break
         out.append(start)
+        if start + margin > limit and not whole or end > limit:
+            break
     return out
 
 
+def edges_of(text: str, starts: list[int], *, chunk_chars: int, overlap_chars: int, reach: int = 0) -> tuple[list[int], list[int], bool]:
+    """Bitmaps of the starts in the overlaps with the chunk before (head) and after (tail), and whether a seam lies before the tail.
+
+    The first ``reach`` characters may belong to a special string that began before.
+    """
+    words = -(-overlap_chars // WORD)
+    head, tail = [0] * words, [0] * words
+    for s in starts:
+        if s < overlap_chars:
+            head[s // WORD] |= 1 << s % WORD
+        if chunk_chars <= s < chunk_chars + overlap_chars:
+            tail[(s - chunk_chars) // WORD] |= 1 << (s - chunk_chars) % WORD
+    known = set(starts)
+    synced = any(m.start() + 1 in known for m in SEAM.finditer(text, reach, chunk_chars, overlapped=True))
+    return head, tail, synced
+
+
+def splices(chunks: DataFrame, chunk_chars: int) -> DataFrame:
+    """(key, chunk, begin, end, piece, alone): where each chunk's own text begins and ends, and the piece it is part of.
+
+    A piece begins where two chunks align; chunks that do not align with the one before go on with its piece, from
+    where that one's text ended.  Only bitmaps of the overlaps are shuffled by document.
+    """
+    own = Window.partitionBy("key").orderBy("chunk")
+    few = chunks.select("key", "chunk", "low", F.length("text").alias("size"), "last", "head", F.when(F.col("synced") | (F.col("chunk") == 0), F.col("tail")).alias("tail"))
+    lowest = lambda a, b: F.array_min(F.filter(F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), lambda w, i: F.when(w != 0, i * WORD + F.bit_count(w.bitwiseAND(-w) - 1))), lambda v: v.isNotNull()))
+    found = few.withColumn("begin", lowest(F.col("head"), F.lag("tail").over(own))).withColumn("end", lowest(F.col("tail"), F.lead("head").over(own)))
+    nominal = F.col("low") + F.when(F.col("last"), F.col("size")).otherwise(F.lit(chunk_chars))
+    begin, end = F.col("low") + F.coalesce("begin", F.lit(0)), F.coalesce(F.col("low") + chunk_chars + F.col("end"), nominal)
+    placed = found.select("key", "chunk", begin.alias("begin"), end.alias("end"), F.sum(F.col("begin").isNotNull().cast("long")).over(own).alias("piece"), (F.col("last") | F.col("end").isNotNull()).alias("ends"), (F.col("begin").isNotNull() | (F.col("chunk") == 0)).alias("begins"))
+    return placed.select("key", "chunk", "begin", "end", "piece", (F.col("begins") & F.col("ends")).alias("alone"))
+
+
+def joined_pieces(cut: DataFrame, process, schema: str) -> DataFrame:
+    """Apply ``process(key, doc_id, n_bytes, piece, text)`` to the joined texts of pieces of several chunks (key, doc_id, n_bytes, piece, chunk, own)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = None, []
+        for batch in batches:
+            for *name, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
+                if held is not None and held != name:
+                    yield process(*held, "".join(words))
+                    words = []
+                held = name
+                words.append(text)
+        if held is not None:
+            yield process(*held, "".join(words))
+
+    several = cut.where("not alone").select("key", "doc_id", "n_bytes", "piece", "chunk", "own")
+    return several.repartition("key", "piece").sortWithinPartitions("key", "piece", "chunk").mapInArrow(run, schema)
+
+
+def _cut(chunks: DataFrame, chunk_chars: int) -> DataFrame:
+    """``chunks`` with their splices and ``own``, the text that no other chunk has."""
+    own = F.col("text").substr((F.col("begin") - F.col("low")).cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))
+    return chunks.join(splices(chunks, chunk_chars), ["key", "chunk"]).withColumn("own", own)
+
+
 # ---------------------------------------------------------------- encoding and decoding (operator 4)
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -187,42 +268,35 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ranks_of(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, done = batch.slice(at, 256), []
-                for doc, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for at in range(0, batch.num_rows, 128):
+                part, done = batch.slice(at, 128), []
+                for doc, text in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
                     ids = bpe.encode(text)
                     raw = bpe.decode(ids)
                     done.append(finish(doc, len(ids), hashlib.sha256(bpe.decimals(ids)[:-1]), hashlib.sha256(raw), [ids], [raw]))
                 yield table(done)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pre-token starts of each chunk in its overlaps with the chunk before (head) and after (tail)."""
         bpe = ranks_of(ranks_path, pattern)
         for batch in batches:
-            heads, tails = [], []
-            for low, text, last in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                starts = stable_starts(text, (m.span() for m in bpe.pattern.finditer(text)), last)
-                heads.append([low + s for s in starts if s < overlap_chars])
-                tails.append([low + s for s in starts if s >= chunk_chars])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*batch.schema.names, "head", "tail"])
+            found = []
+            for text, last in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                starts = stable_starts(len(text), (m.span() for m in bpe.pattern.finditer(text)), last)
+                found.append(edges_of(text, starts, chunk_chars=chunk_chars, overlap_chars=overlap_chars))
+            head, tail, synced = ([f[i] for f in found] for i in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64())), pa.array(synced, pa.bool_())], [*batch.schema.names, "head", "tail", "synced"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Encode the text between two splices; chunks that did not align follow each other and are joined first."""
-        bpe, held, words = ranks_of(ranks_path, pattern), None, []
+    piece_schema = "key long, doc_id long, piece long, ids binary"
+    fields = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())])
 
-        def flush():
-            ids = bpe.encode("".join(words))
-            return pa.RecordBatch.from_pylist([{"key": held[0], "doc_id": held[1], "piece": held[2], "ids": ids.tobytes()}], schema=pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())]))
+    def several(key, doc, _, piece, text) -> pa.RecordBatch:
+        ids = ranks_of(ranks_path, pattern).encode(text)
+        return pa.RecordBatch.from_pylist([{"key": key, "doc_id": doc, "piece": piece, "ids": ids.tobytes()}], schema=fields)
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, doc, piece, text in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if held is not None and held != (key, doc, piece):
-                    yield flush()
-                    words = []
-                held = (key, doc, piece)
-                words.append(text)
-        if held is not None:
-            yield flush()
+            for key, doc, piece, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield several(key, doc, None, piece, text)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digests over the pieces of a document in their order, a piece in memory at a time."""
@@ -246,16 +320,9 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str
             yield table([finish(*state)])
 
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, ENCODED + extra)
-    chunks = chunked(rows, chunk_chars=chunk_chars, overlap_chars=overlap_chars)
-    chunks = chunks.mapInArrow(edges, "key long, doc_id long, chunk int, low long, text string, last boolean, head array<long>, tail array<long>")
-    own = Window.partitionBy("key").orderBy("chunk")
-    chunks = chunks.withColumn("begin", F.array_min(F.array_intersect("head", F.lag("tail").over(own)))).withColumn("end", F.array_min(F.array_intersect("tail", F.lead("head").over(own))))
-    # a chunk without a common start on its left goes on with the piece before it, from where that one's text ended
-    nominal = F.col("low") + F.when(F.col("last"), F.length("text")).otherwise(F.lit(chunk_chars))
-    begin, end = F.coalesce("begin", "low"), F.coalesce(F.col("end"), nominal)
-    text = F.col("text").substr((begin - F.col("low")).cast("int") + 1, (end - begin).cast("int"))
-    cut = chunks.select("key", "doc_id", F.sum(F.col("begin").isNotNull().cast("long")).over(own).alias("piece"), text.alias("text"), "chunk")
-    encoded = cut.repartition("key", "piece").sortWithinPartitions("key", "piece", "chunk").mapInArrow(pieces, "key long, doc_id long, piece long, ids binary")
+    chunks = materialize(chunked(rows, chunk_chars=chunk_chars, overlap_chars=overlap_chars).mapInArrow(edges, f"{CHUNK}, {EDGES}"), "chunks")
+    cut = _cut(chunks, chunk_chars)
+    encoded = cut.where("alone").select("key", "doc_id", "piece", "own").mapInArrow(alone, piece_schema).unionByName(joined_pieces(cut, several, piece_schema))
     return short.unionByName(encoded.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(joined, ENCODED + extra))
 
 
@@ -265,71 +332,55 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str
 def count_tokens(docs: DataFrame, *, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """Tokens of each whole text as the tokenizer file gives them: doc_id, n_bytes, n_tokens, over_limit, a row for each row of ``docs``.
 
-    Special strings inside a text are handled as the tokenizer does by default; none are added.  Chunks of huge
-    documents are encoded with offsets and spliced where both neighbours begin a token at white space that
-    follows something else: byte-level pre-tokens never span such a place, so the splice is proven stable.
+    Special strings inside a text are handled as the tokenizer does by default; none are added.  Overlapping chunks of
+    huge documents are encoded with offsets, and the tokens between two splices are counted by where they begin; the
+    splices are common starts of the library's own pre-tokens.  Only chunks that don't align are encoded again, once,
+    as the one text they make up.  A tokenizer file that doesn't encode pre-tokens each by itself, or whose special strings
+    take in blanks around them, is given every text whole.
     A null text counts as empty.  Repeated rows and ids, null ids, further columns of any name and an empty
     table are fine.
     """
     rows = keyed(docs, id_col, text_col)
     result = "key long, doc_id long, n_bytes long, n_tokens long"
+    names = ["key", "doc_id", "n_bytes", "n_tokens"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter_of(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(2).to_pylist()
-                counts = [count(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], ["key", "doc_id", "n_bytes", "n_tokens"])
-
-    def starts_in(model, text: str) -> np.ndarray:
-        return np.array([a for a, _ in model.encode(text, add_special_tokens=False).offsets], dtype=np.int64)
-
-    def seams(text: str, starts: np.ndarray, low: int, high: int) -> list[int]:
-        """Stable boundaries in [low, high): token starts at white space after something else."""
-        begins = set(starts[(starts >= low) & (starts < high)].tolist())
-        return [p for p in range(max(low, 1), min(high, len(text))) if p in begins and text[p].isspace() and not text[p - 1].isspace()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([count(t) for t in part.column(3).to_pylist()], pa.int64())], names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer_of(tokenizer_path)
+        count = counter_of(tokenizer_path)
         for batch in batches:
-            out = []
-            for text in batch.column(4).to_pylist():
-                out.append(starts_in(model, text).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "starts"])
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks of a document in order: count the tokens up to each splice; join and encode again what does not align."""
-        model, held = tokenizer_of(tokenizer_path), None
-        fields = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-        done = lambda: pa.RecordBatch.from_pylist([{"key": held[0], "doc_id": held[1], "n_bytes": held[2] + len(text.encode()), "n_tokens": held[3] + len(starts)}], schema=fields)
-        text, base, starts = "", 0, np.zeros(0, dtype=np.int64)
+            found, places = [], []
+            for text, last in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                starts = stable_starts(len(text), count.pre_tokens(text), last, MARGIN + count.reach)
+                found.append(edges_of(text, starts, chunk_chars=chunk_chars, overlap_chars=overlap_chars, reach=count.reach))
+                places.append(np.array([a for a, _ in count.model.encode(text, add_special_tokens=False).offsets], dtype=np.int32).tobytes())
+            head, tail, synced = ([f[i] for f in found] for i in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64())), pa.array(synced, pa.bool_()), pa.array(places, pa.binary())], [*batch.schema.names, "head", "tail", "synced", "places"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, doc, low, new, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 6)), strict=True):
-                new_starts = np.frombuffer(packed, dtype=np.int32).astype(np.int64)
-                if held is None or held[0] != key:
-                    if held is not None:
-                        yield done()
-                    held, text, base, starts = [key, doc, 0, 0], new, low, new_starts
-                    continue
-                begin, end = low - base, len(text)
-                # both sides' seams in the overlap, in places of the left text
-                both = sorted(set(seams(text, starts, begin, end - MARGIN)) & {p + begin for p in seams(new, new_starts, 0, end - begin - MARGIN)})
-                if both:
-                    p = both[len(both) // 2]
-                    held[2] += len(text[:p].encode())
-                    held[3] += int(np.count_nonzero(starts < p))
-                    cut = p - begin
-                    text, base, starts = new[cut:], base + p, new_starts[new_starts >= cut] - cut
-                else:  # widen: the overlap becomes all of both chunks
-                    text = text + new[end - begin :]
-                    starts = starts_in(model, text)
-        if held is not None:
-            yield done()
-
+            counts = []
+            for packed, begin, end in zip(batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                places = np.frombuffer(packed.as_buffer(), dtype=np.int32)
+                counts.append(int(np.count_nonzero((places >= begin) & (places < end))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], names)
+
+    def several(key, doc, size, _, text) -> pa.RecordBatch:
+        n = len(tokenizer_of(tokenizer_path).encode_batch_fast([text], add_special_tokens=False)[0])
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (key, doc, size, n)], names)
+
+    known = counter_of(tokenizer_path)
+    limit_flag = (F.col("n_tokens") > limit).alias("over_limit")
+    if not (known.splits and known.plain):
+        return rows.mapInArrow(whole, result).select("doc_id", "n_bytes", "n_tokens", limit_flag)
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, result)
-    chunks = chunked(rows, chunk_chars=chunk_chars, overlap_chars=overlap_chars)
-    parts = chunks.mapInArrow(encode, "key long, doc_id long, chunk int, low long, text string, last boolean, starts binary")
-    long_ones = parts.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(splice, result)
-    return short.unionByName(long_ones).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    chunks = materialize(chunked(rows, chunk_chars=chunk_chars, overlap_chars=overlap_chars).mapInArrow(encode, f"{CHUNK}, {EDGES}, places binary"), "chunks")
+    cut = _cut(chunks, chunk_chars)
+    counted = cut.where("alone").select("key", "doc_id", "n_bytes", "places", (F.col("begin") - F.col("low")).alias("begin"), (F.col("end") - F.col("low")).alias("end")).mapInArrow(alone, result)
+    counted = counted.unionByName(joined_pieces(cut, several, result)).groupBy("key", "doc_id", "n_bytes").agg(F.sum("n_tokens").alias("n_tokens"))
+    return short.unionByName(counted).select("doc_id", "n_bytes", "n_tokens", limit_flag)

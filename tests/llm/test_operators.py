@@ -467,23 +467,66 @@ def test_quality_without_labels(spark, docs):
 # ---------------------------------------------------------------- 8: fingerprints
 
 
+def brute_print(text):
+    """Distinct anchor hashes of a text and the byte place where each first stands, by the definition of a closed syncmer."""
+    raw, out = text.encode(), {}
+    for i in range(len(raw) - syncmers.KMER + 1):
+        stir = [kernels_order(raw[i + j : i + j + syncmers.S]) for j in range(syncmers.KMER - syncmers.S + 1)]
+        if min(stir) in (stir[0], stir[-1]):
+            ends = [np.array([int.from_bytes(raw[i + j : i + j + syncmers.S], "little")], dtype=np.uint64) for j in (0, syncmers.KMER - syncmers.S)]
+            h = kernels.mix(ends[0] * np.uint64(0xC2B2AE3D27D4EB4F) + kernels.mix(ends[1]))[0]
+            out.setdefault(int(h >> np.uint64(32)), i)
+    if raw and not out:
+        out[int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") >> 32] = 0
+    kept = sorted(out)[: max(syncmers.LEAST, len(out) // syncmers.SHARE)]
+    return {h: out[h] for h in kept}
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    cut = min([max(x) for x in (a, b) if len(x) >= syncmers.LEAST], default=2**32)
+    a, b = ({h: p for h, p in x.items() if h <= cut} for x in (a, b))
+    shared = sorted((a[h], b[h]) for h in a.keys() & b.keys())
+    longest = []
+    for i, (_, q) in enumerate(shared):
+        longest.append(1 + max((longest[j] for j in range(i) if shared[j][1] < q), default=0))
+    return max(longest, default=0) / len(a.keys() | b.keys())
+
+
+def hash_order(text):
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(text.encode(), seed=42) + 2**63) % 2**64 - 2**63
+
+
 @pytest.mark.parametrize("range_bytes", [12 << 20, 3000])
-def test_edited_texts_and_likeness(docs, monkeypatch, range_bytes):
+def test_fingerprints_as_brute_force(docs, monkeypatch, range_bytes):
+    """Edited texts, fingerprints and both likenesses; with 3000 bytes a range, many ranges and an id of several of them."""
     monkeypatch.setattr(syncmers.with_next, "__kwdefaults__", {"range_bytes": range_bytes})
-    source = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
-    want = Counter()
+    rng = random.Random(1)
+    more = [(None, X.prose(rng, 60)) for _ in range(40)] + [(8, X.prose(rng, 60)) for _ in range(40)] + [(5, "doubled"), (5, "doubled")]
+    table = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
+    source = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), key=lambda p: (p[0] is not None, p[0] or 0, hash_order(p[1])))
+    prints, want = {}, Counter()
+    of = lambda t: prints.setdefault(t, brute_print(t))
+    shown = lambda x: "".join(f"{h:08x}{p:08x}" for h, p in sorted(x.items(), key=lambda v: v[1]))
     for (i, a), (_, b) in zip(source, source[1:] + source[:1], strict=True):
         half = len(a) // 2
-        want[i, len(a), hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()] += 1
-    rows = syncmers.edited_fingerprints(docs).collect()
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == want
-    text_of = dict(source)
-    prints = {}
-    for r in rows:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if r["doc_id"] is not None:
-            assert prints.setdefault(text_of[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
-    assert prints[""] == "" and len(set(prints.values())) > len(prints) * 0.8
+        e = a[: len(a) - half] + b[:half]
+        want[i, len(a), hashlib.sha256(e.encode()).hexdigest(), shown(of(a)), shown(of(e)), round(brute_likeness(of(a), of(e)), 9), round(brute_likeness(of(a), of(b)), 9)] += 1
+    got = syncmers.edited_fingerprints(table).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+
+
+def test_ranges_are_of_one_order():
+    rng = np.random.default_rng(1)
+    value, tie = np.sort(rng.integers(-5, 6, 5000)), rng.integers(-(2**63), 2**63 - 1, 5000)
+    order = np.lexsort((tie, value))
+    for cuts in ([], [0], [-3, 0, 0, 0, 4], [-9, 9]):
+        found = syncmers.range_of(np.array(cuts, dtype=np.int64), value[order], tie[order])
+        assert (np.diff(found) >= 0).all() and found.min() >= 0 and found.max() <= len(cuts)
+    assert len(set(syncmers.range_of(np.array([0, 0, 0]), np.zeros(500, dtype=np.int64), tie[:500]))) == 4
 
 
 def test_a_single_document_follows_itself(spark, empty):
@@ -517,16 +560,19 @@ def kernels_order(word):
     return x ^ x >> 32
 
 
-def test_likeness_is_near_jaccard():
-    rng = np.random.default_rng(4)
-    for share in (0.2, 0.6, 0.9):
+def test_likeness_of_long_texts_is_near_that_of_all_anchors():
+    rng = random.Random(4)
+    for share in (0.01, 0.05, 0.3):
         errors = []
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 2**32, 500, dtype=np.uint32))
-            b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 2**32, 200, dtype=np.uint32)]))
-            truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            errors.append(syncmers.likeness(a[: syncmers.SKETCH], b[: syncmers.SKETCH]) - truth)
-        assert abs(np.mean(errors)) < 0.05
+        for _ in range(10):
+            text = X.prose(rng, 3000, 10**6)
+            other = X.edited(rng, text, share)
+            a, b = ({h for h in (syncmers.anchors_of(*kernels.buffers(pa.array([t])))[1] >> np.uint64(32)).tolist()} for t in (text, other))
+            errors.append(syncmers.likeness(*syncmers.fingerprints_of([text, other])) - len(a & b) / len(a | b))
+        assert abs(np.mean(errors)) < 0.03
+    a, b = X.prose(rng, 400), X.prose(rng, 400)
+    swapped = syncmers.likeness(*syncmers.fingerprints_of([f"{a} {b}", f"{b} {a}"]))
+    assert 0.3 < swapped < 0.7  # the passages are all there, one of them out of place
 
 
 # ---------------------------------------------------------------- 9: toxicity

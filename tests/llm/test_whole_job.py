@@ -51,7 +51,7 @@ def test_altered_license_texts_as_brute_force(spark):
 def test_texts_without_a_syncmer_keep_apart():
     rng = random.Random(5)
     texts = sorted({"".join(rng.choice("abcdefgh ") for _ in range(16 + i % 7)) for i in range(400)})
-    prints = [syncmers.written(s) for s in syncmers.sketches_of(["", *texts])]
+    prints = [syncmers.written(s) for s in syncmers.fingerprints_of(["", *texts])]
     assert prints[0] == "" and "" not in prints[1:] and len(set(prints[1:])) == len(texts)
     data, offsets = kernels.buffers(pa.array(texts, pa.large_string()))
     place, _, doc = syncmers.anchors_of(data, offsets)

@@ -2,18 +2,21 @@
 
 A k-mer of bytes is an anchor if the least of its inner s-mers (by a stirred value) stands at either edge.  That
 depends on the k-mer alone, so a passage has the same anchors wherever it stands; edits touch only the
-anchors they overlap.  A fingerprint is the sketch of the least ``SKETCH`` anchor hashes of a text.
+anchors they overlap.  A fingerprint is a share of a text's anchors, those with the least hashes, with their places; the
+share is fixed, so fingerprints grow with their texts.  Two fingerprints are matched by place: shared anchors count as
+far as they stand in the same order in both texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -21,9 +24,10 @@ from .licenses import sliding_min
 
 U = np.uint64
 S, KMER = 8, 16
-SKETCH = 64
-#: Text that a range of neighbouring documents holds, about.
-RANGE_BYTES = 12 << 20
+#: Anchors that a fingerprint keeps: LEAST, or one in SHARE where that is more.
+LEAST, SHARE = 64, 8
+#: Text that a range of neighbouring documents holds, about, and the ranges at most; a range streams through its task.
+RANGE_BYTES, MOST_RANGES = 12 << 20, 20_000
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,38 +60,59 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return place, hashes, doc
 
 
-def sketches_of(texts: list[str]) -> list[np.ndarray]:
-    """The least SKETCH distinct 32-bit anchor hashes of each text, in order."""
+def fingerprints_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The kept anchors of each text: distinct 32-bit hashes in ascending order, and the byte place where each first stands."""
     data, offsets = K.buffers(pa.array(texts, pa.large_string()))
-    _, hashes, doc = anchors_of(data, offsets)
+    place, hashes, doc = anchors_of(data, offsets)
     low = (hashes >> U(32)).astype(np.uint32)
     at = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
     for d in range(len(texts)):
-        own = low[at[d] : at[d + 1]]
-        if len(own) > 4 * SKETCH:
-            # enough of the least ones that SKETCH distinct are among them, unless most are repeats
-            part = np.unique(np.partition(own, 3 * SKETCH)[: 3 * SKETCH])
-            own = part if len(part) > SKETCH else np.unique(own)
-        else:
-            own = np.unique(own)
-        out.append(own[:SKETCH])
+        own, where = np.unique(low[at[d] : at[d + 1]], return_index=True)
+        keep = max(LEAST, len(own) // SHARE)
+        out.append((own[:keep], place[at[d] + where[:keep]] - offsets[d]))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard likeness of two anchor sets from their sketches (exact where both sets are whole); two empty ones are alike."""
-    union = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        union = union[:SKETCH]
-    if not len(union):
-        return 1.0
-    return K.common(np.intersect1d(a, b, assume_unique=True), union) / len(union)
+def in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the pairs of places (a, b) stand in one ascending order on both sides."""
+    b = b[np.argsort(a, kind="stable")]
+    if (np.diff(b) > 0).all():
+        return len(b)
+    tails: list[int] = []
+    for v in b.tolist():
+        i = bisect_left(tails, v)
+        if i == len(tails):
+            tails.append(v)
+        else:
+            tails[i] = v
+    return len(tails)
+
 
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of the anchors of two texts that match by hash and order; two without anchors are alike.
 
-def written(sketch: np.ndarray) -> str:
-    """A sketch as hexadecimal digits, eight for each hash."""
-    return sketch.astype(">u4").tobytes().hex()
+    The anchors are those below the last hash that both fingerprints reach, so that neither has left any out: the
+    share is exact where both are whole, else an estimate over a part that grows with the texts.
+    """
+    (x, px), (y, py) = a, b
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    whole = [len(h) < LEAST for h in (x, y)]
+    ends = [h[-1] for h, w in zip((x, y), whole, strict=True) if not w]
+    if ends:
+        cut = min(ends)
+        nx, ny = np.searchsorted(x, cut, "right"), np.searchsorted(y, cut, "right")
+        x, px, y, py = x[:nx], px[:nx], y[:ny], py[:ny]
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return in_order(px[i], py[j]) / (len(x) + len(y) - len(i))
+
+
+def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
+    """A fingerprint in the order of its text: for each anchor eight hexadecimal digits of its hash and eight of its place."""
+    hashes, place = print_
+    order = np.argsort(place, kind="stable")
+    return np.stack([hashes[order], place[order]], axis=1).astype(">u4").tobytes().hex() if len(hashes) else ""
 
 
 def anchors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,46 +131,50 @@ def anchors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 # ---------------------------------------------------------------- neighbours in the order of ids
 
 
-def _range_of(value: Column, cuts: list[int]) -> Column:
-    """Number of cuts that do not exceed a value, looked up in two steps of about the root of their number each."""
-    wide = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    longs = lambda values: F.lit([int(v) for v in values]).cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
-    below = lambda values: F.size(F.filter(values, lambda c: c <= value))
-    leads = [g[0] for g in groups]
-    coarse = below(longs(leads))
-    if not groups:
-        return F.lit(0)
-    inner = F.element_at(F.array(*(longs(g[1:]) for g in groups)), F.greatest(coarse, F.lit(1)))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * wide + 1 + below(inner))
+def range_cuts(rows: DataFrame, ranges: int) -> np.ndarray:
+    """The last values of ``ord`` of all ranges but the last, of about equal numbers of rows; a value with many rows ends several."""
+    if ranges < 2:
+        return np.zeros(0, dtype=np.int64)
+    shares = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(F.percentile_approx("ord", shares, 20 * ranges)).first()[0]  # MOST_RANGES numbers at most
+    return np.array(sorted(found or []), dtype=np.int64)
+
+
+def range_of(cuts: np.ndarray, value: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Number of the range of each row; rows of a value that ends several are dealt to those by their hash, in its order."""
+    low, high = np.searchsorted(cuts, value, "left"), np.searchsorted(cuts, value, "right")
+    share = (tie.view(np.uint64) ^ U(1 << 63)) >> U(32)  # the order of a signed hash, from 0 to 2^32
+    return low + ((share * (high - low + 1).astype(U)) >> U(32)).astype(np.int64) * (high > low)
 
 
 def with_next(docs: DataFrame, process, schema: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Apply ``process(ids, texts, next_texts)`` to runs of neighbours in the order of (doc_id, text), the first after the last.
+    """Apply ``process(ids, texts, next_texts)`` to runs of neighbours in the order of (doc_id, hash of the text), the first after the last.
 
-    ``docs`` has doc_id and text.  One shuffle by ranges of ids; each range also gets the first document of the
-    next one.  No task holds more than a range, and of that one Arrow batch at a time.
+    ``docs`` has doc_id and text.  One shuffle by ranges of that order; each range also gets the first document of the
+    next one.  A range streams through its task, an Arrow batch at a time.
     """
     spark = docs.sparkSession
-    first_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    rows = docs.select(first_id.alias("ord"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("ord"), F.xxhash64(text).alias("tie"), "doc_id", text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    ranges = -(-total // range_bytes)
-    cuts: list[int] = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(docs.select(first_id.alias("ord")).agg(F.percentile_approx("ord", shares, 20 * ranges)).first()[0]))  # a number for each range
-    placed = rows.withColumn("range", _range_of(F.col("ord"), cuts).cast("int"))
-    firsts = sorted((r["range"], r["ord"]) for r in docs.select(first_id.alias("ord")).withColumn("range", _range_of(F.col("ord"), cuts).cast("int")).groupBy("range").agg(F.min("ord").alias("ord")).collect())
-    before = [(firsts[i - 1][0], r, o) for i, (r, o) in enumerate(firsts)]
-    heads = placed.join(F.broadcast(spark.createDataFrame(before, "goes int, range int, ord long")), ["range", "ord"]).groupBy("goes", "ord", "doc_id").agg(F.min("text").alias("text"))
-    every = placed.select("range", F.lit(0).alias("head"), "ord", "doc_id", "text").unionByName(heads.select(F.col("goes").alias("range"), F.lit(1).alias("head"), "ord", "doc_id", "text"))
+    ranges = min(-(-total // range_bytes), MOST_RANGES)
+    held_cuts = spark.sparkContext.broadcast(range_cuts(rows, ranges))
+
+    @F.pandas_udf("int")
+    def place(value: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(range_of(held_cuts.value, value.to_numpy(), tie.to_numpy()))
+
+    placed = rows.withColumn("range", place("ord", "tie"))
+    firsts = sorted((r["range"], r["f"]["ord"], r["f"]["tie"]) for r in placed.groupBy("range").agg(F.min(F.struct("ord", "tie")).alias("f")).collect())  # a row for each range
+    before = [(firsts[i - 1][0], o, t) for i, (_, o, t) in enumerate(firsts)]
+    heads = rows.join(F.broadcast(spark.createDataFrame(before, "goes int, ord long, tie long")), ["ord", "tie"]).groupBy("goes", "ord", "doc_id", "tie").agg(F.min("text").alias("text"))
+    every = placed.select("range", F.lit(0).alias("head"), "ord", "tie", "doc_id", "text").unionByName(heads.select(F.col("goes").alias("range"), F.lit(1).alias("head"), "ord", "tie", "doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []  # documents whose next is not known or not yet processed
         for batch in batches:
             for part in K.passes(batch, "text", 1 << 20):
-                for head, doc, text in zip(*(part.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                for head, doc, text in zip(*(part.column(i).to_pylist() for i in (1, 4, 5)), strict=True):
                     held.append((doc, text))
                     if head:  # a range ends
                         if len(held) > 1:
@@ -155,7 +184,7 @@ def with_next(docs: DataFrame, process, schema: str, *, range_bytes: int = RANGE
                     yield process([d for d, _ in held[:-1]], [t for _, t in held])
                     held = held[-1:]
 
-    return every.repartition(max(len(firsts), 1), "range").sortWithinPartitions("range", "head", "ord", "text").mapInArrow(run, schema)
+    return every.repartitionById(max(ranges, 1), F.col("range")).sortWithinPartitions("range", "head", "ord", "tie").mapInArrow(run, schema)
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -168,9 +197,10 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     next document in ascending doc_id (after the last: the first; a single document follows itself).  Columns:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    A fingerprint is that of ``written``: a share of all anchors of the text with their places, in hexadecimal.
     A null text counts as empty; an empty text has the empty fingerprint, and two of those are alike (1.0).  Rows
-    that repeat a doc_id follow each other in the order of their texts, rows without one come first.  Further
-    columns are ignored, an empty table gives an empty result.
+    that repeat a doc_id follow each other in the order of a hash of their texts, rows without one come first.
+    Further columns are ignored, an empty table gives an empty result.
     """
 
     def process(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -178,7 +208,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         for text, after in zip(texts[:-1], texts[1:], strict=True):
             half = len(text) // 2
             edited.append(text[: len(text) - half] + after[:half])
-        own, other = sketches_of(texts), sketches_of(edited)
+        own, other = fingerprints_of(texts), fingerprints_of(edited)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),

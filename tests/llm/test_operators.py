@@ -377,6 +377,19 @@ def test_license_matches_as_brute_force(spark):
     assert licenses.license_matches(d.where("doc_id is null")).count() == 0
 
 
+def test_templates_may_be_a_table(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATE_BYTES", 300)
+    rng = random.Random(2)
+    texts = {f"t{i}": X.prose(rng, 3 + 9 * i) for i in range(30)}
+    d = spark.createDataFrame([(i, f"{X.prose(rng, 9)} {t} {X.prose(rng, 9)}") for i, t in enumerate(texts.values())] + [(99, "nothing")], "doc_id long, text string")
+    t = spark.createDataFrame([*texts.items(), ("blank", " "), ("none", None), (None, "nothing"), ("t1", texts["t1"])], "name string, text string")
+    got = {(r["doc_id"], r["template"]) for r in licenses.license_matches(d, templates=t).collect()}
+    assert got == {(i, f"t{i}") for i in range(30)}
+    assert licenses.license_matches(d, templates=t.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="two templates"):
+        licenses.license_matches(d, templates=spark.createDataFrame([("a", "x y z"), ("a", "x y")], "name string, text string"))
+
+
 def test_bands_follow_from_the_least_likeness():
     assert licenses.bands_for([1], 1, 0.8) == 1
     for sizes, window in (([8], 8), ([20, 25], 25)):
@@ -414,6 +427,17 @@ def test_boilerplate_lines_as_brute_force(spark, empty):
     assert lines.drop_boilerplate(empty, host_col="source", text_col="text").count() == 0
 
 
+def test_a_host_with_half_of_all_pages(spark, monkeypatch):
+    rows = [(i, "giant" if i % 2 else f"h{i % 40}", f"body {i}\nmenu {i % 2}\nrare {i % 50}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string").repartition(8)
+    # a rare line is on one in 25 of the giant's pages, and on many of a small host's
+    small = {h: {r for _, x, t in rows if x == h for r in t.split("\n")[2:]} for h in {h for _, h, _ in rows}}
+    want = {i: 1 + (h != "giant" and len(small[h]) < 10) for i, h, _ in rows}
+    for bytes_ in (16 << 20, 1):
+        monkeypatch.setattr(lines, "COMMON_BYTES", bytes_)
+        assert {r["page_id"]: r["n_dropped"] for r in lines.drop_boilerplate(df, host_col="host", text_col="text").collect()} == want
+
+
 def test_pages_become_lines(spark):
     html = "<html><head><title>t</title></head><body><script>x</script><p>One <b>bold</b></p><ul><li>a<li>b</ul><!-- c --></body>"
     r = spark.createDataFrame([(html, "HTTPS://A.b:8/c")], "h string, u string").select(lines.html_lines("h").alias("t"), lines.host_of("u").alias("u")).first()

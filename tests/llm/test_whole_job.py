@@ -40,7 +40,7 @@ def test_altered_license_texts_as_brute_force(spark):
         w = t.split()
         few = [rng.choice(w) if rng.random() < 0.02 else x for x in w]
         many = [rng.choice(w) if rng.random() < 0.3 else x for x in w]
-        rows += [(3 * i, f"{X.prose(rng, 40)} {' '.join(few)} {X.prose(rng, 40)}"), (3 * i + 1, " ".join(many)), (3 * i + 2, " ".join(w[: len(w) // 2]))]
+        rows += [(3 * i, f"{X.prose(rng, 40)} {' '.join(few)} {X.prose(rng, 40)}"), (3 * i + 1, " ".join(many)), (3 * i + 2, " ".join(w[: len(w) // 2])), (1000 + i, f"{X.prose(rng, 9)} {t}")]
     grams = lambda t: {tuple(w[j : j + 5]) for w in [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()] for j in range(len(w) - 4)}
     wanted, held = {n: grams(t) for n, t in texts.items()}, {i: grams(t) for i, t in rows}
     want = {(i, n, len(g), len(g & h)) for i, h in held.items() for n, g in wanted.items() if 100 * len(g & h) >= 80 * len(g)}

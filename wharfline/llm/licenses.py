@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +26,8 @@ U = np.uint64
 MISS = 1e-6
 #: Sizes of the templates of a class lie within this factor.
 CLASS_RATIO = 1.25
+#: Templates that a task is given at a time.
+TEMPLATE_BYTES = 8 << 20
 #: Classes whose least template has more shingles than this are looked for only where enough of their shingles are.
 LONG = 40
 
@@ -153,16 +155,35 @@ def _scan(templates: dict[str, str], k: int, num: int, den: int):
     return run
 
 
-def license_matches(docs: DataFrame, *, templates: dict[str, str] | None = None, shingle_words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _blocks(templates: DataFrame, name_col: str, text_col: str) -> Iterator[dict[str, str]]:
+    """A table of templates in parts of about TEMPLATE_BYTES, measured first; each part is what a task is given at a time."""
+    table = templates.select(F.col(f"`{name_col}`").cast("string").alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("name is not null")
+    size = table.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    parts = -(-size // TEMPLATE_BYTES)
+    for i in range(parts):
+        rows = table.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i).collect()  # TEMPLATE_BYTES, about
+        held = {}
+        for r in rows:
+            if held.setdefault(r["name"], r["text"]) != r["text"]:
+                raise ValueError(f"two templates are named {r['name']!r}")
+        yield held
+
+
+def license_matches(docs: DataFrame, *, templates: dict[str, str] | DataFrame | None = None, shingle_words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", name_col: str = "name", template_col: str = "text") -> DataFrame:
     """Templates of whose word shingles a document holds the share (an exact ratio) or more.
 
     Returns doc_id, template, n_template_shingles, n_shared, containment, first_word (place of the first shared
-    shingle), a row for each match in each row of ``docs``.  ``templates`` (name -> text; TEMPLATES and whole_texts() unless given) is a
-    bounded list that goes to every task.  A template of fewer than ``shingle_words`` words is one shingle of its words; one without
-    words matches nothing, nor do null and blank texts.  Repeated rows give repeated matches, a null id stays
-    null, further columns are ignored, an empty table gives no rows.
+    shingle), a row for each match in each row of ``docs``.  ``templates`` is name -> text (TEMPLATES and whole_texts()
+    unless given), or a table of names and texts of any size: it goes to the tasks in measured parts, and the documents
+    are read once for each part.  The bands promise to retrieve a template whose share stands in one window, in any
+    order; containment is judged in the whole document, so a share that is scattered over many windows is reported
+    when one of them retrieves it, without a promise.  A template of fewer than ``shingle_words`` words is one shingle
+    of its words; one without words or name matches nothing, nor do null and blank texts.  Repeated rows give
+    repeated matches, a null id stays null, further columns are ignored, an empty table on either side gives no rows.
     """
     num, den = share
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_scan(templates or TEMPLATES | whole_texts(), shingle_words, num, den), "doc_id long, template string, n_template_shingles long, n_shared long, first_word long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    parts = list(_blocks(templates, name_col, template_col)) if isinstance(templates, DataFrame) else [TEMPLATES | whole_texts() if templates is None else templates]
+    schema = "doc_id long, template string, n_template_shingles long, n_shared long, first_word long"
+    found = reduce(DataFrame.unionByName, [rows.mapInArrow(_scan(p, shingle_words, num, den), schema) for p in parts or [{}]])
     return found.withColumn("containment", F.col("n_shared") / F.col("n_template_shingles"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.shared import materialize
+from wharfline.shared import discard, join_hot, materialize
 
 RATIO = 0.1
 #: A line of a single page is never boilerplate; above that the ratio decides.
@@ -48,19 +48,21 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str, text_col: str, ratio: f
     host, text = F.col(f"`{host_col}`"), F.col(f"`{text_col}`")
     keys = lambda lines: F.transform(F.filter(F.transform(lines, _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
     seen = pages.where(host.isNotNull()).select(host.alias("site"), text.alias("text"))
-    totals = seen.groupBy("site").agg(F.count("*").alias("pages"))
-    found = seen.select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    totals = materialize(seen.groupBy("site").agg(F.count("*").alias("pages")), "totals")
+    found = seen.select("site", F.explode(F.array_distinct(keys(F.split("text", "\n")))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     # a host has at most (distinct lines of a page / ratio) such lines, so an array of them stays small
-    common = found.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > ratio * F.col("pages")).groupBy("site").agg(F.collect_set("line").alias("common"))
-    common = materialize(common, "common")
-    size = common.agg(F.sum(F.octet_length("site") + 8 * F.size("common") + 64)).first()[0] or 0
-    # measured to be small, it goes to the tasks and the texts stay where they are; else they are joined by a shuffle
-    common = F.broadcast(common) if size <= COMMON_BYTES else common
+    kept = join_hot(found, totals, "site", many=F.col("pages")).where(F.col("n") > ratio * F.col("pages"))
+    common = materialize(kept.groupBy("site").agg(F.collect_set("line").alias("common"), F.first("pages").alias("pages")), "common")
+    discard(totals)
+    width = F.octet_length("site") + 8 * F.size("common") + 64
+    size = common.agg(F.sum(width)).first()[0] or 0
     # the names inside this join can't meet those of the table: its columns travel in a struct
-    rows = pages.select(host.alias("site"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row")).join(common, "site", "left")
+    rows = pages.select(host.alias("site"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"))
+    # measured to be small, they go to the tasks and the texts stay where they are; else those of large hosts do, and the others are joined by a shuffle
+    rows = rows.join(F.broadcast(common), "site", "left") if size <= COMMON_BYTES else join_hot(rows, common, "site", many=F.col("pages"), width=width, how="left", hot_bytes=COMMON_BYTES)
     lines = F.split(F.col("row")[text_col], "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("common", F.xxhash64(_bare(x))) & (_bare(x) != ""), F.lit(False)))
-    out = rows.select("row", lines.alias("lines"), F.when(F.col("common").isNull(), lines).otherwise(kept).alias("kept"))
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("common", F.xxhash64(_bare(x))) & (_bare(x) != ""), F.lit(False)))
+    out = rows.select("row", lines.alias("lines"), F.when(F.col("common").isNull(), lines).otherwise(left).alias("kept"))
     same = F.col("row")[text_col].isNull() | (F.size("lines") == F.size("kept"))
     cleaned = F.when(same, F.col("row")[text_col]).otherwise(F.array_join("kept", "\n"))
     changed = {text_col: cleaned} | ({length_col: F.when(same, F.col("row")[length_col]).otherwise(F.length(cleaned)).cast(pages.schema[length_col].dataType)} if length_col else {})

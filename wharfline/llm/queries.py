@@ -99,7 +99,7 @@ SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, c / n AS containmen
 
 
 def _op5_sql() -> str:
-    sized = {name: (min(len(text.split()), 5), text) for name, text in licenses.TEMPLATES.items()}
+    sized = {name: (min(len(text.split()), 5), text) for name, text in (licenses.TEMPLATES | licenses.whole_texts()).items()}
     values = ", ".join("('%s', %d, '%s')" % (name, width, text.replace("'", "''")) for name, (width, text) in sorted(sized.items()))
     widths = sorted({width for width, _ in sized.values()})
     grams = lambda w: sql_grams(w)

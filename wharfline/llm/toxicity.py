@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams (operator 9).
 
-Features are the distinct hashes of words, word stems (the first bytes), pairs of neighbours and pairs with one
-word between.  Learning rates are per coordinate, and the L1 term leaves few weights other than zero, so that
+Features are the distinct hashes of words, word stems (the first bytes), stems that several different words of the
+text share, pairs of neighbours and pairs with one word between.  Learning rates are per coordinate, and the L1 term leaves few weights other than zero, so that
 what goes to every task is a short table of hashes and weights.
 """
 
@@ -22,11 +22,12 @@ U = np.uint64
 #: Labelled documents to fit on, at most, and the words of one of them (longer ones are left out of the fit).
 FIT_DOCS, FIT_WORDS = 5000, 2000
 #: A feature must occur in so many documents of the sample, and in that share of them.
-FIT_SEEN, FIT_SHARE = 3, 0.004
+FIT_SEEN, FIT_SHARE = 2, 0.004
 #: Toxic documents are few: each counts as so many.
-TOXIC_WEIGHT = 4.0
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 12.0, 0.0, 8
-STEM_BYTES = 4
+TOXIC_WEIGHT = 8.0
+ALPHA, BETA, L1, L2, EPOCHS = 6.0, 1.0, 20.0, 0.0, 8
+#: Bytes of the stems, and numbers of words of one stem that are a feature of their own.
+STEM_BYTES, FORMS = (4, 6), (2, 3)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +43,25 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         move = (high > low + 1) & edge[high - 1] if len(low) else low.astype(bool)
         high[move] -= 1
     bare = _spans(data, low, high)
-    stems = _spans(data, low, np.minimum(high, low + STEM_BYTES))
-    parts, owners = [K.mix(bare ^ U(1)), K.mix(stems ^ U(2))], [doc, doc]
+    parts, owners = [K.mix(bare ^ U(1))], [doc]
+    for i, size in enumerate(STEM_BYTES):
+        stems = _spans(data, low, np.minimum(high, low + size))
+        parts.append(K.mix(stems ^ U(2 + (i << 8))))
+        owners.append(doc)
+        # a stem that several different words of the document share
+        order = np.lexsort((bare, stems, doc))
+        d, s, b = doc[order], stems[order], bare[order]
+        head = np.ones(len(d), dtype=bool)
+        head[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+        new = head.copy()
+        new[1:] |= b[1:] != b[:-1]
+        group = np.cumsum(head) - 1
+        forms = np.bincount(group[new], minlength=int(head.sum()))
+        d, s = d[head], s[head]
+        for least in FORMS:
+            many = forms >= least
+            parts.append(K.mix(s[many] ^ U(4 + least + (i << 8))))
+            owners.append(d[many])
     for lag, salt in ((1, 3), (2, 5)):
         if len(bare) > lag:
             same = doc[lag:] == doc[:-lag]

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Bytes of text a task handles in one numpy pass.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 _BASE = U(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)

@@ -186,7 +186,7 @@ def test_chunks_keep_all_words_and_the_budget(spark):
 def test_clusters_are_cliques(spark):
     edges = [(1, 2, 0.95), (2, 3, 0.9), (4, 5, 0.9), (4, 6, 0.9), (5, 6, 0.9)]
     merges = spark.createDataFrame(edges, "a long, b long, score double")
-    home = {r["record_id"]: r["cluster_id"] for r in identity.clusters(merges, identity.reachable(merges)).collect()}
+    home = {r["record_id"]: r["cluster_id"] for r in identity.clusters(merges).collect()}
     assert home[1] == home[2] != home[3] and home[4] == home[5] == home[6]
 
 

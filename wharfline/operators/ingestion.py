@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions import text as T
+from wharfline.shared import checked_broadcast
 
 BUDGET = 254
 # Deductions in the order they are taken, and the floor for storing.
@@ -75,7 +76,7 @@ def body_lines(documents: DataFrame) -> DataFrame:
 def labelled_values(lines: DataFrame, labels: DataFrame, *, delimiter: str = "item") -> DataFrame:
     """Values behind known labels: on the same line, or alone on the next one if that is no label; item ordinals by delimiter."""
     label = T.folded(F.regexp_extract("line", T.LABELLED, 1))
-    keyed = lines.withColumn("label", label).join(F.broadcast(labels.select("label", "key")), "label", "left")
+    keyed = lines.withColumn("label", label).join(checked_broadcast(labels.select("label", "key")), "label", "left")
     own = Window.partitionBy("document_id").orderBy("line_no")
     inline = F.trim(F.regexp_extract("line", T.LABELLED, 2))
     seen = keyed.select(
@@ -109,7 +110,7 @@ def counts_over_domain(domain: DataFrame, rows: DataFrame, keys: list[str]) -> D
 
 def absences(documents: DataFrame, fields: DataFrame, values: DataFrame, anchors: DataFrame) -> DataFrame:
     """One no_value_found for each attempted field a document does not print, anchored on its least ordinal."""
-    attempted = documents.select("document_id").join(F.broadcast(fields.select("field")))  # a closed vocabulary of fields
+    attempted = documents.select("document_id").join(checked_broadcast(fields.select("field")))  # a closed vocabulary of fields
     missing = attempted.join(values.select("document_id", "field").distinct(), ["document_id", "field"], "left_anti")
     return missing.join(anchors.groupBy("document_id").agg(F.min("ordinal").alias("ordinal")), "document_id", "left").withColumn("outcome", F.lit("no_value_found"))
 

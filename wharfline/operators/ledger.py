@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharfline.shared import checked_broadcast
+
 CLASSES = ("input", "cache_write", "cache_read", "output")
 
 
@@ -19,7 +21,7 @@ def priced(invocations: DataFrame, prices: DataFrame, *, version: str) -> DataFr
     table = price_intervals(prices.where(F.col("version") == version)).drop("version").withColumnRenamed("model", "priced_model")
     day = F.to_date("at")
     on = (F.col("model") == F.col("priced_model")) & (day >= F.col("effective_from")) & (F.col("effective_to").isNull() | (day < F.col("effective_to")))
-    return invocations.join(F.broadcast(table), on, "left")
+    return invocations.join(checked_broadcast(table), on, "left")
 
 
 def cost(tokens: list[Column], rates: list[Column]) -> Column:

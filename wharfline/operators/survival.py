@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.stats import Z95
+from wharfline.shared import materialize
 
 
 def sojourn_legs(events: DataFrame, *, key: str = "user_id", rework: str = "error") -> DataFrame:
@@ -65,7 +66,7 @@ def stratified_split(lines: DataFrame, *, stratum: str, keys: list[str], data_ha
     counts = drawn.groupBy(stratum, "lead").agg(F.count("*").alias("here"))
     own = Window.partitionBy(stratum)
     edges = counts.withColumn("upto", F.sum("here").over(own.orderBy("lead"))).withColumn("quota", F.floor(fraction * F.sum("here").over(own) + 0.5)).select(stratum, "lead", (F.col("upto") - F.col("here")).alias("before"), "upto", "quota")
-    placed = drawn.join(F.broadcast(edges), [stratum, "lead"])  # 4096 leads for each stratum at most
+    placed = drawn.join(edges, [stratum, "lead"])  # 4096 leads for each stratum: adaptive plans measure it before they broadcast it
     at_edge = (F.col("before") < F.col("quota")) & (F.col("quota") < F.col("upto"))
     clear = placed.where(~at_edge).withColumn("split_side", F.when(F.col("upto") <= F.col("quota"), "held_out").otherwise("train"))
     near = placed.where(at_edge).withColumn("r", F.row_number().over(Window.partitionBy(stratum, "lead").orderBy("draw", *keys)))
@@ -95,19 +96,33 @@ def variance_decomposition(rows: DataFrame, *, value: str, first: str, second: s
     return out.select(F.col("all_n").alias("n"), whole.alias("total"), (F.col("b1") / F.col("all_n")).alias("between_first"), (F.col("b2") / F.col("all_n")).alias("between_second")).withColumn("residual", F.greatest(F.lit(0.0), F.col("total") - F.col("between_first") - F.col("between_second")))
 
 
-def terciles(rows: DataFrame, *, value: str, key: str, levels: tuple[str, ...] = ("TIGHT", "MODERATE", "RELAXED")) -> DataFrame:
+def terciles(rows: DataFrame, *, value: str, key: str, levels: tuple[str, ...] = ("TIGHT", "MODERATE", "RELAXED"), lead_chars: int = 6) -> DataFrame:
     """``rows`` with level: min(rank * 3 // n, 2) by (value, key) over the whole table.
 
-    The global rank is found from counts of distinct values, a short table; ties at a cut are ranked by key
-    within that value only.
+    Ranks come from counts of distinct values, a short table: most values lie inside one level.  Rows of a value that
+    a cut divides are counted by the first ``lead_chars`` characters of their key, and only the lead that holds the
+    cut is ranked.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("here"))
-    placed = counts.withColumn("zone", F.lit(0))
+    n = len(levels)
+    lead = F.substring(F.col(key).cast("string"), 1, lead_chars)
+    counts = materialize(rows.groupBy(value).agg(F.count("*").alias("here")), "counts").withColumn("zone", F.lit(0))
     upto = Window.partitionBy("zone").orderBy(value)
-    placed = placed.withColumn("before", F.sum("here").over(upto) - F.col("here")).withColumn("whole", F.sum("here").over(Window.partitionBy("zone"))).drop("zone", "here")
-    ranked = rows.join(placed, value).withColumn("r", F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1 + F.col("before"))
-    place = F.least(F.floor(F.col("r") * len(levels) / F.col("whole")), F.lit(len(levels) - 1)).cast("int")
-    return ranked.withColumn("level", F.element_at(F.array(*map(F.lit, levels)), place + 1)).drop("r", "before", "whole")
+    placed = counts.withColumn("before", F.sum("here").over(upto) - F.col("here")).withColumn("whole", F.sum("here").over(Window.partitionBy("zone"))).drop("zone")
+    place = lambda r: F.least(F.floor(r * n / F.col("whole")), F.lit(n - 1)).cast("int")
+    ends = placed.select(value, "before", "whole", place(F.col("before")).alias("first"), place(F.col("before") + F.col("here") - 1).alias("last"))
+    known = rows.join(ends, value)
+    name = lambda r: F.element_at(F.array(*map(F.lit, levels)), r + 1)
+    clear = known.where(F.col("first") == F.col("last")).withColumn("level", name(F.col("first")))
+    cut = known.where(F.col("first") != F.col("last")).withColumn("lead", lead)
+    leads = cut.groupBy(value, "lead").agg(F.count("*").alias("inside"))
+    leads = leads.withColumn("ahead", F.sum("inside").over(Window.partitionBy(value).orderBy("lead")) - F.col("inside"))
+    near = cut.join(leads, [value, "lead"])
+    low, high = place(F.col("before") + F.col("ahead")), place(F.col("before") + F.col("ahead") + F.col("inside") - 1)
+    settled = near.where(low == high).withColumn("level", name(low))
+    rank = F.row_number().over(Window.partitionBy(value, "lead").orderBy(key)) - 1 + F.col("before") + F.col("ahead")
+    divided = near.where(low != high).withColumn("r", rank).withColumn("level", name(place(F.col("r"))))
+    names = [*rows.columns, "level"]
+    return clear.select(*names).unionByName(settled.select(*names)).unionByName(divided.select(*names))
 
 
 #: Criticality of a (tier, pressure) pair.

@@ -57,9 +57,10 @@ def posteriors(spark: SparkSession, sf: str) -> DataFrame:
     days = lines(spark, sf).where("is_closed").groupBy("vendor", "duration").agg(F.count("*").alias("n"))
     own = Window.partitionBy("vendor")
     run = days.withColumn("upto", F.sum("n").over(own.orderBy("duration"))).withColumn("total", F.sum("n").over(own))
-    ranks = F.filter(F.sequence(F.lit(1), F.lit(DRAWS)), lambda i: ((i * F.col("total") + DRAWS - 1) / DRAWS).cast("long").between(F.col("upto") - F.col("n") + 1, F.col("upto")))
-    held = run.where("vendor % 89 <> 7").withColumn("draws", F.transform(ranks, lambda i: F.struct(i.alias("i"), F.col("duration").alias("d"))))
-    return held.groupBy("vendor").agg(F.transform(F.array_sort(F.flatten(F.collect_list("draws"))), lambda s: s["d"]).alias("draws"))
+    upto = lambda c: F.floor(c * DRAWS / F.col("total"))
+    times = (upto(F.col("upto")) - upto(F.col("upto") - F.col("n"))).cast("int")
+    held = run.where("vendor % 89 <> 7").select("vendor", F.struct("duration", F.array_repeat("duration", times).alias("d")).alias("s"))
+    return held.groupBy("vendor").agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["d"])).alias("draws"))
 
 
 POSTERIORS = f"""{LINES},

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from wharfline.functions import arrays, stats, text
 from wharfline.operators import retrieval as R
 from wharfline.session import table
+from wharfline.shared import checked_broadcast
 
 from .registry import Registry
 
 registry = Registry()
 #: Terms asked for, by query.
 ASKED = {"q1": ["the", "thing"], "q2": ["and", "ha"], "q3": ["la", "que"], "q4": ["der", "und"], "q5": ["absent-term"]}
-DENSE_QUERIES = (1, 7, 42, 99, 123)
+#: Every vector whose id this divides is a query.
+DENSE_STEP = 100
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
 
@@ -27,12 +29,12 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).where(F.col("chunk_id").isin(*DENSE_QUERIES)).select(F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("query_id"), "embedding", "label", F.col("chunk_id").alias("own"))
+    return vectors(spark, sf).where(F.col("chunk_id") % DENSE_STEP == 0).select(F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("query_id"), "embedding", "label", F.col("chunk_id").alias("own"))
 
 
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
     asked = spark.createDataFrame([(q, t) for q, t in ASKED.items()], "query_id string, terms array<string>")
-    return R.lexical_topk(R.postings(chunks(spark, sf)), asked)
+    return R.lexical_topk(R.postings(chunks(spark, sf), asked.select(F.explode("terms").alias("term"))), asked)
 
 
 def dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +49,7 @@ lex AS (SELECT query_id, chunk_id, round(sum(tf / (tf + 1)), 9) AS score FROM po
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex) WHERE rank <= {R.DEPTH})"""
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 DENSE = f"""
-dq AS (SELECT 'v' || vec_id AS query_id, embedding AS q, label AS wanted_label, vec_id AS own FROM embeddings WHERE vec_id IN {DENSE_QUERIES}),
+dq AS (SELECT 'v' || vec_id AS query_id, embedding AS q, label AS wanted_label, vec_id AS own FROM embeddings WHERE vec_id % {DENSE_STEP} = 0),
 den AS (SELECT query_id, vec_id AS chunk_id, round(1.0 - {_DOT.format(a='embedding', b='q')} / (sqrt({_DOT.format(a='embedding', b='embedding')}) * sqrt({_DOT.format(a='q', b='q')})), 9) AS score FROM embeddings, dq),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM den) WHERE rank <= {R.DEPTH})"""
 
@@ -62,8 +64,8 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense(spark, sf).withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
-#: Dense queries run beside lexical ones under the same name.
-PAIRED = dict(zip(ASKED, (f"v{i}" for i in DENSE_QUERIES), strict=True))
+#: The first dense queries by id run beside the lexical ones under the same name.
+PAIRED = {q: f"v{DENSE_STEP * i}" for i, q in enumerate(ASKED)}
 _FUSED = f"""{LEXICAL}, {DENSE},
 paired AS (SELECT * FROM (VALUES {', '.join(map(str, PAIRED.items()))}) AS p(query_id, v)),
 d AS (SELECT paired.query_id, chunk_id, rank FROM dense JOIN paired ON dense.query_id = v),
@@ -94,7 +96,7 @@ firsts AS (SELECT dq.query_id, min(rank) AS first FROM dq LEFT JOIN (SELECT dens
 
 def _first(spark: SparkSession, sf: str) -> DataFrame:
     q = dense_queries(spark, sf)
-    relevant = vectors(spark, sf).join(F.broadcast(q.select("query_id", "label", "own")), "label").where(F.col("chunk_id") != F.col("own")).select("query_id", "chunk_id")
+    relevant = vectors(spark, sf).join(checked_broadcast(q.select("query_id", "label", "own")), "label").where(F.col("chunk_id") != F.col("own")).select("query_id", "chunk_id")
     return R.first_relevant(dense(spark, sf), relevant, q)
 
 

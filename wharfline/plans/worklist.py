@@ -97,42 +97,43 @@ def nearest_rank_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query(f"""WITH {POSTERIORS} SELECT vendor, k AS day, len(list_filter(draws, lambda d: d > k)) / len(draws) AS survival FROM posterior, range(1, {HORIZON + 1}) AS t(k)""")
 def survival_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The day grid of each vendor, all HORIZON days of it."""
-    grid = posteriors(spark, sf).select("vendor", arrays.survival_grid(F.col("draws"), HORIZON).alias("grid"))
-    return grid.select("vendor", F.posexplode("grid").alias("at", "survival")).select("vendor", (F.col("at") + 1).cast("long").alias("day"), "survival")
+    grid = W.tails(posteriors(spark, sf)).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))))
+    return grid.select("vendor", F.col("day").cast("long").alias("day"), (W.beyond(F.col("day")) / F.col("total")).alias("survival"))
 
 
 @registry.query(f"WITH {POSTERIORS} SELECT vendor, len(list_filter(draws, lambda d: d > {HORIZON})) / len(draws) AS residual, true AS ascending, true AS non_increasing, true AS unit, true AS tail_agrees FROM posterior")
 def posterior_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """What a stored posterior must hold: ascending draws, a falling grid in [0, 1], its last cell the residual mass."""
-    held = posteriors(spark, sf).withColumn("grid", arrays.survival_grid(F.col("draws"), HORIZON)).withColumn("residual", arrays.exceedance(F.col("draws"), F.lit(HORIZON)))
+    cells = F.transform(F.sequence(F.lit(1), F.lit(HORIZON)), lambda k: W.beyond(k) / F.col("total"))
+    held = W.tails(posteriors(spark, sf)).withColumn("grid", cells).withColumn("residual", arrays.exceedance(F.col("draws"), F.lit(HORIZON)))
     grid = F.col("grid")
     return held.select("vendor", "residual", arrays.ascending(F.col("draws")).alias("ascending"), arrays.non_increasing(grid).alias("non_increasing"), arrays.within_unit(grid).alias("unit"), (F.abs(F.element_at(grid, -1) - F.col("residual")) <= 1e-9).alias("tail_agrees"))
 
 
-#: A what-if for the first lines of a project by id, and for ids that are unknown.
-WHAT_IF = f"""chosen AS (SELECT line_id FROM line WHERE NOT is_closed AND project = 'BUILDING' ORDER BY line_id LIMIT 10),
+#: A what-if for the first lines of a project by id: as many as a request may hold.
+WHAT_IF = f"""chosen AS (SELECT line_id FROM line WHERE NOT is_closed AND project = 'BUILDING' ORDER BY line_id LIMIT {W.MAX_OVERRIDES}),
 what_if AS (SELECT line_id, DATE '{AS_OF}' + 1 AS what_if FROM chosen)"""
 
 
 def what_if(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = lines(spark, sf).where(~F.col("is_closed") & (F.col("project") == "BUILDING")).orderBy("line_id").limit(10)
+    chosen = lines(spark, sf).where(~F.col("is_closed") & (F.col("project") == "BUILDING")).orderBy("line_id").limit(W.MAX_OVERRIDES)
     return chosen.select("line_id", F.date_add(F.lit(AS_OF).cast("date"), 1).alias("what_if"))
 
 
 @registry.query(f"""WITH {LINES}, {WHAT_IF}, adjusted AS (SELECT line.* REPLACE (coalesce(what_if, need_by) AS need_by), what_if IS NOT NULL AS is_adjusted FROM line LEFT JOIN what_if USING (line_id))
-SELECT line_id, need_by, is_adjusted, date_diff('day', DATE '{AS_OF}', need_by) AS margin FROM adjusted WHERE NOT is_closed AND project = 'BUILDING'""")
+SELECT line_id, need_by, is_adjusted, date_diff('day', DATE '{AS_OF}', need_by) AS margin FROM adjusted WHERE NOT is_closed""")
 def worklist_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    """A project's open lines under what-if dates."""
-    out = W.effective_dates(lines(spark, sf), what_if(spark, sf)).where(~F.col("is_closed") & (F.col("project") == "BUILDING"))
+    """All open lines under a request's what-if dates."""
+    out = W.effective_dates(lines(spark, sf), what_if(spark, sf), as_of=AS_OF).where(~F.col("is_closed"))
     return out.select("line_id", "need_by", "is_adjusted", F.datediff("need_by", F.lit(AS_OF).cast("date")).alias("margin"))
 
 
-@registry.query(f"""WITH {LINES}, asked AS ((SELECT line_id FROM line ORDER BY line_id LIMIT 20) UNION SELECT 'unknown-1')
+@registry.query(f"""WITH {LINES}, asked AS (SELECT line_id FROM line UNION SELECT 'unknown-1')
 SELECT line_id, CASE WHEN project IS NULL THEN 'not_found' WHEN is_closed THEN 'terminal' WHEN project <> 'BUILDING' THEN 'out_of_scope' ELSE 'applied' END AS outcome FROM asked LEFT JOIN line USING (line_id)""")
 def override_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What an override of each line, and of one that doesn't exist, would come to in one project."""
     own = lines(spark, sf)
-    asked = own.select("line_id").orderBy("line_id").limit(20).unionByName(spark.sql("select 'unknown-1' as line_id"))
-    return W.override_outcomes(asked, own, "BUILDING")
+    return W.override_outcomes(own.select("line_id").unionByName(spark.sql("select 'unknown-1' as line_id")), own, "BUILDING")
 
 
 @registry.query(f"""WITH {LINES}, counts AS (SELECT p.project, count(line.line_id) AS rows FROM (VALUES ('BUILDING'), ('NOWHERE')) AS p(project) LEFT JOIN line ON line.project = p.project AND NOT is_closed GROUP BY p.project)
@@ -160,8 +161,8 @@ def fifty_marks(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vendor", (F.col("at") + 1).cast("long").alias("mark"), "day")
 
 
-@registry.query(f"""WITH {POSTERIORS}, cuts AS (SELECT vendor, draws, draws[20] AS a, draws[50] AS b, draws[80] AS c FROM posterior)
-SELECT vendor, unnest([a, b, c]) AS day, unnest(['p20', 'p50', 'p80']) AS band_end, len(list_filter(draws, lambda d: d <= unnest([a, b, c]))) / len(draws) AS reached FROM cuts""".replace("len(list_filter(draws, lambda d: d <= unnest([a, b, c]))) / len(draws)", "unnest([len(list_filter(draws, lambda d: d <= a)) / len(draws), len(list_filter(draws, lambda d: d <= b)) / len(draws), len(list_filter(draws, lambda d: d <= c)) / len(draws)])"))
+@registry.query(f"""WITH {POSTERIORS}, cuts AS (SELECT vendor, draws, unnest([draws[20], draws[50], draws[80]]) AS day, unnest(['p20', 'p50', 'p80']) AS band_end FROM posterior)
+SELECT vendor, day, band_end, len(list_filter(draws, lambda d: d <= day)) / len(draws) AS reached FROM cuts""")
 def banded_series(spark: SparkSession, sf: str) -> DataFrame:
     """The cumulative series at the ends of the labelled bands."""
     draws = F.col("draws")

@@ -59,6 +59,11 @@ def by_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(side, docs[id_col].eqNullSafe(side[ids.columns[0]]), how)
 
 
+def checked_broadcast(few: DataFrame) -> DataFrame:
+    """A side of a join that is meant to be small: given to the tasks if it has FEW_IDS rows at most, else left to a shuffle."""
+    return F.broadcast(few) if few.limit(FEW_IDS + 1).count() <= FEW_IDS else few
+
+
 #: A key with so many rows is hot; what the tasks are given of hot keys has this many bytes at most.
 HOT_ROWS, HOT_BYTES = 200, 8 << 20
 

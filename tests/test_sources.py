@@ -33,6 +33,23 @@ def test_the_pointer_moves_last(spark, tmp_path):
     assert store.active() == second
 
 
+def test_a_claimed_version_is_passed_over(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "store"))
+    first = store.publish({"posterior": spark.range(3)})
+    assert store._claim(2) == 2  # another publisher, not finished
+    second = store.publish({"posterior": spark.range(4)})
+    assert first != second and store.active() == second and store._pointers().select("version").distinct().count() == 2
+
+
+def test_a_replayed_batch_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k long")
+    assert runs.append_unseen(rows(1, 2, 2), path, ["k"], batch="0") == 2
+    assert runs.append_unseen(rows(2, 3), path, ["k"], batch="1") == 1
+    assert runs.append_unseen(rows(2, 3), path, ["k"], batch="1") == 1
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
 def test_insert_if_absent_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
     path = str(tmp_path / "t")

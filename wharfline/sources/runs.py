@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 class RunStore:
     """Artifacts of a run are written first, the pointer last: a run that fails in between is never read.
 
@@ -25,13 +30,17 @@ class RunStore:
         run_id = run_id or uuid.uuid4().hex
         for name, df in artifacts.items():
             df.write.parquet(f"{self.root}/{name}/run_id={run_id}")
-        version = (self._pointers().agg(F.max("version")).first()[0] or 0) + 1 if self.exists() else 1
+        version = self._claim((self._pointers().agg(F.max("version")).first()[0] or 0) + 1 if exists(self.spark, f"{self.root}/active") else 1)
         self.spark.createDataFrame([(version, run_id)], "version long, run_id string").coalesce(1).write.mode("append").parquet(f"{self.root}/active")
         return run_id
 
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/active")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _claim(self, version: int) -> int:
+        """The first free version from ``version`` on: its claim is a file that only one publisher can create."""
+        while True:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{version}")
+            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path):
+                return version
+            version += 1
 
     def _pointers(self) -> DataFrame:
         return self.spark.read.schema("version long, run_id string").parquet(f"{self.root}/active")
@@ -49,17 +58,26 @@ class RunStore:
         return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("run_id") == (run_id or self.active()))
 
 
-def append_unseen(new: DataFrame, path: str, keys: list[str]) -> int:
-    """Insert-if-absent into a Parquet table: appends the rows whose key is not there yet, and returns how many."""
+def append_unseen(new: DataFrame, path: str, keys: list[str], *, batch: str | None = None) -> int:
+    """Insert-if-absent into a Parquet table: appends the rows whose key is not there yet, and returns how many.
+
+    With ``batch`` the rows become the folder ``batch=<name>`` of the table, written anew when the batch is replayed,
+    and are compared with the other batches only: a replay stores what the first run stored.
+    """
     from wharfline.operators.ledger import unseen
 
     spark = new.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    fresh = unseen(new, spark.read.schema(new.schema).parquet(path), keys) if there else new.dropDuplicates(keys)
+    fresh = new.dropDuplicates(keys)
+    if exists(spark, path):
+        held = spark.read.parquet(path)
+        if batch is not None and "batch" in held.columns:
+            held = held.where(F.col("batch").cast("string") != batch)
+        fresh = unseen(new, held, keys) if set(keys) <= set(held.columns) else fresh
     fresh = fresh.cache()
     n = fresh.count()
-    if n:
+    if batch is not None:
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    elif n:
         fresh.write.mode("append").parquet(path)
     fresh.unpersist()
     return n

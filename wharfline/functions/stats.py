@@ -138,3 +138,9 @@ def precision_floor(correct: pd.Series, merged: pd.Series) -> pd.Series:
         return low
 
     return pd.Series([bound(int(k), int(n)) for k, n in zip(correct, merged, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def binomial_upper(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """Chance of k or more successes in n trials."""
+    return pd.Series([binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype=float)

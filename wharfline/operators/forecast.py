@@ -6,7 +6,7 @@ would, and its posteriors are not a sampler's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions import stats
@@ -44,3 +44,58 @@ def chain_diagnostics(draws: DataFrame, *, parameter: str, chain: str, value: st
 def gate(diagnostics: DataFrame, *, ceiling: float) -> DataFrame:
     """Every diagnostic with passed; a run with one that does not pass is refused as a whole."""
     return diagnostics.withColumn("passed", F.coalesce(F.col("r_hat") <= ceiling, F.lit(False)))
+
+
+#: Lags that an autocorrelation is followed over, at most.
+LAGS = 20
+# Metric, threshold, direction, scope, whether a breach refuses the run.
+GATE = [
+    ("r_hat", 1.01, "max", "parameter", True), ("ess_bulk", 400.0, "min", "parameter", True), ("ess_tail", 400.0, "min", "parameter", True),
+    ("divergent_transitions", 0.0, "max", "run", True), ("ebfmi", 0.3, "min", "run", True), ("max_treedepth_hits", 0.0, "max", "run", False),
+]
+
+
+def effective_sizes(draws: DataFrame, *, parameter: str, chain: str, order: str, value: str) -> DataFrame:
+    """(parameter, chains, draws, ess): draws over 1 + 2 times the sum of autocorrelations, by initial positive pairs over LAGS lags.
+
+    Autocovariances come from lagged products folded by chain; the pooled variance is that of the scale reduction.
+    """
+    own = Window.partitionBy(parameter, chain).orderBy(order)
+    m = F.avg(value).over(Window.partitionBy(parameter, chain))
+    centred = draws.select(parameter, chain, order, F.col(value).alias("v"), (F.col(value) - m).alias("z"))
+    lagged = centred.select(parameter, chain, "v", *((F.col("z") * F.lag("z", k).over(own) if k else F.col("z") * F.col("z")).alias(f"p{k}") for k in range(LAGS)))
+    per = lagged.groupBy(parameter, chain).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("v"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(LAGS)))
+    folded = per.groupBy(parameter).agg(F.count("*").alias("chains"), F.sum("n").alias("draws"), F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("b"), *(F.avg(F.col(f"s{k}") / F.col("n")).alias(f"c{k}") for k in range(LAGS)))
+    pooled = folded.withColumn("pool", F.col("w") * (F.col("n") - 1) / F.col("n") + F.col("b"))
+    rho = [1 - (F.col("w") - F.col(f"c{k}")) / F.col("pool") for k in range(LAGS)]
+    pairs = F.array(*(rho[k] + rho[k + 1] for k in range(0, LAGS, 2)))
+    first_bad = F.coalesce(F.array_min(F.filter(F.transform(pairs, lambda p, i: F.when(p <= 0, i)), lambda i: i.isNotNull())), F.lit(LAGS // 2))
+    total = F.aggregate(F.slice(pairs, 1, F.greatest(first_bad, F.lit(1))), F.lit(0.0), lambda a, p: a + p)
+    return pooled.select(parameter, "chains", "draws", (F.col("draws") / F.greatest(2 * total - 1, F.lit(1e-9))).alias("ess"))
+
+
+def energy_diagnostics(steps: DataFrame, *, chain: str, order: str, energy: str, diverged: str, deep: str) -> DataFrame:
+    """One row: the least E-BFMI over chains (mean square step over variance of the energy), divergences, treedepth hits."""
+    own = Window.partitionBy(chain).orderBy(order)
+    m = F.avg(energy).over(Window.partitionBy(chain))
+    rows = steps.select(chain, F.pow(F.col(energy) - F.lag(energy).over(own), 2).alias("step"), F.pow(F.col(energy) - m, 2).alias("off"), diverged, deep)
+    per = rows.groupBy(chain).agg((F.sum("step") / F.sum("off")).alias("bfmi"), F.sum(F.col(diverged).cast("long")).alias("d"), F.sum(F.col(deep).cast("long")).alias("t"))
+    return per.agg(F.min("bfmi").alias("ebfmi"), F.sum("d").alias("divergent_transitions"), F.sum("t").alias("max_treedepth_hits"))
+
+
+def run_gate(rows: DataFrame) -> DataFrame:
+    """``rows`` (metric, parameter, value) with threshold, is_blocking and passed; a value that can't be computed does not pass."""
+    spark = rows.sparkSession
+    limits = spark.createDataFrame([(m, t, d, b) for m, t, d, _, b in GATE], "metric string, threshold double, direction string, is_blocking boolean")
+    value = F.col("value")
+    ok = F.when(F.col("direction") == "max", value <= F.col("threshold")).otherwise(value >= F.col("threshold"))
+    return rows.join(F.broadcast(limits), "metric").select("metric", "parameter", "value", "threshold", "is_blocking", F.coalesce(ok & ~F.isnan(value), F.lit(False)).alias("passed"))
+
+
+def ordered_artifact_digest(rows: DataFrame, *, group: str, ordinal: str, digest: str, block: int = 1024) -> DataFrame:
+    """(group, n, artifact): a digest over row digests in the order of their ordinals, by way of one digest for each block of them.
+
+    A block is ``block`` rows and a group is as many block digests, so no array grows with the table's square.
+    """
+    blocks = rows.groupBy(group, F.floor(F.col(ordinal) / block).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, digest))), lambda s: s[digest]), "\n"), 256).alias("d"))
+    return blocks.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n"), 256).alias("artifact"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import forecast, ingestion, ledger, retrieval, survival, worklist
+from . import forecast, gates, ingestion, ledger, lifecycle, retrieval, survival, worklist
 from .registry import Query
 
-MODULES = (worklist, survival, forecast, retrieval, ingestion, ledger)
+MODULES = (worklist, survival, lifecycle, forecast, gates, retrieval, ingestion, ledger)
 
 
 def queries() -> dict[str, Query]:

@@ -88,3 +88,30 @@ def date(printed: Column) -> Column:
         .when(bare.rlike(DAY_MONTH_YEAR), _valid(at(DAY_MONTH_YEAR, 3).try_cast("int"), month_of(at(DAY_MONTH_YEAR, 2)), at(DAY_MONTH_YEAR, 1).try_cast("int")))
         .when(bare.rlike(MONTH_DAY_YEAR), _valid(at(MONTH_DAY_YEAR, 3).try_cast("int"), month_of(at(MONTH_DAY_YEAR, 1)), at(MONTH_DAY_YEAR, 2).try_cast("int")))
     )
+
+
+# Fixed value: the shape of the provider's credential.
+CREDENTIAL = r"sk-ant-[A-Za-z0-9_-]{16,}"
+
+
+def redacted_leaves(payload: Column, configured: str | None = None) -> Column:
+    """A nested payload as JSON with every credential replaced, in keys and values at any depth; the configured one first, whatever its shape."""
+    body = F.to_json(payload)
+    if configured:
+        body = F.replace(body, F.lit(configured), F.lit("[REDACTED]"))
+    return F.regexp_replace(body, CREDENTIAL, "[REDACTED]")
+
+
+def canonical_json(cells: dict[str, Column]) -> Column:
+    """An object as JSON with its keys in order and no spaces; a null keeps its key."""
+    return F.to_json(F.struct(*(cells[k].alias(k) for k in sorted(cells))), {"ignoreNullFields": "false"})
+
+
+def rfc3339(at: Column) -> Column:
+    """A time in UTC, to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def normalized_name(name: Column, punctuation: str = ",.") -> Column:
+    """A name for comparison: lower case, without the punctuation, white space collapsed."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(name), punctuation, ""), r"\s+", " "))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, forecast, gates, ingestion, ledger, lifecycle, retrieval, survival, worklist
+from . import documents, forecast, gates, ingestion, ledger, lifecycle, retrieval, serving, survival, worklist
 from .registry import Query
 
-MODULES = (worklist, survival, lifecycle, forecast, gates, retrieval, ingestion, documents, ledger)
+MODULES = (worklist, survival, lifecycle, forecast, gates, retrieval, ingestion, documents, ledger, serving)
 
 
 def queries() -> dict[str, Query]:

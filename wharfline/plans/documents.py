@@ -129,11 +129,11 @@ def citation_contributors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry.query("""WITH c AS (SELECT l_orderkey AS document_id, l_linenumber AS chunk, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'Text and Quantity:' ELSE 'Text only' END AS tail, CASE WHEN l_suppkey % 2 = 0 THEN '12 each' ELSE 'Other words' END AS head FROM lineitem)
-SELECT document_id, chunk, before AS label_chunk FROM (SELECT *, lag(tail) OVER w AS tail_before, lag(chunk) OVER w AS before FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk, l_partkey)) WHERE tail_before LIKE '%Quantity:' AND regexp_matches(head, '^[0-9]')""")
+SELECT document_id, chunk, before AS label_chunk FROM (SELECT *, lag(tail) OVER w AS tail_before, lag(chunk) OVER w AS before FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk, l_partkey, head, tail)) WHERE tail_before LIKE '%Quantity:' AND regexp_matches(head, '^[0-9]')""")
 def split_label_contributors(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks whose value has its label at the end of the chunk before."""
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk"), "l_partkey", F.when(F.col("l_partkey") % 3 == 0, "Text and Quantity:").otherwise("Text only").alias("tail"), F.when(F.col("l_suppkey") % 2 == 0, "12 each").otherwise("Other words").alias("head"))
-    own = Window.partitionBy("document_id").orderBy("chunk", "l_partkey")
+    own = Window.partitionBy("document_id").orderBy("chunk", "l_partkey", "head", "tail")
     seen = c.withColumn("tail_before", F.lag("tail").over(own)).withColumn("label_chunk", F.lag("chunk").over(own))
     return seen.where(F.col("tail_before").endswith("Quantity:") & F.col("head").rlike("^[0-9]")).select("document_id", "chunk", "label_chunk")
 

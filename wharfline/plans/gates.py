@@ -201,11 +201,11 @@ def draw_digest_claims(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@registry.query(f"""WITH r AS (SELECT s_nationkey AS population, s_suppkey - 1 AS ordinal, sha256(s_name || '|' || s_suppkey) AS digest FROM supplier), b AS (SELECT population, ordinal // 1024 AS b, count(*) AS n, sha256(string_agg(digest, chr(10) ORDER BY ordinal)) AS d FROM r GROUP BY ALL)
+@registry.query(f"""WITH r AS (SELECT s_nationkey AS population, s_suppkey AS ordinal, sha256(s_name || '|' || s_suppkey) AS digest FROM supplier), b AS (SELECT population, ordinal // 1024 AS b, count(*) AS n, sha256(string_agg(digest, chr(10) ORDER BY ordinal)) AS d FROM r GROUP BY ALL)
 SELECT population, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS artifact FROM b GROUP BY population""")
 def artifact_digests(spark: SparkSession, sf: str) -> DataFrame:
     """One digest for each population over its rows' digests in order."""
-    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("population"), (F.col("s_suppkey") - 1).alias("ordinal"), F.sha2(F.concat_ws("|", "s_name", F.col("s_suppkey").cast("string")), 256).alias("digest"))
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("population"), F.col("s_suppkey").alias("ordinal"), F.sha2(F.concat_ws("|", "s_name", F.col("s_suppkey").cast("string")), 256).alias("digest"))
     return C.ordered_artifact_digest(rows, group="population", ordinal="ordinal", digest="digest")
 
 

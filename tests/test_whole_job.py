@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from wharfline import shared
-from wharfline.operators import identity
+from wharfline.functions import text
+from wharfline.operators import identity, retrieval, survival, worklist
 from wharfline.operators.components import connected_components
 
 
@@ -48,3 +52,43 @@ def test_clusters_as_taking_the_pairs_in_turn(spark):
         pairs = [(a, b, round(rng.random(), 1)) for a in range(n) for b in range(a + 1, n) if rng.random() < share]
         got = identity.clusters(spark.createDataFrame(pairs, "a long, b long, score double"))
         assert {r["record_id"]: r["cluster_id"] for r in got.collect()} == greedy(pairs)
+
+
+def test_override_requests_are_refused_as_a_whole(spark):
+    from datetime import date, timedelta
+
+    lines = spark.createDataFrame([(f"l{i}", date(2000, 1, 1)) for i in range(40)], "line_id string, need_by date")
+    ask = lambda rows: spark.createDataFrame(rows, "line_id string, what_if date")
+    day = date(1999, 12, 31)
+    out = worklist.effective_dates(lines, ask([(f"l{i}", day) for i in range(25)]), as_of="1999-06-30")
+    assert out.where("is_adjusted").count() == 25 and out.count() == 40
+    for rows in ([(f"l{i}", day) for i in range(26)], [("l1", day), ("l1", day)], [("l1", None)], [("l1", day + timedelta(days=3661))]):
+        with pytest.raises(ValueError, match="override"):
+            worklist.effective_dates(lines, ask(rows), as_of="1999-06-30")
+
+
+def test_terciles_where_one_value_holds_most_rows(spark):
+    rng = random.Random(2)
+    rows = [(f"{rng.randrange(10**6):06d}-{i}", rng.choice((5, 5, 5, 5, rng.randrange(10)))) for i in range(900)]
+    order = {k: r for r, (k, _) in enumerate(sorted(rows, key=lambda p: (p[1], p[0])))}
+    got = {r["k"]: r["level"] for r in survival.terciles(spark.createDataFrame(rows, "k string, v int"), value="v", key="k", lead_chars=1).collect()}
+    assert got == {k: ("TIGHT", "MODERATE", "RELAXED")[min(r * 3 // 900, 2)] for k, r in order.items()}
+
+
+def test_dense_blocks_as_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "chunk_id long, embedding array<float>")
+    q = df.where("chunk_id % 50 = 0").selectExpr("cast(chunk_id as string) as query_id", "embedding")
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.dense_topk(df, q, 7, block_queries=2, block_rows=64).collect()}
+    m = m.astype(np.float32).astype(float)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert got == {(str(i), r + 1): int(c) for i in range(0, 300, 50) for r, c in enumerate(np.argsort(1 - unit[i] @ unit.T)[:7])}
+
+
+def test_credentials_are_redacted_at_any_depth(spark):
+    key = "sk-ant-" + "a1B2" * 5
+    body = spark.sql(f"select named_struct('a', '{key}', 'b', array('x', '{key}!'), '{key}', 'short sk-ant-abc', 'own', 'k3y') as p").select(text.redacted_leaves(F.col("p"), "k3y").alias("t")).first()["t"]
+    assert key not in body and "k3y" not in body and body.count("[REDACTED]") == 4 and "sk-ant-abc" in body

@@ -100,11 +100,13 @@ def terciles(rows: DataFrame, *, value: str, key: str, levels: tuple[str, ...] =
     """``rows`` with level: min(rank * 3 // n, 2) by (value, key) over the whole table.
 
     Ranks come from counts of distinct values, a short table: most values lie inside one level.  Rows of a value that
-    a cut divides are counted by the first ``lead_chars`` characters of their key, and only the lead that holds the
-    cut is ranked.
+    a cut divides are counted by the first ``lead_chars`` characters of their key (thousands of a number), and only the
+    lead that holds the cut is ranked.
     """
     n = len(levels)
-    lead = F.substring(F.col(key).cast("string"), 1, lead_chars)
+    # leads stand in the order of the keys: a prefix of texts, thousands of numbers
+    is_text = dict(rows.dtypes)[key] == "string"
+    lead = F.substring(key, 1, lead_chars) if is_text else F.floor(F.col(key) / 1000)
     counts = materialize(rows.groupBy(value).agg(F.count("*").alias("here")), "counts").withColumn("zone", F.lit(0))
     upto = Window.partitionBy("zone").orderBy(value)
     placed = counts.withColumn("before", F.sum("here").over(upto) - F.col("here")).withColumn("whole", F.sum("here").over(Window.partitionBy("zone"))).drop("zone")

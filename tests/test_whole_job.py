@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline import shared
 from wharfline.functions import text
-from wharfline.operators import identity, retrieval, survival, worklist
+from wharfline.operators import blocks, identity, retrieval, survival, worklist
 from wharfline.operators.components import connected_components
 
 
@@ -92,3 +92,41 @@ def test_credentials_are_redacted_at_any_depth(spark):
     key = "sk-ant-" + "a1B2" * 5
     body = spark.sql(f"select named_struct('a', '{key}', 'b', array('x', '{key}!'), '{key}', 'short sk-ant-abc', 'own', 'k3y') as p").select(text.redacted_leaves(F.col("p"), "k3y").alias("t")).first()["t"]
     assert key not in body and "k3y" not in body and body.count("[REDACTED]") == 4 and "sk-ant-abc" in body
+
+
+def test_blocks_of_similar_vectors_as_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(160, 6)).astype(np.float32)
+    rows = [(i, "big" if i % 4 else "small", v.tolist()) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "id long, label string, v array<float>")
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    near = {f: {(a, b) for a in range(160) for b in range(a + 1, 160) if (a % 4 == 0) == (b % 4 == 0) and unit[a] @ unit[b] >= f} for f in (0.8, 0.93)}
+    counts = {(r["id"]): r["n"] for r in blocks.partner_counts(df, key="label", id_col="id", vector="v", floor=0.8, block_rows=16).collect()}
+    assert counts == {a: sum(x == a for x, _ in near[0.8]) for a, _ in near[0.8]}
+    forest = blocks.similar_forest(df, key="label", id_col="id", vector="v", floor=0.8, block_rows=16)
+    for floor, pairs in near.items():
+        root = list(range(160))
+        for _ in range(160):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        got = {r["node"]: r["root"] for r in connected_components(forest.where(F.col("cosine") >= floor).select("a", "b")).collect()}
+        assert got == {i: r for i, r in enumerate(root) if i != r}
+
+
+def test_blocks_of_candidates_as_all_pairs(spark):
+    rows = [(i, i % 2, "m1" if i % 3 else None, f"P{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, project int, norm_manufacturer string, norm_part string")
+    want = {(p, a, b) for a, p, m, k in rows for b, q, n, l in rows if a < b and p == q and (m and m == n or k == l)}
+    for size in (4, 1000):
+        got = identity.candidates(df, prefix=2, chunk_records=size)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_bootstrap_of_many_rows_follows_their_counts(spark):
+    values = spark.range(200_000).selectExpr("cast(id % 4 = 0 as double) as v")
+    r = retrieval.bootstrap(values.repartition(7), "v", resamples=500).first()
+    assert abs(r["low"] - 0.2481) < 5e-4 and abs(r["high"] - 0.2519) < 5e-4
+    assert r == retrieval.bootstrap(values, "v", resamples=500).first()
+    assert retrieval.bootstrap(values.where("v > 1"), "v").first()["low"] is None

@@ -1,4 +1,8 @@
-"""All-pairs similarity within a key, in blocks."""
+"""Similarity within a key, in blocks: each pair of chunks of a key is one task with a matrix product.
+
+What leaves a task grows with the rows of its block and not with their pairs: a count for each row, or the edges of a
+spanning forest.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +11,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1024
+from wharfline.shared import checked_broadcast
 
+BLOCK_ROWS = 1024
 
-def similar_pairs(rows: DataFrame, *, key: str, id_col: str, vector: str, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, a, b) with a < b for rows of one key whose vectors have a cosine of ``floor`` or more.
 
-    Each key is dealt into chunks of about ``block_rows`` by a hash of the id, and every pair of chunks is one task
-    with a matrix product; rows are repeated once for each chunk of their key, and only pairs that pass leave a task.
-    """
+def _dealt(rows: DataFrame, key: str, id_col: str, vector: str, block_rows: int) -> DataFrame:
+    """(key, id, v, chunk, i, j): each row once for every chunk of its key, so that any two rows of a key meet in block (i, j)."""
     sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
-    placed = rows.select(key, F.col(id_col).alias("id"), F.col(vector).alias("v")).join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    placed = rows.select(key, F.col(id_col).alias("id"), F.col(vector).alias("v")).join(checked_broadcast(sizes), key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = placed.select(key, "id", "v", "chunk", other).select(key, "id", "v", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    kind = dealt.schema[key].dataType.simpleString()
+    return placed.select(key, "id", "v", "chunk", other).select(key, "id", "v", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
+def _units(table: pa.Table) -> np.ndarray:
+    m = np.array(table.column("v").to_pylist(), dtype=np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def partner_counts(rows: DataFrame, *, key: str, id_col: str, vector: str, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, id, n): for each row how many of its key with a greater id have a cosine of ``floor`` or more with it; rows with none are left out."""
 
     def block(table: pa.Table) -> pa.Table:
-        ids, chunk = table.column("id").to_numpy(), table.column("chunk").to_numpy()
-        m = np.array(table.column("v").to_pylist(), dtype=np.float64)
-        m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        ids, chunk, m = table.column("id").to_numpy(), table.column("chunk").to_numpy(), _units(table)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        x, y = np.nonzero(m[left] @ m[right].T >= floor)
-        a, b = ids[left[x]], ids[right[y]]
-        keep = a < b if i == j else a != b
-        a, b = a[keep], b[keep]
-        return pa.table({key: pa.array([table.column(key)[0].as_py()] * len(a), table.schema.field(key).type), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        near = m[left] @ m[right].T >= floor
+        first = ids[left][:, None] < ids[right][None, :]
+        # in a block of one chunk with itself every pair is there both ways round
+        n = np.bincount(left, (near & first).sum(axis=1), len(ids))
+        if i != j:
+            n += np.bincount(right, (near & (ids[left][:, None] > ids[right][None, :])).sum(axis=0), len(ids))
+        some = np.flatnonzero(n)
+        return pa.table({key: table.column(key).take(pa.array(some)), "id": ids[some], "n": n[some].astype(np.int64)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    found = _dealt(rows, key, id_col, vector, block_rows).groupBy(key, "i", "j").applyInArrow(block, f"{key} {kind}, id long, n long")
+    return found.groupBy(key, "id").agg(F.sum("n").alias("n"))
+
+
+def similar_forest(rows: DataFrame, *, key: str, id_col: str, vector: str, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, cosine): edges between rows of one key that have the same components as all pairs do, at any cosine from ``floor`` up.
+
+    A block gives the edges of its greatest spanning forest: whatever two rows of it are joined by at a threshold, the
+    forest joins them by edges that pass it too.  A block of n rows gives fewer than n edges.
+    """
+
+    def block(table: pa.Table) -> pa.Table:
+        ids, m = table.column("id").to_numpy(), _units(table)
+        near = m @ m.T
+        n = len(ids)
+        outside, best, via = np.ones(n, dtype=bool), np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
+        a, b, cosine = [], [], []
+        for _ in range(n):
+            at = int(np.argmax(np.where(outside, best, -np.inf)))
+            if best[at] >= floor and outside[at]:
+                a.append(ids[via[at]])
+                b.append(ids[at])
+                cosine.append(best[at])
+            else:  # nothing is near the tree: another begins
+                at = int(np.argmax(outside))
+            outside[at] = False
+            nearer = near[at] > best
+            best[nearer], via[nearer] = near[at][nearer], at
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
 
-    return dealt.groupBy(key, "i", "j").applyInArrow(block, f"{key} {kind}, a long, b long")
+    dealt = _dealt(rows, key, id_col, vector, block_rows)
+    return dealt.groupBy(key, "i", "j").applyInArrow(block, "a long, b long, cosine double")

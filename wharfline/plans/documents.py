@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wharfline.functions import text
 from wharfline.operators import structure as U
-from wharfline.operators.blocks import similar_pairs
+from wharfline.operators.blocks import similar_forest
 from wharfline.operators.components import connected_components
 from wharfline.session import table
+from wharfline.shared import materialize
 
 from .registry import Registry
 from .retrieval import _DOT
@@ -92,15 +93,13 @@ reach AS (SELECT floor, a AS node, a AS root FROM edge UNION SELECT edge.floor,
 least AS (SELECT floor, node, min(root) AS root FROM reach GROUP BY floor, node)
 SELECT CAST(floor AS DOUBLE) AS floor, count(*) AS members, count(DISTINCT root) AS clusters FROM least GROUP BY floor""")
 def near_duplicate_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of two or more vectors of one label, as components of the pairs at five thresholds."""
-    e = table(spark, sf, "embeddings")
-    counts = None
-    for floor in _FLOORS:
-        pairs = similar_pairs(e, key="label", id_col="vec_id", vector="embedding", floor=floor).select("a", "b")
-        nodes = connected_components(pairs)
-        out = nodes.agg(F.count("*").alias("others"), F.countDistinct("root").alias("clusters")).where("clusters > 0").select(F.lit(floor).alias("floor"), (F.col("others") + F.col("clusters")).alias("members"), "clusters")
-        counts = out if counts is None else counts.unionByName(out)
-    return counts
+    """Clusters of two or more vectors of one label, as components of the pairs at five thresholds: one search serves them all."""
+    forest = materialize(similar_forest(table(spark, sf, "embeddings"), key="label", id_col="vec_id", vector="embedding", floor=min(_FLOORS)), "forest")
+    # a vector at a threshold is a node of its own, so that the rounds run once
+    passed = F.explode(F.filter(F.array(*map(F.lit, _FLOORS)), lambda f: F.col("cosine") >= f)).alias("floor")
+    edges = forest.select("a", "b", passed).select(F.struct("floor", F.col("a").alias("id")).alias("a"), F.struct("floor", F.col("b").alias("id")).alias("b"))
+    nodes = connected_components(edges).groupBy(F.col("node.floor").alias("floor")).agg(F.count("*").alias("others"), F.countDistinct("root").alias("clusters"))
+    return nodes.select("floor", (F.col("others") + F.col("clusters")).alias("members"), "clusters")
 
 
 _VALUE = "value AS (SELECT l_orderkey AS document_id, CASE l_linenumber WHEN 1 THEN 'document' ELSE 'item' END AS scope, CASE WHEN l_partkey % 20 = 3 THEN NULL ELSE l_linenumber END AS ordinal FROM lineitem)"

@@ -14,6 +14,8 @@ from .frames import LINES, lines
 from .registry import Registry
 
 registry = Registry()
+#: Ids that a zone of the roster spans.
+ZONE_IDS = 4096
 
 _FIT = f"""{LINES}, cell AS (SELECT category, vendor, count(*) AS n, avg(ln(1 + CAST(duration AS DOUBLE))) AS m, var_pop(ln(1 + CAST(duration AS DOUBLE))) AS v FROM line WHERE is_closed GROUP BY category, vendor),
 grp AS (SELECT category, sum(n * m) / sum(n) AS gm, sum(n * v) / sum(n) AS within FROM cell GROUP BY category),
@@ -57,8 +59,8 @@ def seed_deltas(spark: SparkSession, sf: str) -> DataFrame:
 SELECT field, count(*) AS attempted, count(*) FILTER (WHERE contains(text, field)) AS stored, count(*) FILTER (WHERE NOT contains(text, field)) AS correct_negative FROM d, f GROUP BY field""")
 def attempt_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Attempts of (document, field), split into stored and correctly absent; the two add up to the attempts."""
-    fields = spark.createDataFrame([(x,) for x in ("MIT", "Apache", "General", "zzz")], "field string")
-    d = table(spark, sf, "documents").select("text").join(F.broadcast(fields))  # a closed list of fields
+    fields = F.explode(F.array(*map(F.lit, ("MIT", "Apache", "General", "zzz"))))  # a closed list
+    d = table(spark, sf, "documents").select("text", fields.alias("field"))
     hit = F.expr("instr(text, field) > 0")
     return d.groupBy("field").agg(F.count("*").alias("attempted"), F.sum(hit.cast("long")).alias("stored"), F.sum((~hit).cast("long")).alias("correct_negative"))
 
@@ -94,9 +96,12 @@ def figure_publication(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query(f"""WITH {LINES} SELECT vendor, min(r) AS ordinal FROM (SELECT vendor, dense_rank() OVER (ORDER BY vendor) - 1 AS r FROM line) GROUP BY vendor""")
 def roster_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Zero-based index of the vendors over all lines; the roster is a short table of distinct members."""
-    v = lines(spark, sf).select("vendor").distinct().withColumn("zone", F.lit(0))
-    return v.select("vendor", (F.row_number().over(Window.partitionBy("zone").orderBy("vendor")) - 1).alias("ordinal"))
+    """Zero-based index of the vendors over all lines: places in zones of the ids, after the members of the zones before."""
+    v = lines(spark, sf).select("vendor").distinct().withColumn("zone", F.floor(F.col("vendor") / ZONE_IDS))
+    counts = v.groupBy("zone").agg(F.count("*").alias("n"))
+    ahead = counts.select("zone", F.coalesce(F.sum("n").over(Window.orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("zone").orderBy("vendor")) - 1
+    return v.withColumn("place", place).join(ahead, "zone").select("vendor", (F.col("ahead") + F.col("place")).alias("ordinal"))
 
 
 @registry.query(f"""WITH {LINES} SELECT 'vendor' AS covariate, count(DISTINCT vendor) > 1 AS varies FROM line WHERE is_closed UNION ALL SELECT 'category', count(DISTINCT category) > 1 FROM line WHERE is_closed UNION ALL SELECT 'always_closed', count(DISTINCT is_closed) > 1 FROM line WHERE is_closed""")

@@ -187,8 +187,7 @@ SELECT g.source, l.lang, coalesce(n, 0) AS n FROM g CROSS JOIN l LEFT JOIN d ON
 def documents_by_layer(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of each source over a closed list of layers, zeros included."""
     d = documents(spark, sf)
-    layers = spark.createDataFrame([(x,) for x in ("en", "de", "fr", "es", "zz")], "lang string")
-    domain = d.select("source").distinct().join(F.broadcast(layers))
+    domain = d.select("source").distinct().select("source", F.explode(F.array(*map(F.lit, ("en", "de", "fr", "es", "zz")))).alias("lang"))
     return I.counts_over_domain(domain, d, ["source", "lang"])
 
 

@@ -200,7 +200,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 def banded(spark: SparkSession, sf: str) -> DataFrame:
     own = records(spark, sf)
-    return D.scored(D.candidates(own, prefix=7, salt=4), own)
+    return D.scored(D.candidates(own, prefix=7), own)
 
 
 @registry.query(f"WITH {_RECORDS} SELECT project, band, count(*) AS n, round(avg(score), 6) AS mean_score FROM banded GROUP BY project, band")

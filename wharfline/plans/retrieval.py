@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions import arrays, stats, text
 from wharfline.operators import retrieval as R
+from wharfline.operators.blocks import partner_counts
 from wharfline.session import table
 from wharfline.shared import checked_broadcast
 
@@ -64,18 +65,18 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense(spark, sf).withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
-#: The first dense queries by id run beside the lexical ones under the same name.
+#: The first dense queries by id run beside the lexical ones under the same name; the others have no lexical arm.
 PAIRED = {q: f"v{DENSE_STEP * i}" for i, q in enumerate(ASKED)}
 _FUSED = f"""{LEXICAL}, {DENSE},
 paired AS (SELECT * FROM (VALUES {', '.join(map(str, PAIRED.items()))}) AS p(query_id, v)),
-d AS (SELECT paired.query_id, chunk_id, rank FROM dense JOIN paired ON dense.query_id = v),
+d AS (SELECT coalesce(paired.query_id, dense.query_id) AS query_id, chunk_id, rank FROM dense LEFT JOIN paired ON dense.query_id = v),
 pair AS (SELECT query_id, chunk_id, l.rank AS lexical_rank, d.rank AS dense_rank FROM lexical l FULL JOIN d USING (query_id, chunk_id)),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT *, round(coalesce(CAST(1.0 AS DOUBLE) / (60 + lexical_rank), 0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + dense_rank), 0), 12) AS score FROM pair)) WHERE rank <= {R.DEPTH})"""
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.createDataFrame([(v, q) for q, v in PAIRED.items()], "query_id string, q string")
-    d = dense(spark, sf).join(F.broadcast(names), "query_id").drop("query_id").withColumnRenamed("q", "query_id")
+    d = dense(spark, sf).join(F.broadcast(names), "query_id", "left").withColumn("query_id", F.coalesce("q", "query_id")).drop("q")
     return R.fuse(lexical(spark, sf), d)
 
 
@@ -159,7 +160,5 @@ def near_vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
     A label may hold most vectors: it is dealt out as pairs of blocks, each a task, and a pair of vectors meets in one.
     """
-    from wharfline.operators.blocks import similar_pairs
-
-    out = similar_pairs(table(spark, sf, "embeddings"), key="label", id_col="vec_id", vector="embedding", floor=0.3)
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("a").alias("left_members"))
+    out = partner_counts(table(spark, sf, "embeddings"), key="label", id_col="vec_id", vector="embedding", floor=0.3)
+    return out.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("left_members"))

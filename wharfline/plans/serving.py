@@ -222,7 +222,7 @@ def frozen_calibration(spark: SparkSession, sf: str) -> DataFrame:
 def all_withheld_run(spark: SparkSession, sf: str) -> DataFrame:
     """A run whose cutoffs merge nothing completes, with all its candidates withheld or rejected."""
     own = records(spark, sf)
-    out = D.scored(D.candidates(own, prefix=7, salt=4), own, merge=2.0, reject=0.3)
+    out = D.scored(D.candidates(own, prefix=7), own, merge=2.0, reject=0.3)
     return out.agg(F.count("*").alias("candidates"), F.count_if(F.col("band") == "merge").cast("int").alias("merged"), F.count_if(F.col("band") == "withhold").alias("withheld"))
 
 

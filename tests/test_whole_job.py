@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wharfline import shared
-from wharfline.functions import text
-from wharfline.operators import blocks, identity, retrieval, survival, worklist
+from wharfline.functions import stats, text
+from wharfline.operators import blocks, forecast, identity, retrieval, survival, worklist
 from wharfline.operators.components import connected_components
 
 
@@ -130,3 +130,28 @@ def test_bootstrap_of_many_rows_follows_their_counts(spark):
     assert abs(r["low"] - 0.2481) < 5e-4 and abs(r["high"] - 0.2519) < 5e-4
     assert r == retrieval.bootstrap(values, "v", resamples=500).first()
     assert retrieval.bootstrap(values.where("v > 1"), "v").first()["low"] is None
+
+
+def test_effect_intervals_hold_their_level(spark):
+    import math
+
+    draws = [(0.5, 1.0), (2.0, 0.25), (0.0, 1.0), (1.0, 0.0)]
+    counts = spark.createDataFrame([("a", 0), ("b", 3), ("c", 50), ("d", 3), ("e", None)], "vendor string, n int")
+    got = {r["vendor"]: r for r in forecast.effect_intervals(counts, spark.createDataFrame([*draws, (None, 1.0)], "tau double, sigma double")).collect()}
+    assert got["e"]["low"] is None and got["b"]["high"] == got["d"]["high"] > got["c"]["high"] and len(got) == 5
+    for r in (got["a"], got["b"]):
+        spreads = [t * s / math.sqrt(r["n"] * t * t + s * s) if r["n"] else t for t, s in draws]
+        inside = [math.erf(r["high"] / (s * math.sqrt(2))) if s else 1.0 for s in spreads]
+        assert abs(sum(inside) / 4 - 0.9) < 1e-9 and r["low"] == -r["high"]
+        assert abs(r["spread"] - sum(sorted(spreads)[1:3]) / 2) < 1e-12
+    none = forecast.effect_intervals(counts, spark.createDataFrame([], "tau double, sigma double")).collect()
+    assert len(none) == 5 and all(r["spread"] is None for r in none)
+
+
+def test_digest_of_stored_doubles(spark):
+    import hashlib
+    import struct
+
+    rows = [([1.5, -0.0, 3e300],), ([],), (None,), ([float("nan")],), ([1.0, None],)]
+    got = [r["d"] for r in spark.createDataFrame(rows, "v array<double>").select(stats.float_digest("v").alias("d")).collect()]
+    assert got == [hashlib.sha256(struct.pack("<3d", 1.5, -0.0, 3e300)).hexdigest(), None, None, None, None]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,6 +113,42 @@ def remaining_quantile(u: pd.Series, elapsed: pd.Series, mu: pd.Series, sigma: p
     return pd.Series(out, dtype=float)
 
 
+def mixture_half_width(spreads: np.ndarray, level: float) -> np.ndarray:
+    """For each row of ``spreads`` the h such that [-h, h] holds ``level`` of an even mixture of normals about 0 with those spreads.
+
+    All rows are halved together.  A spread of 0 is a point at 0, which every interval holds.
+    """
+    erf = np.frompyfunc(math.erf, 1, 1)
+    low, high = np.zeros(len(spreads)), _widest(level) * spreads.max(axis=1, initial=0.0)
+    with np.errstate(divide="ignore"):
+        scale = np.where(spreads > 0, 1 / (spreads * math.sqrt(2)), 0.0)
+    points = (spreads <= 0).sum(axis=1)
+    for _ in range(64):
+        middle = (low + high) / 2
+        held = (erf(middle[:, None] * scale).astype(float).sum(axis=1) + points) / max(spreads.shape[1], 1)
+        low, high = np.where(held < level, middle, low), np.where(held < level, high, middle)
+    return (low + high) / 2
+
+
+def _widest(level: float) -> float:
+    """Half the width, in spreads, of the middle ``level`` of a normal."""
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf((1 + level) / 2)
+
+
+@F.pandas_udf(T.StringType())
+def float_digest(values: pd.Series) -> pd.Series:
+    """SHA-256 (hex) of an array's doubles as they are stored, least byte first; null for one that is null, empty or not finite throughout."""
+    import hashlib
+
+    def digest(v) -> str | None:
+        raw = np.asarray(v if v is not None else [], dtype="<f8")
+        return hashlib.sha256(raw.tobytes()).hexdigest() if raw.size and np.isfinite(raw).all() else None
+
+    return values.map(digest)
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
     """Chance of k or more successes in n trials."""
     if p <= 0:

@@ -6,22 +6,30 @@ would, and its posteriors are not a sampler's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions import stats
 
 
-def lognormal_fit(lines: DataFrame, *, group: str = "category", member: str = "vendor", days: str = "duration") -> DataFrame:
-    """(group, member, n, mu, sigma) of completed durations: the group's log mean plus the member's shrunk offset.
+def variances(lines: DataFrame, *, group: str, member: str, days: str) -> tuple[DataFrame, DataFrame]:
+    """(group, member, n, m, v) of log durations, and (group, gm, within, between): each group's mean and variances within and between members.
 
     Everything comes from sums folded by (group, member); the fold of groups is joined back, never collected.
     """
-    y = F.log1p(F.col(days).cast("double"))
+    y, w = F.log1p(F.col(days).cast("double")), F.col("n")
     cells = lines.groupBy(group, member).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
-    w = F.col("n")
     groups = cells.groupBy(group).agg((F.sum(w * F.col("m")) / F.sum(w)).alias("gm"), (F.sum(w * F.col("v")) / F.sum(w)).alias("within"))
-    spread = cells.join(groups, group).groupBy(group).agg(F.first("gm").alias("gm"), F.first("within").alias("within"), (F.sum(w * F.pow(F.col("m") - F.col("gm"), 2)) / F.sum(w)).alias("between"))
+    return cells, cells.join(groups, group).groupBy(group).agg(F.first("gm").alias("gm"), F.first("within").alias("within"), (F.sum(w * F.pow(F.col("m") - F.col("gm"), 2)) / F.sum(w)).alias("between"))
+
+
+def lognormal_fit(lines: DataFrame, *, group: str = "category", member: str = "vendor", days: str = "duration") -> DataFrame:
+    """(group, member, n, mu, sigma) of completed durations: the group's log mean plus the member's shrunk offset."""
+    cells, spread = variances(lines, group=group, member=member, days=days)
     out = cells.join(spread, group)
     rho = F.when(F.col("within") > 0, stats.shrinkage(F.col("between"), F.col("within"), F.col("n"))).otherwise(0.0)
     return out.select(group, member, "n", (F.col("gm") + rho * (F.col("m") - F.col("gm"))).alias("mu"), F.sqrt("within").alias("sigma"))
@@ -46,6 +54,37 @@ def gate(diagnostics: DataFrame, *, ceiling: float) -> DataFrame:
     return diagnostics.withColumn("passed", F.coalesce(F.col("r_hat") <= ceiling, F.lit(False)))
 
 
+#: Draws of a pair of scales that every task is given, at most; a sampler's run has some thousands.
+SCALE_DRAWS = 20_000
+
+
+def effect_intervals(counts: DataFrame, draws: DataFrame, *, n: str = "n", between: str = "tau", within: str = "sigma", level: float = 0.9) -> DataFrame:
+    """``counts`` with spread (median over draws), low and high of a member's effect, which its ``n`` rows have taught.
+
+    Given one draw of the two standard deviations the effect is normal about 0 with spread t s / sqrt(n t^2 + s^2); the
+    interval is the narrowest that holds ``level`` of the mixture over all draws.  It depends on n alone, so each
+    distinct n is solved once.  A member without rows keeps the whole spread between members; draws with a null are
+    left out, and without any the three columns are null.
+    """
+    held = draws.select(F.col(between).cast("double").alias("t"), F.col(within).cast("double").alias("s")).dropna().limit(SCALE_DRAWS + 1).toPandas().sort_values(["t", "s"])
+    if len(held) > SCALE_DRAWS:
+        raise ValueError(f"more than {SCALE_DRAWS} draws of the scales")
+    t, s = held["t"].to_numpy(), held["s"].to_numpy()
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows if len(t) else 0, 64)):
+                m = part.column(0).to_numpy()[:, None]
+                root = np.sqrt(m * t**2 + s**2)
+                spreads = np.where(m > 0, np.divide(t * s, root, out=np.zeros_like(root), where=root > 0), t)
+                half = stats.mixture_half_width(spreads, level)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (np.median(spreads, axis=1), -half, half))], ["rows", "spread", "low", "high"])
+
+    rows = F.col(n).cast("long")
+    by_n = counts.where(rows.isNotNull()).select(rows.alias("rows")).distinct().mapInArrow(solved, "rows long, spread double, low double, high double")
+    return counts.withColumn("rows", rows).join(by_n, "rows", "left").drop("rows")
+
+
 #: Lags that an autocorrelation is followed over, at most.
 LAGS = 20
 # Metric, threshold, direction, scope, whether a breach refuses the run.

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wharfline.functions import arrays
+from wharfline.functions import arrays, stats
 from wharfline.operators import forecast as C
 from wharfline.operators import ingestion as I
 from wharfline.session import table
 
-from .frames import LINES, lines
+from .frames import LINES, lines, posteriors
 from .registry import Registry
 
 registry = Registry()
@@ -38,6 +38,21 @@ def remaining_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return C.remaining(lines(spark, sf).where("not is_closed"), fit(spark, sf))
 
 
+@registry.query()
+def effect_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vendor's effect with its interval, each category's two variances read as one draw; SQL here has no error function, a test checks it."""
+    known = lines(spark, sf)
+    _, by_category = C.variances(known.where("is_closed"), group="category", member="vendor", days="duration")
+    counts = known.groupBy("vendor").agg(F.count_if("is_closed").alias("n"))
+    return C.effect_intervals(counts, by_category.select(F.sqrt("between").alias("tau"), F.sqrt("within").alias("sigma")))
+
+
+@registry.query()
+def draw_byte_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """A digest of each vendor's draws as stored doubles; SQL here has no bytes of doubles, a test checks it."""
+    return posteriors(spark, sf).select("vendor", F.size("draws").cast("long").alias("n"), stats.float_digest(F.col("draws").cast("array<double>")).alias("digest"))
+
+
 @registry.query("""WITH c AS (SELECT event_type, user_id % 4 AS chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY ALL)
 SELECT event_type, count(*) AS chains, CAST(sum(n) AS BIGINT) AS draws, round(sqrt((avg(v) * (avg(n) - 1) / avg(n) + var_samp(m)) / avg(v)), 8) AS r_hat, round(sqrt((avg(v) * (avg(n) - 1) / avg(n) + var_samp(m)) / avg(v)), 8) <= 1.001 AS passed FROM c GROUP BY event_type""")
 def chain_diagnostics(spark: SparkSession, sf: str) -> DataFrame:

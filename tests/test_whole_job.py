@@ -155,3 +155,24 @@ def test_digest_of_stored_doubles(spark):
     rows = [([1.5, -0.0, 3e300],), ([],), (None,), ([float("nan")],), ([1.0, None],)]
     got = [r["d"] for r in spark.createDataFrame(rows, "v array<double>").select(stats.float_digest("v").alias("d")).collect()]
     assert got == [hashlib.sha256(struct.pack("<3d", 1.5, -0.0, 3e300)).hexdigest(), None, None, None, None]
+
+
+def test_fixtures_are_refused_by_their_numbers_and_levels(spark, tmp_path):
+    from wharfline.sources import manifests
+
+    deep = lambda n: '{"a":' * n + "1" + "}" * n
+    cases = {"a": ('{"x": 12.5}', "float"), "b": ('{"x": 1E3}', "float"), "c": ('{"x": "12.5 \\\\", "y": -3}', None), "d": (deep(32), None), "e": (deep(33), "too deep"), "f": ('{"x": NaN}', "malformed"), "g": ("[1]", "not an object"), "h": ("\ufeff{}", "byte-order mark"), "i": ('{"s": "' + "[" * 50 + '\\""}', None), "j": ('{"s": "' + "x" * 200_000 + '"}', None)}
+    for name, (body, _) in cases.items():
+        (tmp_path / f"{name}.json").write_text(body, encoding="utf-8")
+    (tmp_path / "k.json").write_bytes(b'{"s": "\xff"}')
+    cases["k"] = ("", "not UTF-8")
+    got = {r["file"].rsplit("/", 1)[1][:-5]: r["refusal"] for r in manifests.read_fixtures(spark, str(tmp_path)).collect()}
+    assert got == {n: want for n, (_, want) in cases.items()}
+
+
+def test_a_response_is_no_longer_than_its_search(spark):
+    found = spark.createDataFrame([("q", i, i) for i in range(1, 30)], "query_id string, chunk_id long, rank int")
+    assert retrieval.responses(found, 2).first()["body"] == '[{"rank":1,"chunk":1},{"rank":2,"chunk":2}]'
+    for limit in (0, 51):
+        with pytest.raises(ValueError, match="response"):
+            retrieval.responses(found, limit)

@@ -107,6 +107,28 @@ def canonical_json(cells: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(cells[k].alias(k) for k in sorted(cells))), {"ignoreNullFields": "false"})
 
 
+#: Levels of brackets that a fixture may have.
+MOST_LEVELS = 32
+
+
+def json_refusal(body: Column, most_levels: int = MOST_LEVELS) -> Column:
+    """Why a fixture's JSON is refused, null if it is not: byte-order mark, malformed, not an object, float, too deep.
+
+    A number with a point or an exponent is a float: its digest would depend on who prints it.  Texts inside the JSON
+    are taken out before brackets and numbers are looked at.  Keys that repeat in one object are malformed; a null body too.
+    """
+    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', '""')
+    steps = F.transform(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    levels = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")), lambda a, s: F.struct((a["at"] + s).alias("at"), F.greatest(a["top"], a["at"] + s).alias("top")))["top"]
+    return (
+        F.when(F.startswith(body, F.lit("\ufeff")), "byte-order mark")
+        .when(F.try_parse_json(body).isNull(), "malformed")
+        .when(~bare.rlike(r"^\s*\{"), "not an object")
+        .when(bare.rlike("[0-9][.eE]"), "float")
+        .when(levels > most_levels, "too deep")
+    )
+
+
 def rfc3339(at: Column) -> Column:
     """A time in UTC, to the second."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

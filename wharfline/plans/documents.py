@@ -216,6 +216,17 @@ def json_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", F.coalesce(shaped, F.lit(False)).alias("well_formed"), all_keys.alias("has_all_keys"))
 
 
+@registry.query("""SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 'float' WHEN 1 THEN 'float' WHEN 2 THEN 'too deep' WHEN 3 THEN 'not an object' WHEN 4 THEN 'malformed' WHEN 5 THEN 'byte-order mark' END AS refusal FROM supplier""")
+def fixture_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """Why a payload may not become a fixture; numbers and brackets inside its texts are no reason."""
+    k, key, name = F.col("s_suppkey") % 7, F.col("s_suppkey").cast("string"), F.col("s_name")
+    made = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    deep = made('{"a":', F.repeat(F.lit("["), 32), key, F.repeat(F.lit("]"), 32), "}")
+    whole = made('{"name":"', name, ' 1.5 \\"[[{{ 2e9","lines":[{"id":', key, "}]}")
+    body = F.when(k == 0, made('{"share":', key, ".5}")).when(k == 1, made('{"a":[', key, "e2]}")).when(k == 2, deep).when(k == 3, made("[", key, "]")).when(k == 4, made('{"name":"', name, '",}')).when(k == 5, made("\ufeff", whole)).otherwise(whole)
+    return table(spark, sf, "supplier").select("s_suppkey", text.json_refusal(body).alias("refusal"))
+
+
 @registry.query("SELECT p_partkey, array_to_string(list_filter([nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_brand END), ''), p_type, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END], lambda x: x IS NOT NULL), ' / ') AS shown FROM part")
 def joined_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     """The parts of a description that are not blank, joined."""

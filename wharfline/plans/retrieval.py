@@ -91,6 +91,12 @@ def retrieval_ordering_digest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(arrays.ordered_digest(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("id")))).alias("digest"), F.count("*").alias("n"))
 
 
+@registry.query(f"WITH {_FUSED} SELECT query_id, count(*) AS n, '[' || string_agg('{{\"rank\":' || rank || ',\"chunk\":' || chunk_id || '}}', ',' ORDER BY rank) || ']' AS body FROM fused WHERE rank <= 10 GROUP BY query_id")
+def search_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten results of each query as JSON."""
+    return R.responses(fused(spark, sf))
+
+
 _FIRST = f"""{DENSE},
 firsts AS (SELECT dq.query_id, min(rank) AS first FROM dq LEFT JOIN (SELECT dense.query_id, rank FROM dense JOIN embeddings ON vec_id = chunk_id JOIN dq ON dq.query_id = dense.query_id WHERE label = wanted_label AND vec_id <> own) h ON h.query_id = dq.query_id GROUP BY dq.query_id)"""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wharfline.functions import text
+
 ENTRY = "location string, layer string, content_hash string, license_basis struct<spdx: string, source: string>"
 SCHEMA = f"layer string, entries array<struct<{ENTRY}>>"
 
@@ -16,6 +18,13 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return named.select("manifest", F.col("layer").alias("manifest_layer"), F.col("_corrupt_record").isNotNull().alias("is_broken"), F.explode_outer("entries").alias("e")).select("manifest", "manifest_layer", "is_broken", "e.*")
 
 
+def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """(file, body, refusal) of the JSON fixtures below ``path``; what is refused is for the caller to act on, null is fit to be digested."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)  # a text reader would take the byte-order mark away
+    body = F.col("content").cast("string")
+    return raw.select(F.col("path").alias("file"), body.alias("body"), F.when(~F.is_valid_utf8(body), "not UTF-8").otherwise(text.json_refusal(body)).alias("refusal"))
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(file, digest, bytes) of the files below ``path``; contents stay on the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

@@ -176,3 +176,16 @@ def test_a_response_is_no_longer_than_its_search(spark):
     for limit in (0, 51):
         with pytest.raises(ValueError, match="response"):
             retrieval.responses(found, limit)
+
+
+def test_a_chain_that_stays_correlated_has_no_effective_size(spark):
+    rng, rows = random.Random(3), []
+    for name, keep in (("slow", 0.99), ("fast", 0.3)):
+        for chain in range(2):
+            x = 0.0
+            for i in range(2000):
+                x = keep * x + rng.gauss(0, 1)
+                rows.append((name, chain, i, x))
+    df = spark.createDataFrame(rows, "p string, c int, i int, v double")
+    got = {r["p"]: r["ess"] for r in forecast.effective_sizes(df, parameter="p", chain="c", order="i", value="v").collect()}
+    assert got["slow"] is None and 1400 < got["fast"] < 3200

@@ -94,23 +94,24 @@ GATE = [
 ]
 
 
-def effective_sizes(draws: DataFrame, *, parameter: str, chain: str, order: str, value: str) -> DataFrame:
-    """(parameter, chains, draws, ess): draws over 1 + 2 times the sum of autocorrelations, by initial positive pairs over LAGS lags.
+def effective_sizes(draws: DataFrame, *, parameter: str, chain: str, order: str, value: str, lags: int = LAGS) -> DataFrame:
+    """(parameter, chains, draws, ess): draws over 1 + 2 times the sum of autocorrelations, by initial positive pairs.
 
     Autocovariances come from lagged products folded by chain; the pooled variance is that of the scale reduction.
+    A parameter whose pairs are still positive after ``lags`` lags has no size (null), and a gate refuses it: ask for more lags.
     """
     own = Window.partitionBy(parameter, chain).orderBy(order)
     m = F.avg(value).over(Window.partitionBy(parameter, chain))
     centred = draws.select(parameter, chain, order, F.col(value).alias("v"), (F.col(value) - m).alias("z"))
-    lagged = centred.select(parameter, chain, "v", *((F.col("z") * F.lag("z", k).over(own) if k else F.col("z") * F.col("z")).alias(f"p{k}") for k in range(LAGS)))
-    per = lagged.groupBy(parameter, chain).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("v"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(LAGS)))
-    folded = per.groupBy(parameter).agg(F.count("*").alias("chains"), F.sum("n").alias("draws"), F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("b"), *(F.avg(F.col(f"s{k}") / F.col("n")).alias(f"c{k}") for k in range(LAGS)))
+    lagged = centred.select(parameter, chain, "v", *((F.col("z") * F.lag("z", k).over(own) if k else F.col("z") * F.col("z")).alias(f"p{k}") for k in range(lags)))
+    per = lagged.groupBy(parameter, chain).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("v"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(lags)))
+    folded = per.groupBy(parameter).agg(F.count("*").alias("chains"), F.sum("n").alias("draws"), F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("b"), *(F.avg(F.col(f"s{k}") / F.col("n")).alias(f"c{k}") for k in range(lags)))
     pooled = folded.withColumn("pool", F.col("w") * (F.col("n") - 1) / F.col("n") + F.col("b"))
-    rho = [1 - (F.col("w") - F.col(f"c{k}")) / F.col("pool") for k in range(LAGS)]
-    pairs = F.array(*(rho[k] + rho[k + 1] for k in range(0, LAGS, 2)))
-    first_bad = F.coalesce(F.array_min(F.filter(F.transform(pairs, lambda p, i: F.when(p <= 0, i)), lambda i: i.isNotNull())), F.lit(LAGS // 2))
+    rho = [1 - (F.col("w") - F.col(f"c{k}")) / F.col("pool") for k in range(lags)]
+    pairs = F.array(*(rho[k] + rho[k + 1] for k in range(0, lags - 1, 2)))
+    first_bad = F.array_min(F.filter(F.transform(pairs, lambda p, i: F.when(p <= 0, i)), lambda i: i.isNotNull()))
     total = F.aggregate(F.slice(pairs, 1, F.greatest(first_bad, F.lit(1))), F.lit(0.0), lambda a, p: a + p)
-    return pooled.select(parameter, "chains", "draws", (F.col("draws") / F.greatest(2 * total - 1, F.lit(1e-9))).alias("ess"))
+    return pooled.select(parameter, "chains", "draws", F.when(first_bad.isNotNull(), F.col("draws") / F.greatest(2 * total - 1, F.lit(1e-9))).alias("ess"))
 
 
 def energy_diagnostics(steps: DataFrame, *, chain: str, order: str, energy: str, diverged: str, deep: str) -> DataFrame:

@@ -24,8 +24,8 @@ lagged AS (SELECT parameter, chain, v, z * z AS p0, {', '.join(f'z * lag(z, {k})
 per AS (SELECT parameter, chain, count(*) AS n, avg(v) AS m, var_samp(v) AS v, {', '.join(f'coalesce(sum(p{k}), 0) AS s{k}' for k in ks)} FROM lagged GROUP BY parameter, chain),
 folded AS (SELECT parameter, count(*) AS chains, CAST(sum(n) AS BIGINT) AS draws, avg(v) AS w, avg(v) * (avg(n) - 1) / avg(n) + var_samp(m) AS pool, {', '.join(f'avg(s{k} / n) AS c{k}' for k in ks)} FROM per GROUP BY parameter),
 paired AS (SELECT parameter, chains, draws, [{pairs}] AS pairs FROM folded),
-cut AS (SELECT *, coalesce(list_min(list_filter(list_transform(range(0, len(pairs)), lambda i: CASE WHEN pairs[i + 1] <= 0 THEN i END), lambda i: i IS NOT NULL)), len(pairs)) AS bad FROM paired),
-ess AS (SELECT parameter, chains, draws, draws / greatest(2 * list_sum(pairs[1:greatest(bad, 1)]) - 1, CAST(1e-9 AS DOUBLE)) AS ess FROM cut)"""
+cut AS (SELECT *, list_min(list_filter(list_transform(range(0, len(pairs)), lambda i: CASE WHEN pairs[i + 1] <= 0 THEN i END), lambda i: i IS NOT NULL)) AS bad FROM paired),
+ess AS (SELECT parameter, chains, draws, CASE WHEN bad IS NOT NULL THEN draws / greatest(2 * list_sum(pairs[1:greatest(bad, 1)]) - 1, CAST(1e-9 AS DOUBLE)) END AS ess FROM cut)"""
 
 
 _CHAINS = _ess_sql("event_type", "user_id % 4", "events")

@@ -324,6 +324,29 @@ def test_texts_without_blanks(spark, chunk, overlap):
     assert got == {i: ranks.encode_ordinary(t) for i, t in enumerate(UNSPACED)}
 
 
+def blank_lines(seed, n, size):
+    """Random texts whose runs of white space fall on every side of a seam."""
+    rng = random.Random(seed)
+    bits = ["word", "A", " ", " ", ".", "\n\n", "\n", " \n\n ", "  ", "\t\t", "\u00a0 ", "\x85\n", "don't", "12", "é", "日本", "'", "\x1c\x1d", "\u3000\u3000"]
+    return ["".join(rng.choice(bits) for _ in range(size)) for _ in range(n)]
+
+
+PROSE = [f"{'a' * (32_766 + d)}.\n\nNext one" + " and on" * 200 for d in range(-4, 3)] + ["x" * 2500 + "y" * 31_000 + ". And so" + " on" * 9_000 + ".\n\nThen " + "w" * 900]
+PROSE += ["".join(random.Random(i).choice(["One more sentence here. ", "It ends so.\n\n", "Short.\n\n\n"]) for _ in range(9_000)) for i in range(4)]
+
+
+@pytest.mark.parametrize(("chunk", "overlap", "texts"), [(64, 16, blank_lines(1, 400, 90)), (64, 32, blank_lines(2, 400, 90)), (1 << 15, 512, PROSE)], ids=["short", "wide", "long"])
+def test_splices_behind_blank_lines(spark, chunk, overlap, texts):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model, ranks = Tokenizer.from_file(JSON), bpe.ranks_of(RANKS, P.PATTERN).core
+    counts = {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(df, tokenizer_path=JSON, chunk_chars=chunk, overlap_chars=overlap).collect()}
+    assert counts == {i: len(model.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_decode(df, ranks_path=RANKS, pattern=P.PATTERN, chunk_chars=chunk, overlap_chars=overlap, with_ids=True).collect()}
+    assert got == {i: ranks.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_every_scan_begins_a_pre_token_at_a_seam():
     pattern = bpe.ranks_of(RANKS, P.PATTERN).pattern
     rng = random.Random(3)

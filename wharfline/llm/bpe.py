@@ -4,8 +4,11 @@ Texts of up to ``chunk_chars`` are encoded where they are read.  Longer ones are
 Spark deals out; neighbours are spliced at a position where both begin a pre-token and neither could have been
 misled by its own ends.  A left-to-right scan depends only on what follows the place it stands at.  So a chunk's scan is
 that of the whole text from its first seam on (a place where every scan begins a pre-token, see SEAM), and two chunks
-that begin a pre-token at one place, the left one past a seam, agree from there on.  Where two chunks do not align, the
-overlap is widened to all of both: they are joined and encoded as one, once.
+that begin a pre-token at one place, the left one past a seam, agree from there on.  That makes the piece behind a splice
+right.  The piece before it is right too, since no splice stands behind white space: all pre-tokens before the place lie
+within the piece, none can be longer for want of what follows, and the one pattern that looks ahead, white space not before
+something else, looks from the end of a run of white space, which then ends inside the piece.  Where two chunks do not
+align, the overlap is widened to all of both: they are joined and encoded as one, once.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ MARGIN = 4
 #: Two characters between which every pre-token pattern of this family ends one: white space after something else, or a
 #: change of kind among letters, digits and other characters (but not into letters from others: a contraction crosses that).
 SEAM = regex.compile(r"\S\s|\p{L}[^\s\p{L}]|\p{N}[^\s\p{N}]|[^\s\p{L}\p{N}]\p{N}")
+#: Characters that some Unicode version counts as white space and the running one may not.
+ONCE_BLANK = "\u180e\u200b\u2060\ufeff"
 #: Places of an overlap that a word of its bitmap holds (half of a long, so that no sign is in the way).
 WORD = 32
 
@@ -193,14 +198,14 @@ def stable_starts(length: int, ends: Iterator[tuple[int, int]], whole: bool, mar
 def edges_of(text: str, starts: list[int], *, chunk_chars: int, overlap_chars: int, reach: int = 0) -> tuple[list[int], list[int], bool]:
     """Bitmaps of the starts in the overlaps with the chunk before (head) and after (tail), and whether a seam lies before the tail.
 
-    The first ``reach`` characters may belong to a special string that began before.
+    The tail leaves out starts behind white space: a text that ends there is split otherwise than one that goes on.  The first ``reach`` characters may belong to a special string that began before.
     """
     words = -(-overlap_chars // WORD)
     head, tail = [0] * words, [0] * words
     for s in starts:
         if s < overlap_chars:
             head[s // WORD] |= 1 << s % WORD
-        if chunk_chars <= s < chunk_chars + overlap_chars:
+        if chunk_chars <= s < chunk_chars + overlap_chars and s and not (text[s - 1].isspace() or text[s - 1] in ONCE_BLANK):
             tail[(s - chunk_chars) // WORD] |= 1 << (s - chunk_chars) % WORD
     known = set(starts)
     synced = any(m.start() + 1 in known for m in SEAM.finditer(text, reach, chunk_chars, overlapped=True))

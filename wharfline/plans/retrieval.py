@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.functions import arrays, stats, text
+from wharfline.functions import arrays, stats, stemming, text
+from wharfline.operators import lexical as X
 from wharfline.operators import retrieval as R
 from wharfline.operators.blocks import partner_counts
 from wharfline.session import table
-from wharfline.shared import checked_broadcast
+from wharfline.shared import checked_broadcast, materialize
 
 from .registry import Registry
 
@@ -168,3 +169,63 @@ def near_vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """
     out = partner_counts(table(spark, sf, "embeddings"), key="label", id_col="vec_id", vector="embedding", floor=0.3)
     return out.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("left_members"))
+
+
+# ---------------------------------------------------------------- stemmed search over weighted fields
+
+#: What stands before the first full stop or line break of a passage is its heading.
+_HEADING = r"^[^.\n]*"
+#: Lexemes of its heading that a passage is searched by.
+_ASKED_LEXEMES = 2
+
+
+def weighted_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks of four fields: heading (A), part numbers (B), section (C), body (D)."""
+    body = F.coalesce("text", F.lit(""))
+    heading = F.regexp_extract(body, _HEADING, 0)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), heading.alias("heading"), F.array_join(text.part_numbers(body), " ").alias("numbers"), F.col("source").alias("section"), F.substring(body, F.length(heading) + 1, F.length(body)).alias("body"))
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages that hold the first two lexemes of the heading of every hundredth one."""
+    chunks = weighted_chunks(spark, sf)
+    queries = chunks.where(F.col("chunk_id") % DENSE_STEP == 0).select(F.col("chunk_id").alias("query_id"), F.slice(X.lexemes(X.tokens(F.col("heading"))), 1, _ASKED_LEXEMES).alias("terms"))
+    asked = materialize(X.asked_stems(queries), "asked")
+    found = materialize(X.postings(chunks, {"A": "heading", "B": "numbers", "C": "section", "D": "body"}, asked.select("stem")), "postings")
+    return X.matches(found, asked)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in stemming.STOP_WORDS)
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_LAST = f"coalesce(list_max(list_transform({{0}}, lambda t, i: CASE WHEN t NOT IN ({_STOPS}) THEN i END)), 0)"
+_STEMMED = f"""
+chunk AS (SELECT doc_id AS chunk_id, regexp_extract(coalesce(text, ''), '^[^.\n]*', 0) AS heading, array_to_string(list_distinct(regexp_extract_all(coalesce(text, ''), '{text.PART_NUMBER}')), ' ') AS numbers, coalesce(source, '') AS section, coalesce(text, '') AS whole FROM documents),
+field AS (SELECT chunk_id, {_TOKENS.format('heading')} AS a, {_TOKENS.format('numbers')} AS b, {_TOKENS.format('section')} AS c, {_TOKENS.format('substr(whole, length(heading) + 1)')} AS d FROM chunk),
+start AS (SELECT *, {_LAST.format('a')} AS la, {_LAST.format('b')} AS lb, {_LAST.format('c')} AS lc FROM field),
+spot AS (SELECT chunk_id, unnest(a) AS term, unnest(range(1, len(a) + 1)) AS place, 'A' AS label FROM start UNION ALL SELECT chunk_id, unnest(b), unnest(range(1, len(b) + 1)) + la, 'B' FROM start
+  UNION ALL SELECT chunk_id, unnest(c), unnest(range(1, len(c) + 1)) + la + lb, 'C' FROM start UNION ALL SELECT chunk_id, unnest(d), unnest(range(1, len(d) + 1)) + la + lb + lc, 'D' FROM start),
+vocabulary AS (SELECT DISTINCT term FROM spot),
+stemmed AS MATERIALIZED ({stemming.stems_sql('vocabulary')}),
+asking AS (SELECT DISTINCT chunk_id AS query_id, stem FROM (SELECT chunk_id, unnest(list_filter(a, lambda t: t NOT IN ({_STOPS}))[1:{_ASKED_LEXEMES}]) AS term FROM field WHERE chunk_id % {DENSE_STEP} = 0) JOIN stemmed USING (term)),
+hit AS (SELECT chunk_id, stem, least(place, {X.LAST_PLACE}) AS place, min(label) AS label FROM spot JOIN stemmed USING (term) WHERE stem IN (SELECT stem FROM asking) GROUP BY ALL),
+posting AS (SELECT * FROM (SELECT chunk_id, stem, place, row_number() OVER (PARTITION BY chunk_id, stem ORDER BY place) AS k, CASE label {' '.join(f"WHEN '{v}' THEN CAST({w} AS DOUBLE)" for v, w in X.WEIGHTS.items())} END AS weight FROM hit) WHERE k <= {X.MOST_PLACES}),
+wanted AS (SELECT query_id, count(*) AS wanted FROM asking GROUP BY query_id),
+met AS (SELECT query_id, chunk_id, wanted FROM asking JOIN (SELECT DISTINCT chunk_id, stem FROM posting) USING (stem) JOIN wanted USING (query_id) GROUP BY ALL HAVING count(*) = wanted)"""
+_BEST = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= {}"
+
+
+@registry.query(f"""WITH {_STEMMED}, counted AS (SELECT chunk_id, stem, count(*) AS n FROM posting GROUP BY ALL),
+scored AS (SELECT query_id, chunk_id, round(sum(n / (n + 1)), 9) AS score FROM met JOIN asking USING (query_id) JOIN counted USING (chunk_id, stem) GROUP BY ALL) {_BEST.format(X.DEPTH)}""")
+def stemmed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """All passages that hold the stems of a query's words, stop words aside."""
+    return X.stemmed_topk(_matches(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@registry.query(f"""WITH {_STEMMED}, own AS (SELECT query_id, chunk_id, wanted, stem, place, k, weight FROM met JOIN asking USING (query_id) JOIN posting USING (chunk_id, stem)),
+one AS (SELECT query_id, chunk_id, (max(weight) + sum(weight / (k * k)) - max(weight) / pow(min(k) FILTER (WHERE weight = top), 2)) / {X.SQUARES} AS score FROM (SELECT *, max(weight) OVER (PARTITION BY query_id, chunk_id) AS top FROM own WHERE wanted = 1) GROUP BY ALL),
+pair AS (SELECT a.query_id, a.chunk_id, abs(a.place - b.place) AS apart, a.weight * b.weight AS w FROM own a JOIN own b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND a.stem < b.stem AND a.place <> b.place),
+several AS (SELECT query_id, chunk_id, 1 - exp(sum(ln(1 - sqrt(w * CASE WHEN apart > {X.FAR} THEN CAST({X.AT_FAR} AS DOUBLE) ELSE 1 / ({X.NEAR} + {X.SLOPE} * exp(apart / {X.SCALE} - {X.SHIFT})) END)))) AS score FROM pair GROUP BY ALL),
+scored AS (SELECT query_id, chunk_id, round(score, 9) AS score FROM one UNION ALL SELECT query_id, chunk_id, round(coalesce(score, 0), 9) FROM (SELECT query_id, chunk_id FROM met WHERE wanted > 1) LEFT JOIN several USING (query_id, chunk_id)) {_BEST.format(X.DEPTH)}""")
+def weighted_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same passages by the weights of the fields that hold the words and the distances between them."""
+    return X.weighted_rank_topk(_matches(spark, sf)).withColumn("score", F.round("score", 6))

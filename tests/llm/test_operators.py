@@ -256,6 +256,33 @@ def test_an_item_that_half_of_all_documents_hold(spark):
     assert got == {(i, j) for i in range(1, 900, 2) for j in range(3)}
 
 
+@pytest.mark.parametrize("row_items", [256, 20])
+def test_items_with_a_common_opening(spark, monkeypatch, row_items):
+    """Thousands of items that begin alike: documents that hold the opening alone are no candidates of all of them."""
+    monkeypatch.setattr(decontam, "ROW_ITEMS", row_items)
+    rng = random.Random(21)
+    opening = "choose the right answer to the question that follows and give your reason for it"
+    items = [(i, f"{opening} {X.prose(rng, rng.choice((1, 3, 12, 30)), 10**6)}") for i in range(2000)] + [(5000 + i, opening) for i in range(300)] + [(9000 + i, f"{opening} so") for i in range(100)]
+    docs = [(i, f"{X.prose(rng, 30)} {opening} {X.prose(rng, 30)}") for i in range(60)] + [(100 + i, f"{X.prose(rng, 9)} {X.edited(rng, items[17 * i][1], 0.03)} {X.prose(rng, 9)}") for i in range(100)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    held = {i: X.shingles(t, 5) for i, t in docs}
+    want = {(i, j, len(g), len(g & h)) for j, t in items for g in [X.shingles(t, 5)] for i, h in held.items() if 100 * len(g & h) >= 80 * len(g)}
+    got = [(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in decontam.contaminated(d, b).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 20_000
+
+
+def test_hot_shingles_come_last():
+    own = np.sort(np.random.default_rng(1).integers(1, 2**62, 40).astype(np.uint64))
+    hot = own[5:25]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([40]), pa.array([6], pa.int32()), pa.array([5], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([hot.view(np.int64).tolist()])], ["item", "n", "part", "width", "elements", "hot"])
+    (out,) = decontam._sketched(0.8)(iter([batch]))
+    sketch = set(np.array(out.column(5).to_pylist()[0], dtype=np.int64).view(np.uint64).tolist())
+    assert len(sketch) == decontam.sketch_size(40, 0.8, 20) and not sketch & set(hot.tolist())
+    # 8 of 40 may be absent: of 20 usual ones k miss with this chance, and with 8 usual ones a ninth is needed
+    chance = math.prod(max(8 - i, 0) / (20 - i) for i in range(len(sketch)))
+    assert chance <= decontam.MISS and decontam.sketch_size(40, 0.8, 8) == 9 and decontam.sketch_size(40, 0.8, 0) == 9
+
+
 def test_contamination_of_and_by_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ PART_BYTES = 32 << 20
 #: Entries that a task sums up before it hands them on.
 HELD = 400_000
 #: Sources of a block, and terms that a task takes of a block pair.
-SOURCES, SLICE_TERMS = 512, 4_096
+SOURCES, SLICE_TERMS = 512, 1_024
 BILLION, SMOOTH = 1_000_000_000, 5
 
 #: Delimiters become a space, A-Z become a-z, every other byte (all of those of non-ASCII characters) stays.
@@ -48,15 +49,16 @@ def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Da
     return docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
 
 
-def _counted(rows: DataFrame, keys: list[str], count, value: str) -> DataFrame:
-    """Sums of what ``count(tuple of keys, text, sums)`` adds up in each task: (keys, term, value)."""
-    fields = pa.schema([(k, pa.string()) for k in (*keys, "term")] + [(value, pa.int64())])
+def _counted(rows: DataFrame, keys: list[str], count, term: str, value: str) -> DataFrame:
+    """Sums of what ``count(tuple of keys, text, sums)`` adds up in each task, by keys and the column ``term`` (name and type)."""
+    name, kind = term.split()
+    fields = pa.schema([(k, pa.string()) for k in keys] + [("terms", pa.list_(pa.string() if kind == "string" else pa.int64())), ("sums", pa.list_(pa.int64()))])
 
-    def table(sums: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-        for key, terms in sums.items():
-            words = [w.decode("utf-8") for w in terms]
-            columns = [pa.array([k] * len(words), pa.string()) for k in key] + [pa.array(words, pa.string()), pa.array(list(terms.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=fields)
+    def table(sums: dict[tuple, Counter]) -> pa.RecordBatch:
+        filled = {k: c for k, c in sums.items() if c}
+        named = ([[t.decode("utf-8") for t in c] for c in filled.values()] if kind == "string" else [list(c) for c in filled.values()])
+        columns = [*(list(k) for k in zip(*filled, strict=True)), named, [list(c.values()) for c in filled.values()]] if filled else [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, Counter] = defaultdict(Counter)
@@ -64,22 +66,23 @@ def _counted(rows: DataFrame, keys: list[str], count, value: str) -> DataFrame:
             for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 count(tuple(key), text, sums[tuple(key)])
             if sum(map(len, sums.values())) > HELD:
-                yield from table(sums)
+                yield table(sums)
                 sums.clear()
-        yield from table(sums)
+        yield table(sums)
 
-    parts = rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} string" for k in (*keys, "term")) + f", {value} long")
-    return parts.groupBy(*keys, "term").agg(F.sum(value).alias(value))
+    parts = rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} string" for k in keys) + f", terms array<{kind}>, sums array<long>")
+    entries = parts.select(*keys, F.explode(F.arrays_zip("terms", "sums")).alias("x")).select(*keys, F.col("x.terms").alias(name), F.col("x.sums").alias(value))
+    return entries.groupBy(*keys, name).agg(F.sum(value).alias(value))
 
 
 def document_frequencies(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, term, documents): exact numbers of rows of ``docs`` whose text holds the term, by language."""
     ship_code(docs.sparkSession)
-    return _counted(_named(docs, lang_col, lang_col, text_col), ["lang"], lambda _, text, terms: terms.update(set(folded(text).split())), "documents")
+    return _counted(_named(docs, lang_col, lang_col, text_col), ["lang"], lambda _, text, terms: terms.update(set(folded(text).split())), "term string", "documents")
 
 
 def occurrences(docs: DataFrame, kept: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """(lang, source, term, count), count > 0, of the distinct (lang, term) in the written table ``kept``.
+    """(lang, source, id, count), count > 0, of the distinct (lang, term, id) in the written table ``kept``.
 
     The terms go to the tasks in parts of about ``part_bytes`` by a hash, and the texts are read once for each part.
     """
@@ -90,23 +93,24 @@ def occurrences(docs: DataFrame, kept: DataFrame, *, lang_col: str = "lang", sou
     out = None
     for part in range(parts):
         own = kept if parts == 1 else kept.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
-        by_lang: dict[str, list[str]] = defaultdict(list)
-        for batch in own.select("lang", "term").toArrow().to_batches():  # bounded by part_bytes
-            for lang, term in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_lang[lang].append(term)
+        by_lang: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for batch in own.select("lang", "term", "id").toArrow().to_batches():  # bounded by part_bytes
+            for lang, term, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_lang[lang].append((term, number))
         given, name = spark.sparkContext.broadcast(dict(by_lang)), uuid.uuid4().hex
 
         def count(key: tuple, text: str, sums: Counter, given=given, name=name) -> None:
             found = automaton_of(name, given, key[0])
             if found is not None:
                 padded = (b" " + folded(text) + b" ").decode("latin-1")
-                sums.update(term for _, term in found.iter(padded))
+                sums.update(map(_ID, found.iter(padded)))
 
-        counted = _counted(_named(docs, lang_col, source_col, text_col), ["lang", "source"], count, "count")
+        counted = _counted(_named(docs, lang_col, source_col, text_col), ["lang", "source"], count, "id long", "count")
         out = counted if out is None else out.unionByName(counted)
     return out
 
 
+_ID = itemgetter(1)
 _automata: dict[tuple[str, str], object] = {}
 
 
@@ -120,9 +124,8 @@ def automaton_of(name: str, given, lang: str):
             _automata.clear()
         terms = given.value.get(lang)
         found = ahocorasick.Automaton() if terms else None
-        for term in terms or ():
-            raw = term.encode("utf-8")
-            found.add_word(f" {raw.decode('latin-1')} ", raw)
+        for term, number in terms or ():
+            found.add_word(f" {term.encode('utf-8').decode('latin-1')} ", number)
         if found is not None:
             found.make_automaton()
         _automata[key] = found
@@ -149,7 +152,7 @@ def divergence(docs: DataFrame, *, least_documents: int = 30, most_terms: int =
     """
     named = _named(docs, lang_col, source_col, text_col)
     frequent = document_frequencies(docs, lang_col=lang_col, text_col=text_col).where(F.col("documents") >= least_documents)
-    kept = materialize(frequent.select("lang", "term"), "divergence-kept")
+    kept = materialize(frequent.select("lang", "term", F.monotonically_increasing_id().alias("id")), "divergence-kept")
     postings = materialize(occurrences(docs, kept, lang_col=lang_col, source_col=source_col, text_col=text_col, part_bytes=part_bytes), "divergence-postings")
     terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("own"))
@@ -158,25 +161,25 @@ def divergence(docs: DataFrame, *, least_documents: int = 30, most_terms: int =
     groups = groups.select("lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("own", zero).alias("own"), F.coalesce("v", zero).alias("v"))
     groups = materialize(groups.withColumn("absent", F.when(F.col("v") > 0, share(zero, F.col("total"), F.col("v"))).otherwise(zero)), "divergence-groups")
     few = checked_broadcast(groups.select("lang", "source", "total", "v", "absent"))
-    shares = materialize(postings.join(few, ["lang", "source"]).select("lang", "source", "term", "count", "v", "absent", share(F.col("count"), F.col("total"), F.col("v")).alias("p")), "divergence-shares")
+    shares = materialize(postings.join(few, ["lang", "source"]).select("lang", "source", "id", "absent", share(F.col("count"), F.col("total"), F.col("v")).alias("p")), "divergence-shares")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     lang_total = checked_broadcast(groups.groupBy("lang").agg(F.sum("total").alias("total")))
-    whole = postings.groupBy("lang", "term").agg(F.sum("count").alias("count")).join(lang_total, "lang").join(checked_broadcast(terms), "lang").select("lang", "term", share(F.col("count"), F.col("total"), F.col("v")).alias("q"))
-    above = shares.join(whole, ["lang", "term"]).where(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    whole = postings.groupBy("id").agg(F.sum("count").alias("count")).join(kept, "id").join(lang_total, "lang").join(checked_broadcast(terms), "lang").select("id", "term", share(F.col("count"), F.col("total"), F.col("v")).alias("q"))
+    above = shares.join(whole, "id").where(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     own_terms = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_terms)
 
-    apart = source_distances(groups, shares)
+    apart = source_distances(groups, shares, kept.count())
     both = apart.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), "value")
     pairs = both.select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value").withColumn("rank", F.row_number().over(order))
     return pairs.unionByName(own_terms).select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
-def source_distances(groups: DataFrame, shares: DataFrame) -> DataFrame:
+def source_distances(groups: DataFrame, shares: DataFrame, terms: int) -> DataFrame:
     """(lang, a, b, value) for each two sources a < b of a language.
 
     ``groups``: lang, source, own (terms it has), v (terms of the language), absent (share of a term it hasn't); a written
-    table.  ``shares``: lang, source, term, p, absent.
+    table.  ``shares``: lang, source, id (of a term), p, absent.  ``terms``: how many there are in all.
     """
     left = groups.select("lang", F.col("source").alias("a"), F.col("own").alias("own_a"), F.col("absent").alias("absent_a"), "v")
     right = groups.select("lang", F.col("source").alias("b"), F.col("own").alias("own_b"), F.col("absent").alias("absent_b"))
@@ -199,12 +202,12 @@ def source_distances(groups: DataFrame, shares: DataFrame) -> DataFrame:
     sides = line.where("a IS NOT NULL").select("lang", "a", "b", ((F.col("all") - F.col("below")) - z * (F.col("n_all") - F.col("n_below")) + z * F.col("n_below") - F.col("below")).alias("value"))
 
     blocks = max(1, -(-groups.groupBy("lang").agg(F.count("*").alias("s")).agg(F.max("s")).first()[0] // SOURCES)) if not groups.isEmpty() else 1
-    slices = max(1, -(-shares.select("lang", "term").distinct().count() // SLICE_TERMS))
+    slices = max(1, -(-terms // SLICE_TERMS))
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
     # a posting meets those of every other block of sources
     meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(block, o).alias("x"), F.greatest(block, o).alias("y")))
-    dealt = shares.withColumn("meet", F.explode(F.array_distinct(meets))).select("lang", "meet.x", "meet.y", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"), "term", "source", block.alias("block"), "p", "absent")
-    dealt = dealt.repartition("lang", "x", "y", "slice").sortWithinPartitions("lang", "x", "y", "slice", "term")
+    dealt = shares.withColumn("meet", F.explode(F.array_distinct(meets))).select("lang", "meet.x", "meet.y", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), "id", "source", block.alias("block"), "p", "absent")
+    dealt = dealt.repartition("lang", "x", "y", "slice").sortWithinPartitions("lang", "x", "y", "slice", "id")
     common = dealt.mapInArrow(_corrections, "lang string, a string, b string, value long")
     return rest.unionByName(sides).unionByName(common).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 

@@ -46,14 +46,25 @@ def greedy(pairs):
     return {r: min(c) for r, c in home.items()}
 
 
-def test_clusters_as_taking_the_pairs_in_turn(spark):
+@pytest.mark.parametrize("component_pairs", [50_000, 8, 0])
+def test_clusters_as_taking_the_pairs_in_turn(spark, component_pairs):
     rng = random.Random(4)
     for n, share in ((14, 0.7), (25, 0.4)):
         pairs = [(a, b, round(rng.random(), 1)) for a in range(n) for b in range(a + 1, n) if rng.random() < share]
-        got = identity.clusters(spark.createDataFrame(pairs, "a long, b long, score double"))
+        got = identity.clusters(spark.createDataFrame(pairs, "a long, b long, score double"), component_pairs=component_pairs)
         assert {r["record_id"]: r["cluster_id"] for r in got.collect()} == greedy(pairs)
 
 
+def test_a_long_chain_of_merges_takes_few_rounds(spark, monkeypatch):
+    """Each pair of the chain is a little worse than the one before, so that one waits for the other."""
+    pairs = [(i, i + 1, 1.0 - i / 10_000) for i in range(1_000)] + [(5_000 + i, 5_000 + j, 0.9 - (i + j) / 1_000) for i in range(12) for j in range(i + 1, 12) if (i, j) != (3, 7)]
+    rounds, real = [], identity.materialize
+    monkeypatch.setattr(identity, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    got = identity.clusters(spark.createDataFrame(pairs, "a long, b long, score double"))
+    assert {r["record_id"]: r["cluster_id"] for r in got.collect()} == greedy(pairs)
+    assert rounds.count("joined") < 20
+
+
 def test_override_requests_are_refused_as_a_whole(spark):
     from datetime import date, timedelta
 

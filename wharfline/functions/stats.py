@@ -77,6 +77,47 @@ def elapsed_ms(seconds: Column) -> Column:
     return F.when(seconds <= 0, F.lit(0)).otherwise(F.bround(seconds * 1000, 0)).cast("long")
 
 
+#: Half the logarithm of 2 pi; where the upper tail changes from a series to a continued fraction, and the terms of both.
+HALF_LOG_2PI, TAIL_FROM, TAIL_TERMS = 0.9189385332046727, 2.5, 60
+
+
+def log_upper_tail(z: Column) -> Column:
+    """Logarithm of the chance that a standard normal exceeds z; no z of a double makes it underflow.
+
+    From TAIL_FROM on the continued fraction of Laplace, below it the series of the distribution function, and for
+    negative z the complement: sums of a fixed number of terms, so it stays in generated code or built-in functions.
+    """
+    a = F.abs(z)
+    down = F.array(*(F.lit(float(k)) for k in range(TAIL_TERMS, 0, -1)))
+    far = -a * a / 2 - HALF_LOG_2PI - F.log(F.aggregate(down, a, lambda t, k: a + k / t))
+    odd = F.array(*(F.lit(float(2 * k + 1)) for k in range(TAIL_TERMS, 0, -1)))
+    series = a * F.aggregate(odd, F.lit(1.0), lambda t, k: 1.0 + a * a / k * t)
+    log_q = F.when(a >= TAIL_FROM, far).otherwise(F.log(0.5 - F.exp(-a * a / 2 - HALF_LOG_2PI) * series))
+    return F.when(z >= 0, log_q).otherwise(F.log1p(-F.exp(log_q)))
+
+
+def log_upper_tail_sql(z: str) -> str:
+    """The same in DuckDB SQL."""
+    a = f"abs({z})"
+    down = "[" + ", ".join(str(float(k)) for k in range(TAIL_TERMS, 0, -1)) + "]"
+    odd = "[" + ", ".join(str(float(2 * k + 1)) for k in range(TAIL_TERMS, 0, -1)) + "]"
+    far = f"(-{a} * {a} / 2 - {HALF_LOG_2PI} - ln(list_reduce(list_prepend({a}, CAST({down} AS DOUBLE[])), lambda t, k: {a} + k / t)))"
+    near = f"ln(0.5 - exp(-{a} * {a} / 2 - {HALF_LOG_2PI}) * {a} * list_reduce(list_prepend(CAST(1 AS DOUBLE), CAST({odd} AS DOUBLE[])), lambda t, k: 1 + {a} * {a} / k * t))"
+    log_q = f"CASE WHEN {a} >= {TAIL_FROM} THEN {far} ELSE {near} END"
+    return f"CASE WHEN {z} >= 0 THEN {log_q} ELSE ln(1 - exp({log_q})) END"
+
+
+def log_sum(a: Column, b: Column) -> Column:
+    """Logarithm of the sum of two numbers given by their logarithms; minus infinity for none."""
+    high, low = F.greatest(a, b), F.least(a, b)
+    return F.when(high == F.lit(float("-inf")), high).otherwise(high + F.log1p(F.exp(low - high)))
+
+
+def softplus(x: Column) -> Column:
+    """log(1 + e^x) over the whole range."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def fenton_wilkinson(means: Column, variances: Column) -> tuple[Column, Column]:
     """Log-mean and log-sigma of one lognormal with the mean and variance of a sum of lognormals (arrays of mu and sigma^2)."""
     total = F.aggregate(F.zip_with(means, variances, lambda m, v: F.exp(m + v / 2)), F.lit(0.0), lambda a, x: a + x)

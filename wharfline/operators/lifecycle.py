@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharfline.functions import stats
+from wharfline.shared import checked_broadcast
+
 # The states of a line and the edges it may take.
 STATES = ("submitted", "under_review", "approved", "revise_and_resubmit", "released_for_fabrication", "shipped", "delivered")
 EDGES = [
@@ -87,3 +90,42 @@ def design_rows(lines: DataFrame, *, key: str, blocks: dict[str, DataFrame]) ->
         part = part.select(key, (F.col("ordinal") + at).alias("column"), F.lit(1.0).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: The two ways out of the branch state, forward and back; every other state has one.
+WAYS = {a: [b for x, b in EDGES if x == a] for a, _ in EDGES}
+FORWARD = {a: ways[0] for a, ways in WAYS.items()}
+
+
+def log_contributions(frame: DataFrame, sojourns: DataFrame, branching: DataFrame, *, key: str) -> DataFrame:
+    """(key, seq, state, days, is_open, draw, log_c): what each leg of a sojourn frame adds to the log-likelihood under each draw.
+
+    ``sojourns`` (draw, state, next_state, mu, sigma): logs of the days of a leg; ``branching`` (draw, intercept, beta):
+    the log-odds of rework at the branch state by rework loops before.  A completed leg adds the density of its days.
+    An open leg adds the chance that it lasts longer; at the branch state, where it has not chosen its way, the
+    mixture of both ways, summed in logarithms.  A leg of no days is certain to last longer, and as a completed one
+    has no density (null).  A draw that lacks a parameter of a leg has no row for it.
+    """
+    way = lambda state, last: F.coalesce(*(F.when(state == a, w[-1] if last else w[0]) for a, w in WAYS.items()))
+    state, days = F.col("state"), F.col("days")
+    legs = frame.select(key, "seq", "state", "days", "is_open", "cycle", F.when(F.col("is_open"), way(state, False)).otherwise(F.col("next_state")).alias("way"), F.when(F.col("is_open"), way(state, True)).alias("other_way"))
+    side = lambda name, out: checked_broadcast(sojourns.select("draw", "state", F.col("next_state").alias(name), F.col("mu").alias(f"mu_{out}"), F.col("sigma").alias(f"sigma_{out}")))
+    drawn = legs.join(side("way", "a"), ["state", "way"])
+    drawn = drawn.join(side("other_way", "b"), ["draw", "state", "other_way"], "left").join(checked_broadcast(branching), "draw")
+    log_t = F.log(F.when(days > 0, days.cast("double")))
+    z = lambda out: (log_t - F.col(f"mu_{out}")) / F.col(f"sigma_{out}")
+    lasts = lambda out: F.when(days > 0, stats.log_upper_tail(z(out))).otherwise(0.0)
+    odds = F.col("intercept") + F.col("beta") * F.col("cycle")
+    mixed = stats.log_sum(-stats.softplus(odds) + lasts("a"), -stats.softplus(-odds) + lasts("b"))
+    density = -log_t - F.log("sigma_a") - stats.HALF_LOG_2PI - z("a") * z("a") / 2
+    known = (state != BRANCH) | ~F.col("is_open") | F.col("mu_b").isNotNull()
+    value = F.when(~F.col("is_open"), density).when(state == BRANCH, mixed).otherwise(lasts("a"))
+    return drawn.where(known).select(key, "seq", "state", "days", "is_open", "draw", value.alias("log_c"))
+
+
+def predictive(contributions: DataFrame, *, key: str) -> DataFrame:
+    """(key, seq, draws, mean, log_mean) of each leg: the mean of log_c over the draws, and the logarithm of the mean chance."""
+    top = contributions.groupBy(key, "seq").agg(F.count("log_c").alias("draws"), F.avg("log_c").alias("mean"), F.max("log_c").alias("top"), F.sort_array(F.collect_list("log_c")).alias("all"))
+    shifted = F.aggregate(F.transform("all", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
+    log_mean = F.when(F.col("top") == F.lit(float("-inf")), F.col("top")).otherwise(F.col("top") + F.log(shifted / F.col("draws")))
+    return top.select(key, "seq", "draws", "mean", log_mean.alias("log_mean"))

@@ -199,3 +199,42 @@ def binomial_bounds(spark: SparkSession, sf: str) -> DataFrame:
     c = lines(spark, sf).where("is_closed").groupBy("vendor").agg(F.count("*").alias("n"), F.sum((F.col("duration") <= 60).cast("long")).alias("k"))
     bound = stats.precision_floor(F.col("k"), F.col("n"))
     return c.withColumn("b", bound).select("vendor", "n", "k", F.when(F.col("k") == F.col("n"), F.round("b", 6)).when(F.col("k") > 0, F.round(stats.binomial_upper("k", "n", "b"), 6)).alias("shown"))
+
+
+#: Draws of the sojourn model: each is estimated on the completed legs of one part of the orders.
+PARTS = 4
+_Z = "((ln(days) - {mu}) / {sigma})"
+_SP = "(greatest({0}, 0) + ln(1 + exp(-abs({0}))))"
+_ODDS = "(intercept + beta * cycle)"
+_LASTS_A, _LASTS_B = (f"CASE WHEN days > 0 THEN {stats.log_upper_tail_sql(_Z.format(mu=f'mu_{o}', sigma=f'sigma_{o}'))} ELSE 0 END" for o in "ab")
+_WAY = " ".join(f"WHEN '{a}' THEN '{w[0]}'" for a, w in Y.WAYS.items())
+_DRAWS = f"""{_FRAME},
+closed AS (SELECT *, po % {PARTS} AS draw FROM frame WHERE NOT is_open),
+sojourn AS (SELECT draw, state, next_state, avg(ln(days)) AS mu, greatest(coalesce(stddev_pop(ln(days)), 0), 0.05) AS sigma FROM closed WHERE days > 0 GROUP BY ALL),
+odds AS (SELECT draw, cycle > 0 AS again, ln((count(*) FILTER (WHERE took_rework) + 0.5) / (count(*) FILTER (WHERE NOT took_rework) + 0.5)) AS odds FROM closed WHERE at_branch GROUP BY ALL),
+branching AS (SELECT draw, coalesce(max(odds) FILTER (WHERE NOT again), 0) AS intercept, coalesce(max(odds) FILTER (WHERE again) - max(odds) FILTER (WHERE NOT again), 0) AS beta FROM odds GROUP BY draw),
+asked AS (SELECT po, seq, state, days, cycle, at_branch, CASE state {_WAY} END AS way FROM frame WHERE is_open),
+drawn AS (SELECT k.*, b.draw, intercept, beta, a.mu AS mu_a, a.sigma AS sigma_a, r.mu AS mu_b, r.sigma AS sigma_b FROM asked k JOIN sojourn a ON a.state = k.state AND a.next_state = way JOIN branching b ON b.draw = a.draw LEFT JOIN sojourn r ON k.at_branch AND r.draw = a.draw AND r.state = k.state AND r.next_state = '{Y.REWORK}' WHERE NOT k.at_branch OR r.mu IS NOT NULL),
+ways AS (SELECT *, {_LASTS_A} AS la, CASE WHEN at_branch THEN {_LASTS_B} END AS lb FROM drawn),
+mixed AS (SELECT *, -{_SP.format(_ODDS)} + la AS f, -{_SP.format('(-' + _ODDS + ')')} + lb AS r FROM ways),
+contribution AS (SELECT po, seq, CASE WHEN at_branch THEN greatest(f, r) + ln(1 + exp(least(f, r) - greatest(f, r))) ELSE la END AS log_c FROM mixed)"""
+
+
+def model_draws(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sojourn and branching parameters of a frame's completed legs, by part of the orders; see ``PARTS``."""
+    closed = own.where("NOT is_open").withColumn("draw", F.col("po") % PARTS)
+    log_days = F.log(F.col("days").cast("double"))
+    sojourns = closed.where("days > 0").groupBy("draw", "state", "next_state").agg(F.avg(log_days).alias("mu"), F.greatest(F.coalesce(F.stddev_pop(log_days), F.lit(0.0)), F.lit(0.05)).alias("sigma"))
+    taken = lambda v: F.sum((F.col("took_rework") == v).cast("long"))
+    odds = closed.where("at_branch").groupBy("draw", (F.col("cycle") > 0).alias("again")).agg(F.log((taken(True) + 0.5) / (taken(False) + 0.5)).alias("odds"))
+    first, later = F.max(F.when(~F.col("again"), F.col("odds"))), F.max(F.when(F.col("again"), F.col("odds")))
+    return sojourns, odds.groupBy("draw").agg(F.coalesce(first, F.lit(0.0)).alias("intercept"), F.coalesce(later - first, F.lit(0.0)).alias("beta"))
+
+
+@registry.query(f"WITH {_DRAWS} SELECT po, seq, count(*) AS draws, round(avg(log_c), 6) AS mean, round(ln(avg(exp(log_c))), 6) AS log_mean FROM contribution GROUP BY po, seq")
+def decision_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-chance that each open leg lasts as long as it has, over all draws; at the branch state the mixture of both ways out."""
+    own = frame(spark, sf)
+    sojourns, branching = model_draws(own)
+    out = Y.predictive(Y.log_contributions(own.where("is_open"), sojourns, branching, key="po"), key="po")
+    return out.select("po", "seq", "draws", *(F.round(c, 6).alias(c) for c in ("mean", "log_mean")))

@@ -52,19 +52,19 @@ def posteriors(spark: SparkSession, sf: str) -> DataFrame:
     """(vendor, draws): DRAWS equally likely durations of the vendor's closed lines, ascending.
 
     Durations are whole days, so a vendor is first folded to a count for each day; the ranks are read off the
-    running count of that short list, however many lines the vendor has.  Some vendors have no posterior.
+    running count of that short list, however many lines the vendor has.
     """
     days = lines(spark, sf).where("is_closed").groupBy("vendor", "duration").agg(F.count("*").alias("n"))
     own = Window.partitionBy("vendor")
     run = days.withColumn("upto", F.sum("n").over(own.orderBy("duration"))).withColumn("total", F.sum("n").over(own))
     upto = lambda c: F.floor(c * DRAWS / F.col("total"))
     times = (upto(F.col("upto")) - upto(F.col("upto") - F.col("n"))).cast("int")
-    held = run.where("vendor % 89 <> 7").select("vendor", F.struct("duration", F.array_repeat("duration", times).alias("d")).alias("s"))
+    held = run.select("vendor", F.struct("duration", F.array_repeat("duration", times).alias("d")).alias("s"))
     return held.groupBy("vendor").agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["d"])).alias("draws"))
 
 
 POSTERIORS = f"""{LINES},
-ranked AS (SELECT vendor, duration, row_number() OVER (PARTITION BY vendor ORDER BY duration) AS r, count(*) OVER (PARTITION BY vendor) AS n FROM line WHERE is_closed AND vendor % 89 <> 7),
+ranked AS (SELECT vendor, duration, row_number() OVER (PARTITION BY vendor ORDER BY duration) AS r, count(*) OVER (PARTITION BY vendor) AS n FROM line WHERE is_closed),
 posterior AS (SELECT vendor, list(duration ORDER BY i) AS draws FROM ranked JOIN range(1, {DRAWS + 1}) AS t(i) ON r = (i * n + {DRAWS - 1}) // {DRAWS} GROUP BY vendor)"""
 
 
@@ -77,3 +77,9 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 EVENTS = """
 log AS (SELECT user_id, event_id, ts, value, event_type AS to_state, lag(event_type) OVER w AS from_state, row_number() OVER w AS seq, CAST(ts AS DATE) AS day FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+def sealed_sql(source: str, group: str, text: str) -> str:
+    """Digests of groups by way of blocks of 1024 texts in order: (group, n, digest)."""
+    return f"""SELECT {group}, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT {group}, r // 1024 AS b, count(*) AS n, sha256(string_agg(t, chr(10) ORDER BY r)) AS d
+  FROM (SELECT {group}, {text} AS t, row_number() OVER (PARTITION BY {group} ORDER BY {text}) - 1 AS r FROM {source}) GROUP BY {group}, r // 1024) GROUP BY {group}"""

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from wharfline.functions import stats
 from wharfline.operators import forecast as C
 from wharfline.operators import ingestion as I
+from wharfline.operators.ordinals import sealed
 from wharfline.session import table
 
-from .frames import LINES, lines
+from .frames import LINES, lines, sealed_sql
 from .registry import Registry
 
 registry = Registry()
@@ -223,11 +224,14 @@ def reverification_status(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.when(again.isNull(), "UNREACHABLE").when(F.md5(again) == F.md5("html"), "MATCH").otherwise("DIVERGED").alias("status"))
 
 
-@registry.query("""SELECT s_nationkey AS nation, count(*) AS n, count(*) = (SELECT count(*) FROM supplier WHERE s_nationkey = n.s_nationkey) AND sha256(string_agg(s_name, chr(10) ORDER BY s_name)) = sha256(string_agg(CASE WHEN s_nationkey = 3 THEN upper(s_name) ELSE s_name END, chr(10) ORDER BY s_name)) AS bound FROM supplier n GROUP BY s_nationkey""")
+_RENAMED = "CASE WHEN s_nationkey = 3 THEN upper(s_name) ELSE s_name END"
+
+
+@registry.query(f"SELECT s_nationkey AS nation, a.n, a.n = b.n AND a.digest = b.digest AS bound FROM ({sealed_sql('supplier', 's_nationkey', 's_name')}) a JOIN ({sealed_sql('supplier', 's_nationkey', _RENAMED)}) b USING (s_nationkey)")
 def ground_truth_binding(spark: SparkSession, sf: str) -> DataFrame:
     """A truth record holds for the roster it was made from: as many members, and the digest of their names in order."""
-    s = table(spark, sf, "supplier")
-    seal = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    own = s.groupBy("s_nationkey").agg(F.count("*").alias("n"), seal("s_name").alias("now"))
-    truth = s.groupBy("s_nationkey").agg(F.count("*").alias("members"), seal(F.when(F.col("s_nationkey") == 3, F.upper("s_name")).otherwise(F.col("s_name"))).alias("sealed"))
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_name")
+    own = sealed(s, group="s_nationkey", text="s_name").select("s_nationkey", "n", F.col("digest").alias("now"))
+    renamed = s.withColumn("s_name", F.when(F.col("s_nationkey") == 3, F.upper("s_name")).otherwise(F.col("s_name")))
+    truth = sealed(renamed, group="s_nationkey", text="s_name").select("s_nationkey", F.col("n").alias("members"), F.col("digest").alias("sealed"))
     return own.join(truth, "s_nationkey").select(F.col("s_nationkey").alias("nation"), "n", ((F.col("n") == F.col("members")) & (F.col("now") == F.col("sealed"))).alias("bound"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from wharfline.functions import arrays, stats
 from wharfline.operators import identity as D
 from wharfline.operators import linedetail as V
+from wharfline.operators.ordinals import numbered, sealed
 from wharfline.session import table
+from wharfline.shared import checked_broadcast
 
-from .frames import AS_OF, LINES, POSTERIORS, lines, posteriors
+from .frames import AS_OF, LINES, POSTERIORS, lines, posteriors, sealed_sql
 from .ledger import _RECORDS, banded, records
 from .registry import Registry
 from .worklist import SCORED, scored
@@ -55,33 +57,30 @@ def linked_records(spark: SparkSession, sf: str) -> DataFrame:
     return V.linked_records(values, c.select("document_id", "generation").distinct(), active(spark, sf)).drop("generation")
 
 
-#: Ids as a caller ordered them: every hundredth chunk, by a stir of its number.
-_ASKED = "asked AS (SELECT list(chunk_id ORDER BY chunk_id * 7919 % 10007, chunk_id) AS ids FROM chunk WHERE chunk_id % 100 = 1)"
+#: Ids as a caller ordered them: the chunks of every hundredth document, by a stir of their numbers.
+_ASKED = "asked AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id * 7919 % 10007, chunk_id) AS position FROM chunk WHERE document_id % 100 = 0)"
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    few = chunks(spark, sf).where("chunk_id % 100 = 1")
-    order = F.struct((F.col("chunk_id") * 7919 % 10007).alias("k"), F.col("chunk_id").alias("id"))
-    return few.agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["id"]).alias("ids"))  # a caller's list
+    """(chunk_id, position) of a caller's list, as long as it may be."""
+    few = chunks(spark, sf).where("document_id % 100 = 0").select("chunk_id", (F.col("chunk_id") * 7919 % 10007).alias("k"))
+    return numbered(few, "k", "chunk_id").select("chunk_id", "position")
 
 
-@registry.query(f"WITH {_GEN}, {_ASKED}, o AS (SELECT unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS position FROM asked) SELECT position, chunk_id, document_id, page + 1 AS page, ordinal, generation FROM o JOIN chunk USING (chunk_id)")
+@registry.query(f"WITH {_GEN}, {_ASKED} SELECT position, chunk_id, document_id, page + 1 AS page, ordinal, generation FROM asked JOIN chunk USING (chunk_id)")
 def citable_projection(spark: SparkSession, sf: str) -> DataFrame:
     """The six columns that a result may cite, in the order the caller asked for."""
-    o = asked(spark, sf).select(F.posexplode("ids").alias("at", "chunk_id")).select((F.col("at") + 1).cast("long").alias("position"), "chunk_id")
-    return chunks(spark, sf).join(F.broadcast(o), "chunk_id").select("position", "chunk_id", "document_id", (F.col("page") + 1).alias("page"), "ordinal", "generation")
+    return chunks(spark, sf).join(checked_broadcast(asked(spark, sf)), "chunk_id").select("position", "chunk_id", "document_id", (F.col("page") + 1).alias("page"), "ordinal", "generation")
 
 
-@registry.query(f"""WITH {_GEN}, {_ASKED}, l AS (SELECT unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS l FROM asked), d AS (SELECT chunk_id, row_number() OVER (ORDER BY part, chunk_id) AS d FROM chunk WHERE chunk_id % 150 = 1)
-SELECT chunk_id, coalesce(l, 0) AS l, coalesce(d, 0) AS d, round(coalesce(CAST(1 AS DOUBLE) / (60 + l), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + d), 0), 12) AS score FROM l FULL JOIN d USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT 10""")
+@registry.query(f"""WITH {_GEN}, {_ASKED}, d AS (SELECT chunk_id, row_number() OVER (ORDER BY part, chunk_id) AS d FROM chunk WHERE document_id % 100 < 2)
+SELECT chunk_id, coalesce(position, 0) AS l, coalesce(d, 0) AS d, round(coalesce(CAST(1 AS DOUBLE) / (60 + position), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + d), 0), 12) AS score FROM asked FULL JOIN d USING (chunk_id)""")
 def fused_on_ordinals(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ordered lists fused by the places of their members; the ten best, as a response shows them."""
-    left = asked(spark, sf).select(F.posexplode("ids").alias("p", "chunk_id")).select("chunk_id", (F.col("p") + 1).cast("long").alias("l"))
-    few = chunks(spark, sf).where("chunk_id % 150 = 1").select(F.struct("part", "chunk_id").alias("s"))
-    right = few.agg(F.array_sort(F.collect_list("s")).alias("ids")).select(F.posexplode("ids").alias("p", "s")).select("s.chunk_id", (F.col("p") + 1).cast("long").alias("d"))
+    """Two ordered lists fused by the places of their members: every member of either."""
+    left = asked(spark, sf).select("chunk_id", F.col("position").alias("l"))
+    right = numbered(chunks(spark, sf).where("document_id % 100 < 2").select("part", "chunk_id"), "part", "chunk_id", name="d").select("chunk_id", "d")
     both = left.join(right, "chunk_id", "full")
-    out = both.select("chunk_id", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("d", F.lit(0)).alias("d"), F.round(stats.rrf_term(F.col("l")) + stats.rrf_term(F.col("d")), 12).alias("score"))
-    return out.orderBy(F.desc("score"), "chunk_id").limit(10)
+    return both.select("chunk_id", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("d", F.lit(0)).alias("d"), F.round(stats.rrf_term(F.col("l")) + stats.rrf_term(F.col("d")), 12).alias("score"))
 
 
 @registry.query("WITH e AS (SELECT DISTINCT label % 2 AS model, len(embedding) AS width FROM embeddings) SELECT count(*) AS pairs, count(*) = 1 AS unique_pair FROM (FROM e LIMIT 2)")
@@ -208,13 +207,13 @@ def key_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where("am = bm and ap = bp").select("a", "b", F.col("ap").alias("part"))
 
 
-@registry.query("""WITH s AS (SELECT stratum, sha256(string_agg(k, ',' ORDER BY k)) AS now FROM (SELECT p_size % 2 AS stratum, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS k FROM part WHERE p_partkey % 50 = 0) GROUP BY stratum)
-SELECT stratum, CASE WHEN stratum = 1 THEN 'diverged' ELSE 'frozen' END AS status, now FROM s""")
+@registry.query(f"""WITH own AS (SELECT p_size % 2 AS stratum, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS k FROM part)
+SELECT stratum, CASE WHEN stratum = 1 THEN 'diverged' ELSE 'frozen' END AS status, digest AS now FROM ({sealed_sql('own', 'stratum', 'k')})""")
 def frozen_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    """The labelled strata that thresholds were set on, by digest; one that has changed refuses the run (one is changed here)."""
-    labelled = table(spark, sf, "part").where("p_partkey % 50 = 0").select((F.col("p_size") % 2).alias("stratum"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("k"))
-    now = labelled.groupBy("stratum").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("now"))
-    held = now.select("stratum", F.when(F.col("stratum") == 1, F.sha2("now", 256)).otherwise(F.col("now")).alias("held"))
+    """The labelled strata that thresholds were set on, by digest; one that has changed refuses the run (one has lost a record here)."""
+    labelled = table(spark, sf, "part").select((F.col("p_size") % 2).alias("stratum"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("k"))
+    now = sealed(labelled, group="stratum", text="k").select("stratum", F.col("digest").alias("now"))
+    held = sealed(labelled.where("not (stratum = 1 and k like '%7')"), group="stratum", text="k").select("stratum", F.col("digest").alias("held"))
     return now.join(held, "stratum").select("stratum", F.when(F.col("now") == F.col("held"), "frozen").otherwise("diverged").alias("status"), "now")
 
 

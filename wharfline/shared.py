@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,9 +60,36 @@ def by_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(side, docs[id_col].eqNullSafe(side[ids.columns[0]]), how)
 
 
-def checked_broadcast(few: DataFrame) -> DataFrame:
-    """A side of a join that is meant to be small: given to the tasks if it has FEW_IDS rows at most, else left to a shuffle."""
-    return F.broadcast(few) if few.limit(FEW_IDS + 1).count() <= FEW_IDS else few
+#: Bytes of a side that a task may be given whole.
+FEW_BYTES = 32 << 20
+
+
+def width_of(schema: T.StructType) -> Column:
+    """About the bytes that a row takes: texts by their length, arrays by that of their elements, all else 8."""
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(value).cast("long"), F.lit(0)) + 16
+        if isinstance(kind, T.StructType):
+            return sum((of(value[f.name], f.dataType) for f in kind), F.lit(16).cast("long"))
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda a, x: a + of(x, kind.elementType)), F.lit(24).cast("long"))
+        if isinstance(kind, T.MapType):
+            return of(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+        return F.lit(8).cast("long")
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in schema), F.lit(16).cast("long"))
+
+
+def checked_broadcast(few: DataFrame, *, most_rows: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """A side of a join that is meant to be small: given to the tasks if it has FEW_IDS rows and FEW_BYTES bytes at most, else left to a shuffle.
+
+    Rows are counted and measured up to the first limit; the side is computed for that, so give it as a written table where it
+    is dear.
+    """
+    most_rows, most_bytes = FEW_IDS if most_rows is None else most_rows, FEW_BYTES if most_bytes is None else most_bytes
+    held = few.limit(most_rows + 1).agg(F.count("*").alias("rows"), F.sum(width_of(few.schema)).alias("bytes")).first()
+    return F.broadcast(few) if held["rows"] <= most_rows and (held["bytes"] or 0) <= most_bytes else few
 
 
 #: A key with so many rows is hot; what the tasks are given of hot keys has this many bytes at most.

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharfline.shared import materialize
+
+from .packing import packed
+
 # What opens a unit.
 SECTION_MARK = r"^SECTION\s+([0-9]{2} [0-9]{2} [0-9]{2}(?: [0-9]{2} [0-9]{2})?)$"
 PART_MARK = r"^PART\s+([0-9]+)\s+([A-Z].*)$"
@@ -29,8 +33,8 @@ def marked(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", kind).withColumn("mark", mark)
 
 
-def open_path(marked: DataFrame) -> DataFrame:
-    """``marked`` lines with path: the marks of the units open at each line, outermost first, carried over page ends.
+def open_units(marked: DataFrame) -> DataFrame:
+    """``marked`` lines with units: (line, level, mark) of the units open at each line, outermost first, carried over page ends.
 
     A unit is open until one of its level or above opens; a lettered item until any numbered unit does.
     """
@@ -41,8 +45,61 @@ def open_path(marked: DataFrame) -> DataFrame:
     parts: list[Column] = []
     for i in range(len(names)):
         since = F.greatest(F.lit(0), *(F.coalesce(F.col(f"u{j}.line_no"), F.lit(0)) for j in range(i))) if i else F.lit(0)
-        parts.append(F.when(F.col(f"u{i}.line_no") > since, F.col(f"u{i}.mark")))
-    return held.withColumn("path", F.array_compact(F.array(*parts))).drop(*(f"u{i}" for i in range(len(names))))
+        parts.append(F.when(F.col(f"u{i}.line_no") > since, F.struct(F.col(f"u{i}.line_no").alias("line"), F.lit(i).alias("level"), F.col(f"u{i}.mark").alias("mark"))))
+    return held.withColumn("units", F.array_compact(F.array(*parts))).drop(*(f"u{i}" for i in range(len(names))))
+
+
+def open_path(marked: DataFrame) -> DataFrame:
+    """``marked`` lines with path: the marks of the units open at each line."""
+    return open_units(marked).withColumn("path", F.col("units.mark")).drop("units")
+
+
+#: Pieces of a chunk at most; lines before the first unit.
+BUDGET, PREAMBLE = 254, "preamble"
+
+
+def pieces(text: Column) -> Column:
+    """Runs of non-blanks."""
+    return F.size(F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")).cast("long")
+
+
+def ladder_chunks(lines: DataFrame, *, budget: int = BUDGET) -> DataFrame:
+    """(document_id, ordinal, boundary, identifier, pieces, body): chunks of marked-up documents (document_id, line_no, line) within ``budget`` pieces.
+
+    A unit that fits with all it holds is one chunk.  One that doesn't is its own lines, then each unit below it by
+    the same rule; so a line belongs to the outermost of its open units that fits, or else to the innermost one's own
+    lines.  Own lines that don't fit are cut at sentences, packed greedily; a sentence that doesn't fit by itself is a chunk
+    of the class ``over_budget``, for the caller to refuse.  Blank chunks are left out and take no ordinal.
+
+    Sizes are sums by unit, packing takes rounds of jumps, and a row holds the text of one fragment; no document runs
+    through Python.  An empty table and null lines are fine.
+    """
+    found = open_units(marked(lines.withColumn("line", F.coalesce("line", F.lit("")))))
+    preamble = F.array(F.struct(F.lit(0).cast("long").alias("line"), F.lit(-1).alias("level"), F.lit("").alias("mark")))
+    units = F.when(F.size("units") > 0, F.col("units").cast("array<struct<line:bigint,level:int,mark:string>>")).otherwise(preamble)
+    found = materialize(found.select("document_id", F.col("line_no").cast("long").alias("line_no"), "line", pieces(F.col("line")).alias("pieces"), units.alias("units")), "ladder")
+    chain = found.select("document_id", "line_no", "pieces", F.explode("units").alias("u")).select("document_id", "line_no", "pieces", "u.*").withColumnRenamed("line", "unit")
+    sizes = chain.groupBy("document_id", "unit").agg(F.sum("pieces").alias("size"))
+    unit = F.struct("level", "unit", "mark")
+    homes = chain.join(sizes, ["document_id", "unit"]).groupBy("document_id", "line_no").agg(F.min(F.when(F.col("size") <= budget, unit)).alias("whole"), F.max(unit).alias("own"))
+    homes = homes.select("document_id", "line_no", F.coalesce("whole", "own").alias("u"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    fragments = found.join(homes, ["document_id", "line_no"]).groupBy("document_id", "u").agg(F.min("line_no").alias("first"), F.sum("pieces").alias("pieces"), text.alias("body"))
+    level = F.coalesce(*(F.when(F.col("u.level") == i, k) for i, k in enumerate((*LEVELS, "lettered_item"))), F.lit(PREAMBLE))
+    fragments = materialize(fragments.select(F.monotonically_increasing_id().alias("fragment"), "document_id", "first", level.alias("boundary"), F.col("u.mark").alias("identifier"), "pieces", "body"), "fragments")
+    fits = fragments.where(F.col("pieces") <= budget).withColumn("start", F.lit(0).cast("long")).drop("fragment")
+
+    cut = fragments.where(F.col("pieces") > budget).select("fragment", F.filter(F.regexp_extract_all("body", F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s, F.lit(" \n")) != "").alias("s"))
+    cut = materialize(cut.select("fragment", F.posexplode("s").alias("at", "sentence")).select("fragment", (F.col("at") + 1).cast("long").alias("at"), "sentence", pieces(F.col("sentence")).alias("w")), "sentences")
+    packs = packed(cut, key="fragment", at="at", weight="w", budget=budget)
+    members = packs.select("fragment", "start", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).join(cut, ["fragment", "at"])
+    joined = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sentence"))), lambda x: x["sentence"]), ""), F.lit(" \n"))
+    # measured again: a piece that a stop divides counts once in the joined text
+    split = members.groupBy("fragment", "start").agg(joined.alias("body")).withColumn("pieces", pieces(F.col("body")))
+    split = split.join(fragments.select("fragment", "document_id", "first", "identifier"), "fragment").withColumn("boundary", F.when(F.col("pieces") > budget, "over_budget").otherwise("sentence"))
+    chunks = fits.unionByName(split.select(*fits.columns)).where("pieces > 0")
+    ordinal = F.row_number().over(Window.partitionBy("document_id").orderBy("first", "start")) - 1
+    return chunks.select("document_id", ordinal.cast("long").alias("ordinal"), "boundary", "identifier", "pieces", "body")
 
 
 def sentences(texts: DataFrame, *, key: str = "document_id", body: str = "body") -> DataFrame:

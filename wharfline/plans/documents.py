@@ -53,6 +53,50 @@ def structure_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return U.open_path(U.marked(specifications(spark, sf))).select("document_id", "line_no", F.array_join("path", " > ").alias("path"))
 
 
+#: Each text as a specification: its lines under parts, articles, paragraphs and lettered items in turn.
+_LADDER = """body AS (SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS j FROM documents),
+line AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY j, k) AS line_no, line FROM (
+  SELECT document_id, -1 AS j, 0 AS k, 'SECTION 23 52 00' AS line FROM body WHERE j = 0 UNION ALL SELECT document_id, j, 1, line FROM body
+  UNION ALL SELECT document_id, j, 0, CASE j % 4 WHEN 0 THEN 'PART ' || (j // 4 + 1) || ' GENERAL' WHEN 1 THEN (j // 4 + 1) || '.1 SUMMARY' WHEN 2 THEN (j // 4 + 1) || '.1.1 Scope of work' ELSE 'a. First item' END FROM body))"""
+
+
+def ladder_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(document_id, line_no, line) of all documents, with a mark before each of their lines."""
+    raw = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("j", "line"))
+    n = (F.floor(F.col("j") / 4) + 1).cast("string")
+    kind = F.col("j") % 4
+    mark = F.when(kind == 0, F.concat(F.lit("PART "), n, F.lit(" GENERAL"))).when(kind == 1, F.concat(n, F.lit(".1 SUMMARY"))).when(kind == 2, F.concat(n, F.lit(".1.1 Scope of work"))).otherwise("a. First item")
+    head = F.when(F.col("j") == 0, F.array(F.lit("SECTION 23 52 00"), mark, "line")).otherwise(F.array(F.lit(None).cast("string"), mark, "line"))
+    lines = raw.select("document_id", "j", F.posexplode(head).alias("k", "line")).where("k > 0 or j = 0")
+    return lines.select("document_id", (F.col("j") * 2 + F.col("k") + 1).cast("long").alias("line_no"), "line")
+
+
+_CHAIN = ", ".join("CASE WHEN " + (f"i{i} > greatest({', '.join(f'i{j}' for j in range(i))}, 0)" if i else "i0 > 0") + f" THEN {{'level': {i}, 'unit': i{i}, 'mark': m{i}}} END" for i in range(len(_UNITS)))
+_PIECES = "len(list_filter(regexp_split_to_array({}, '[ \\n]+'), lambda w: w <> ''))"
+_CHUNKS = f"""{_MARKED.replace(SPEC, _LADDER)}, held AS (SELECT document_id, line_no, line, {_LAST} FROM marked WINDOW w AS (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+chain AS (SELECT document_id, line_no, line, {_PIECES.format('line')} AS pieces, unnest(list_filter([{_CHAIN}], lambda x: x IS NOT NULL)) AS u FROM held),
+size AS (SELECT document_id, u.unit AS unit, sum(pieces) AS size FROM chain GROUP BY ALL),
+home AS (SELECT document_id, line_no, any_value(line) AS line, any_value(pieces) AS pieces, coalesce(arg_min(u, u.level) FILTER (WHERE size <= {U.BUDGET}), arg_max(u, u.level)) AS u FROM chain JOIN size USING (document_id) WHERE size.unit = u.unit GROUP BY document_id, line_no),
+fragment AS (SELECT row_number() OVER () AS f, * FROM (SELECT document_id, u, min(line_no) AS first, sum(pieces) AS pieces, string_agg(line, chr(10) ORDER BY line_no) AS body FROM home GROUP BY document_id, u)),
+cut AS (SELECT f, s, row_number() OVER (PARTITION BY f ORDER BY i) AS i, {_PIECES.format('s')} AS w FROM (SELECT f, unnest(regexp_extract_all(body, '{U.SENTENCE}')) AS s, generate_subscripts(regexp_extract_all(body, '{U.SENTENCE}'), 1) AS i FROM fragment WHERE pieces > {U.BUDGET}) WHERE trim(s, ' ' || chr(10)) <> ''),
+walk(f, i, start, held) AS (SELECT f, i, i, w FROM cut WHERE i = 1 UNION ALL SELECT c.f, c.i, CASE WHEN held + w > {U.BUDGET} THEN c.i ELSE start END, CASE WHEN held + w > {U.BUDGET} THEN w ELSE held + w END FROM walk JOIN cut c ON c.f = walk.f AND c.i = walk.i + 1),
+split AS (SELECT f, start, {_PIECES.format('body')} AS pieces, body FROM (SELECT f, start, trim(string_agg(s, '' ORDER BY i), ' ' || chr(10)) AS body FROM walk JOIN cut USING (f, i) GROUP BY f, start)),
+chunk AS (SELECT document_id, first, 0 AS start, [{', '.join(f"'{k}'" for k in _UNITS)}][u.level + 1] AS boundary, u.mark AS identifier, pieces, body FROM fragment WHERE pieces <= {U.BUDGET}
+  UNION ALL SELECT document_id, first, start, CASE WHEN split.pieces > {U.BUDGET} THEN 'over_budget' ELSE 'sentence' END, u.mark, split.pieces, split.body FROM split JOIN fragment USING (f))"""
+
+
+@registry.query(f"WITH RECURSIVE {_CHUNKS} SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY first, start) - 1 AS BIGINT) AS ordinal, boundary, identifier, CAST(pieces AS BIGINT) AS pieces, md5(body) AS body_md5 FROM chunk WHERE pieces > 0")
+def ladder_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all documents along the ladder of their units, within the piece budget."""
+    return U.ladder_chunks(ladder_lines(spark, sf)).select("document_id", "ordinal", "boundary", "identifier", "pieces", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
+
+
+@registry.query(f"WITH {_CHUNKS} SELECT boundary, count(*) AS n, CAST(min(pieces) AS BIGINT) AS least, CAST(max(pieces) AS BIGINT) AS most, CAST(sum(pieces) AS BIGINT) AS pieces FROM chunk WHERE pieces > 0 GROUP BY boundary".replace("WITH ", "WITH RECURSIVE ", 1))
+def chunk_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by the class of boundary that ends them, with their pieces."""
+    return U.ladder_chunks(ladder_lines(spark, sf)).groupBy("boundary").agg(F.count("*").alias("n"), F.min("pieces").alias("least"), F.max("pieces").alias("most"), F.sum("pieces").alias("pieces"))
+
+
 @registry.query(f"WITH {_PATHS} SELECT document_id, (line_no - 1) // 5 + 1 AS page, array_to_string(arg_min(path, line_no), ' > ') AS carried, count(*) FILTER (WHERE kind IS NOT NULL) AS opened FROM path GROUP BY document_id, (line_no - 1) // 5")
 def page_structure(spark: SparkSession, sf: str) -> DataFrame:
     """Page by page, the path open at the top of the page and the units that it opens."""

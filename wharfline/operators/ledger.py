@@ -52,3 +52,33 @@ def drain(spool: DataFrame, ledger: DataFrame, *, versions: tuple[int, ...] = (1
     fit = F.col("payload_version").isin(*versions) & F.col("invocation_id").isNotNull() & (F.col("tokens") >= 0)
     fit = F.coalesce(fit, F.lit(False))
     return unseen(spool.where(fit), ledger, ["invocation_id"]), spool.where(~fit)
+
+
+def reconciled(attempted: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
+    """(key, attempted, recorded, verdict) over the rows of two ledgers: counts of both sides for every key of either.
+
+    ``matched``, ``unrecorded`` (more attempts), ``unattempted`` (more records).  Each side is folded by key before they
+    meet; a null key is a key like others.
+    """
+    side = lambda rows, name: rows.groupBy(F.col(key).alias(f"{name}_key")).agg(F.count("*").alias(name))
+    left, right = side(attempted, "attempted"), side(recorded, "recorded")
+    both = left.join(right, F.col("attempted_key").eqNullSafe(F.col("recorded_key")), "full")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("attempted", "recorded")]
+    out = both.select(F.coalesce("attempted_key", "recorded_key").alias(key), *counts)
+    return out.withColumn("verdict", F.when(F.col("attempted") > F.col("recorded"), "unrecorded").when(F.col("attempted") < F.col("recorded"), "unattempted").otherwise("matched"))
+
+
+def scope_proof(members: DataFrame, scoped: DataFrame, key: str) -> DataFrame:
+    """(scope, n, complete): rows of each scope, and whether ``scoped`` (key, scope) puts every one of ``members`` (key) into one scope.
+
+    A member without a scope counts under ``unscoped``, one with several under ``contested``, and a scoped row that is no
+    member under ``unknown``; the partition is complete if there are none of them.
+    """
+    held = scoped.groupBy(F.col(key).alias("k")).agg(F.min("scope").alias("least"), F.max("scope").alias("most"), F.count("*").alias("times"))
+    own = members.select(F.col(key).alias("m")).distinct()
+    present, found = F.col("times").isNotNull(), F.col("is_member")
+    both = own.withColumn("is_member", F.lit(True)).join(held, F.col("m").eqNullSafe(F.col("k")), "full")
+    scope = F.when(found.isNull(), "unknown").when(~present | F.col("least").isNull(), "unscoped").when((F.col("least") != F.col("most")) | (F.col("times") > 1), "contested").otherwise(F.col("least"))
+    counts = both.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"))
+    faults = F.max(F.col("scope").isin("unknown", "unscoped", "contested").cast("int")).over(Window.partitionBy(F.lit(0)))  # a row for each scope
+    return counts.select("scope", "n", (faults == 0).alias("complete"))

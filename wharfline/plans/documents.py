@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions import text
 from wharfline.operators import structure as U
-from wharfline.operators.blocks import similar_forest
+from wharfline.operators.blocks import cause_counts, similar_forest
 from wharfline.operators.components import connected_components
 from wharfline.session import table
 from wharfline.shared import materialize
@@ -146,6 +146,20 @@ def near_duplicate_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.select("floor", (F.col("others") + F.col("clusters")).alias("members"), "clusters")
 
 
+_CAUSES = ("source", "label", "lang")
+_SHARED = "a.source = b.source AND a.lang = b.lang"
+
+
+@registry.query(f"""WITH v AS (SELECT vec_id, label, embedding, source, lang FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+pair AS (SELECT CASE WHEN {_SHARED} THEN 'source' WHEN a.label = b.label THEN 'label' ELSE 'lang' END AS cause, {_CLOSE} AS c FROM v a JOIN v b ON a.vec_id < b.vec_id AND ({_SHARED} OR a.label = b.label OR a.lang = b.lang)),
+f AS (SELECT unnest({list(_FLOORS)}) AS floor) SELECT cause, CAST(floor AS DOUBLE) AS floor, count(*) FILTER (WHERE c >= CAST(floor AS DOUBLE)) AS n FROM pair, f GROUP BY ALL""")
+def near_duplicate_causes(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar pairs at five thresholds by their cause: one source, one label, or else one language."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.concat_ws("/", "lang", "source").alias("source"), "lang")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding").join(docs, "vec_id", "left")
+    return cause_counts(rows, causes=list(_CAUSES), id_col="vec_id", vector="embedding", floors=_FLOORS)
+
+
 _VALUE = "value AS (SELECT l_orderkey AS document_id, CASE l_linenumber WHEN 1 THEN 'document' ELSE 'item' END AS scope, CASE WHEN l_partkey % 20 = 3 THEN NULL ELSE l_linenumber END AS ordinal FROM lineitem)"
 
 

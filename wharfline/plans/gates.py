@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from wharfline.operators import forecast as C
 from wharfline.operators import ingestion as I
 from wharfline.operators.ordinals import sealed
 from wharfline.session import table
+from wharfline.shared import shared_dir
+from wharfline.sources.runs import RunStore
 
 from .frames import LINES, lines, sealed_sql
 from .registry import Registry
@@ -235,3 +240,24 @@ def ground_truth_binding(spark: SparkSession, sf: str) -> DataFrame:
     renamed = s.withColumn("s_name", F.when(F.col("s_nationkey") == 3, F.upper("s_name")).otherwise(F.col("s_name")))
     truth = sealed(renamed, group="s_nationkey", text="s_name").select("s_nationkey", F.col("n").alias("members"), F.col("digest").alias("sealed"))
     return own.join(truth, "s_nationkey").select(F.col("s_nationkey").alias("nation"), "n", ((F.col("n") == F.col("members")) & (F.col("now") == F.col("sealed"))).alias("bound"))
+
+
+#: The five stores of a run: table and key.
+STORES = {"inputs": ("orders", "o_orderkey"), "roster": ("supplier", "s_suppkey"), "training": ("customer", "c_custkey"), "draws": ("part", "p_partkey"), "verdicts": ("nation", "n_nationkey")}
+
+
+def run_store(spark: SparkSession, sf: str) -> RunStore:
+    """A store with an earlier run, of the even keys, and the run in force, of all."""
+    store = RunStore(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+    whole = {name: table(spark, sf, source).select(F.col(key).cast("long").alias("key")) for name, (source, key) in STORES.items()}
+    store.publish({name: df.where("key % 2 = 0") for name, df in whole.items()}, run_id="earlier")
+    store.publish(whole, run_id="current")
+    return store
+
+
+@registry.query(" UNION ALL ".join(f"SELECT '{name}' AS artifact, 'current' AS run_id, count(*) AS n, CAST(sum({key}) AS BIGINT) AS keys FROM {source}" for name, (source, key) in STORES.items()))
+def recorded_run(spark: SparkSession, sf: str) -> DataFrame:
+    """What the run in force holds in each of its five stores, read by the pointer's run id."""
+    found = run_store(spark, sf).recorded(*STORES)
+    parts = [df.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("key").alias("keys")).select(F.lit(name).alias("artifact"), "run_id", "n", "keys") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -120,6 +120,27 @@ def invocation_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     return priced(spark, sf).groupBy("model").agg(F.count("*").alias("recorded"), F.count("a").alias("priced"), (F.count("*") - F.count("a")).alias("unpriced"), F.countDistinct("trace_id").alias("traces"))
 
 
+@registry.query("""WITH a AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id), r AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.n, 0) AS attempted, coalesce(r.n, 0) AS recorded, CASE WHEN coalesce(a.n, 0) > coalesce(r.n, 0) THEN 'unrecorded' WHEN coalesce(a.n, 0) < coalesce(r.n, 0) THEN 'unattempted' ELSE 'matched' END AS verdict FROM a FULL JOIN r ON a.conv_id = r.conv_id""")
+def attempt_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls that each conversation asked for against the answers recorded, from both sides."""
+    c = table(spark, sf, "conversations")
+    return L.reconciled(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id")
+
+
+_SCOPED = "scoped AS (SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'excluded' ELSE 'attempted' END AS scope FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id, 'attempted' FROM labels WHERE toxic = 1)"
+
+
+@registry.query(f"""WITH {_SCOPED}, k AS (SELECT doc_id AS k, min(scope) AS a, max(scope) AS b, count(*) AS n FROM scoped GROUP BY doc_id), m AS (SELECT DISTINCT doc_id AS m FROM documents),
+s AS (SELECT CASE WHEN m IS NULL THEN 'unknown' WHEN n IS NULL THEN 'unscoped' WHEN a <> b OR n > 1 THEN 'contested' ELSE a END AS scope FROM m FULL JOIN k ON m = k)
+SELECT scope, count(*) AS n, count(*) FILTER (WHERE scope IN ('unknown', 'unscoped', 'contested')) OVER () = 0 AS complete FROM s GROUP BY scope""".replace("count(*) FILTER (WHERE scope IN ('unknown', 'unscoped', 'contested')) OVER () = 0", "max(CAST(scope IN ('unknown', 'unscoped', 'contested') AS INTEGER)) OVER () = 0"))
+def extraction_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a rule by source and the labelled list put every document into one scope: some are in none, some in two."""
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rule = d.where("lang <> 'es'").select("doc_id", F.when(F.col("source").isin("src0", "src1"), "excluded").otherwise("attempted").alias("scope"))
+    return L.scope_proof(d, rule.unionByName(labels.where("toxic = 1").select("doc_id", F.lit("attempted").alias("scope"))), "doc_id")
+
+
 # ---------------------------------------------------------------- rules
 
 ALIASES = [("Brand#1", "brand-1"), ("Brand#2", "brand-2"), ("Brand#2", "brand-two"), ("Brand#3", "brand-3")]

@@ -58,6 +58,18 @@ class RunStore:
         return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("run_id") == (run_id or self.active()))
 
 
+    def recorded(self, *names: str) -> dict[str, DataFrame]:
+        """Artifacts of the run in force, each read by a join with the pointer: Spark prunes to that run's folders when it runs.
+
+        The run id is never a literal of the plan, so one plan serves whichever run is active.
+        """
+        top = self._pointers().agg(F.max("version")).first()[0]
+        if top is None:
+            raise LookupError("no active run")
+        pointer = self._pointers().where(F.col("version") == top).select("run_id")  # one row
+        return {n: self.spark.read.parquet(f"{self.root}/{n}").join(F.broadcast(pointer), "run_id") for n in names}
+
+
 def append_unseen(new: DataFrame, path: str, keys: list[str], *, batch: str | None = None) -> int:
     """Insert-if-absent into a Parquet table: appends the rows whose key is not there yet, and returns how many.
 

@@ -44,6 +44,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def folded_label(text: pd.Series) -> pd.Series:
+    """The form that two labels are compared in: composed, case-folded, white space collapsed."""
+    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
+
+
 @F.pandas_udf(T.StringType())
 def uuid5(name: pd.Series) -> pd.Series:
     """Name-based id in the URL namespace."""

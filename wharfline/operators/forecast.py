@@ -139,3 +139,21 @@ def ordered_artifact_digest(rows: DataFrame, *, group: str, ordinal: str, digest
     """
     blocks = rows.groupBy(group, F.floor(F.col(ordinal) / block).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, digest))), lambda s: s[digest]), "\n"), 256).alias("d"))
     return blocks.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n"), 256).alias("artifact"))
+
+
+def shrinkage_intervals(counts: DataFrame, draws: DataFrame, *, level: float = 0.9) -> DataFrame:
+    """``counts`` (member, n) with median, low and high of the weight of a member's own mean over the draws (tau, sigma).
+
+    The weight is n tau^2 / (n tau^2 + sigma^2), nought for a member without rows.  The median is a nearest rank, the
+    interval the narrowest that spans a share ``level`` of the ordered draws, the first of equal ones.  A weight depends on
+    n alone, so each distinct n is solved once; the draws are as many as the sampler's, whatever the rows.
+    """
+    held = draws.agg(F.collect_list(F.struct((F.col("tau") * F.col("tau")).alias("t"), (F.col("sigma") * F.col("sigma")).alias("s"))).alias("draws"))
+    n = F.col("n").cast("double")
+    each = counts.select("n").distinct().crossJoin(F.broadcast(held)).withColumn("rho", F.array_sort(F.transform("draws", lambda d: n * d["t"] / (n * d["t"] + d["s"]))))
+    size, span = F.size("rho"), F.floor(F.size("rho") * F.lit(level)).cast("int")
+    spans = F.transform(F.sequence(F.lit(1), size - span), lambda i: F.struct((F.element_at("rho", i + span) - F.element_at("rho", i)).alias("width"), i.alias("i")))
+    start = F.array_min(spans)["i"]
+    middle = F.element_at("rho", F.ceil(size * 0.5).cast("int"))
+    solved = each.where(size > 0).select("n", middle.alias("median"), F.element_at("rho", start).alias("low"), F.element_at("rho", start + span).alias("high"))
+    return counts.join(solved, "n", "left")

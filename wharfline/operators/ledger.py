@@ -82,3 +82,15 @@ def scope_proof(members: DataFrame, scoped: DataFrame, key: str) -> DataFrame:
     counts = both.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"))
     faults = F.max(F.col("scope").isin("unknown", "unscoped", "contested").cast("int")).over(Window.partitionBy(F.lit(0)))  # a row for each scope
     return counts.select("scope", "n", (faults == 0).alias("complete"))
+
+
+def apportioned(weights: DataFrame, *, stratum: str, weight: str, total: int) -> DataFrame:
+    """(stratum, allotted): ``total`` dealt to the strata by whole weights: floors, one at least, then the largest remainders.
+
+    Equal remainders go to the lesser stratum.  A row for each stratum is all that the window sees.
+    """
+    every = Window.partitionBy(F.lit(0))
+    w = weights.select(stratum, F.col(weight).cast("long").alias("w")).withColumn("declared", F.sum("w").over(every))
+    w = w.withColumn("low", F.greatest(F.lit(1).cast("long"), F.expr(f"w * {total} div declared")))
+    placed = w.withColumn("r", F.row_number().over(every.orderBy(F.desc(F.col("w") * total % F.col("declared")), stratum))).withColumn("missing", total - F.sum("low").over(every))
+    return placed.select(stratum, (F.col("low") + F.when(F.col("r") <= F.col("missing"), 1).otherwise(0)).alias("allotted"))

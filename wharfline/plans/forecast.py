@@ -47,6 +47,21 @@ def effect_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return C.effect_intervals(counts, by_category.select(F.sqrt("between").alias("tau"), F.sqrt("within").alias("sigma")))
 
 
+@registry.query(f"""WITH {LINES}, m AS (SELECT category, vendor, count(*) AS n, avg(ln(1 + CAST(duration AS DOUBLE))) AS mean, var_pop(ln(1 + CAST(duration AS DOUBLE))) AS var FROM line WHERE is_closed GROUP BY ALL), g AS (SELECT category, sum(n * mean) / sum(n) AS grand FROM m GROUP BY category),
+d AS (SELECT sum(n * pow(mean - grand, 2)) / sum(n) AS t, sum(n * var) / sum(n) AS s FROM m JOIN g USING (category) GROUP BY category HAVING sum(n * var) > 0),
+c AS (SELECT vendor, count(*) FILTER (WHERE is_closed) AS n FROM line GROUP BY vendor), r AS (SELECT n, list(n * t / (n * t + s) ORDER BY n * t / (n * t + s)) AS rho FROM (SELECT DISTINCT n FROM c), d GROUP BY n),
+w AS (SELECT n, rho, unnest(range(1, len(rho) - CAST(floor(0.9 * len(rho)) AS BIGINT) + 1)) AS i, CAST(floor(0.9 * len(rho)) AS BIGINT) AS span FROM r),
+b AS (SELECT n, any_value(rho[CAST(ceil(len(rho) * 0.5) AS BIGINT)]) AS median, arg_min(rho[i], (round(rho[i + span] - rho[i], 12), i)) AS low, arg_min(rho[i + span], (round(rho[i + span] - rho[i], 12), i)) AS high FROM w GROUP BY n)
+SELECT vendor, n, round(median, 5) AS median, round(low, 5) AS low, round(high, 5) AS high FROM c JOIN b USING (n)""")
+def shrinkage_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight of each vendor's own mean as median and interval, each category's two variances read as one draw."""
+    known = lines(spark, sf)
+    _, by_category = C.variances(known.where("is_closed"), group="category", member="vendor", days="duration")
+    draws = by_category.where("within > 0").select(F.sqrt("between").alias("tau"), F.sqrt("within").alias("sigma"))
+    out = C.shrinkage_intervals(known.groupBy("vendor").agg(F.count_if("is_closed").alias("n")), draws)
+    return out.select("vendor", "n", *(F.round(c, 5).alias(c) for c in ("median", "low", "high")))
+
+
 @registry.query()
 def draw_byte_digests(spark: SparkSession, sf: str) -> DataFrame:
     """A digest of each vendor's draws as stored doubles; SQL here has no bytes of doubles, a test checks it."""

@@ -199,3 +199,21 @@ def inherited_headings(spark: SparkSession, sf: str) -> DataFrame:
     own = Window.partitionBy("document_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     heading = F.last(F.when(F.length("line") < 20, F.col("line")), ignorenulls=True).over(own)
     return lines.select("document_id", (F.col("p") + 1).cast("long").alias("place"), F.md5("line").alias("line_md5"), heading.alias("heading"))
+
+
+_LABELS = """first AS (SELECT doc_id, array_to_string(string_split(regexp_replace(trim(coalesce(text, ''), ' ' || chr(10)), '[ \n]+', ' ', 'g'), ' ')[1:3], ' ') AS label FROM documents),
+raw AS (SELECT label AS raw FROM first UNION ALL SELECT upper(label) FROM first WHERE doc_id % 2 = 0 UNION ALL SELECT '  ' || replace(label, ' ', '   ') FROM first WHERE doc_id % 3 = 0),
+folded AS (SELECT raw, replace(lower(nfc_normalize(trim(regexp_replace(raw, ' +', ' ', 'g')))), 'ß', 'ss') AS label FROM raw)"""
+
+
+@registry.query(f"WITH {_LABELS} SELECT label, count(*) AS n, count(DISTINCT raw) AS spellings FROM folded GROUP BY label")
+def folded_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The opening words of all documents as labels, some in capitals and some spaced out, by the form in which labels are the same."""
+    words = F.split(F.regexp_replace(F.trim(F.coalesce("text", F.lit("")), F.lit(" \n")), "[ \n]+", " "), " ")
+    first = table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(words, 1, 3), " ").alias("label"))
+    capitals = first.where("doc_id % 2 = 0").select(F.upper("label").alias("raw"))
+    spaced = first.where("doc_id % 3 = 0").select(F.concat(F.lit("  "), F.replace("label", F.lit(" "), F.lit("   "))).alias("raw"))
+    raw = first.select(F.col("label").alias("raw")).unionAll(capitals).unionAll(spaced)
+    # equal spellings are folded once
+    seen = raw.groupBy("raw").agg(F.count("*").alias("n")).withColumn("label", text.folded_label("raw"))
+    return seen.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))

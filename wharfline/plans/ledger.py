@@ -289,20 +289,16 @@ def covariate_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     return V.reconciled(s, "fitted", "derived").select("user_id", F.coalesce("shown", F.lit(-1).cast("long")).alias("shown"), "covariate_state")
 
 
-_WEIGHTS = (35, 28, 22, 18, 15, 13, 12, 12, 11, 10, 8, 5)
+_ALLOTTED = 1_000
 
 
-@registry.query(f"""WITH w AS (SELECT i, w, w * 1000 / 189.0 AS exact, greatest(1, CAST(floor(w * 1000 / 189.0) AS BIGINT)) AS low FROM (VALUES {', '.join(map(str, enumerate(_WEIGHTS)))}) AS t(i, w)), o AS (SELECT *, row_number() OVER (ORDER BY w * 1000 % 189 DESC, i) AS r, 1000 - sum(low) OVER () AS missing FROM w)
-SELECT i AS stratum, CAST(low + CASE WHEN r <= missing THEN 1 ELSE 0 END AS BIGINT) AS allotted FROM o""")
+@registry.query(f"""WITH c AS (SELECT c_nationkey AS stratum, count(*) AS w FROM customer GROUP BY c_nationkey), t AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS declared FROM c), l AS (SELECT *, greatest(1, w * {_ALLOTTED} // declared) AS low FROM t),
+o AS (SELECT *, row_number() OVER (ORDER BY w * {_ALLOTTED} % declared DESC, stratum) AS r, {_ALLOTTED} - sum(low) OVER () AS missing FROM l)
+SELECT stratum, CAST(low + CASE WHEN r <= missing THEN 1 ELSE 0 END AS BIGINT) AS allotted FROM o""")
 def largest_remainder(spark: SparkSession, sf: str) -> DataFrame:
-    """A declared vector scaled to a total exactly: floors, then the largest remainders."""
-    from pyspark.sql import Window
-
-    total, declared = 1000, sum(_WEIGHTS)
-    w = spark.createDataFrame(list(enumerate(_WEIGHTS)), "stratum int, w long").withColumn("low", F.greatest(F.lit(1), F.floor(F.col("w") * total / declared)).cast("long"))
-    every = Window.partitionBy(F.lit(0))  # a dozen strata
-    ranked = w.withColumn("r", F.row_number().over(every.orderBy(F.desc(F.col("w") * total % declared), "stratum"))).withColumn("missing", total - F.sum("low").over(every))
-    return ranked.select("stratum", (F.col("low") + F.when(F.col("r") <= F.col("missing"), 1).otherwise(0)).alias("allotted"))
+    """A sample of a thousand customers dealt to the nations by their numbers of customers."""
+    counts = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("stratum")).agg(F.count("*").alias("w"))
+    return L.apportioned(counts, stratum="stratum", weight="w", total=_ALLOTTED)
 
 
 @registry.query(f"""WITH {LINES}, f AS (SELECT project, min(order_date) AS first_order, count(*) AS n FROM line GROUP BY project) SELECT f.project, first_order, f.n, (SELECT count(*) FROM line WHERE line.project = f.project AND order_date < first_order) AS early FROM f""")

@@ -221,11 +221,26 @@ def stemmed_topk(spark: SparkSession, sf: str) -> DataFrame:
     return X.stemmed_topk(_matches(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@registry.query(f"""WITH {_STEMMED}, own AS (SELECT query_id, chunk_id, wanted, stem, place, k, weight FROM met JOIN asking USING (query_id) JOIN posting USING (chunk_id, stem)),
+_WEIGHTED = f"""{_STEMMED}, own AS (SELECT query_id, chunk_id, wanted, stem, place, k, weight FROM met JOIN asking USING (query_id) JOIN posting USING (chunk_id, stem)),
 one AS (SELECT query_id, chunk_id, (max(weight) + sum(weight / (k * k)) - max(weight) / pow(min(k) FILTER (WHERE weight = top), 2)) / {X.SQUARES} AS score FROM (SELECT *, max(weight) OVER (PARTITION BY query_id, chunk_id) AS top FROM own WHERE wanted = 1) GROUP BY ALL),
 pair AS (SELECT a.query_id, a.chunk_id, abs(a.place - b.place) AS apart, a.weight * b.weight AS w FROM own a JOIN own b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND a.stem < b.stem AND a.place <> b.place),
 several AS (SELECT query_id, chunk_id, 1 - exp(sum(ln(1 - sqrt(w * CASE WHEN apart > {X.FAR} THEN CAST({X.AT_FAR} AS DOUBLE) ELSE 1 / ({X.NEAR} + {X.SLOPE} * exp(apart / {X.SCALE} - {X.SHIFT})) END)))) AS score FROM pair GROUP BY ALL),
-scored AS (SELECT query_id, chunk_id, round(score, 9) AS score FROM one UNION ALL SELECT query_id, chunk_id, round(coalesce(score, 0), 9) FROM (SELECT query_id, chunk_id FROM met WHERE wanted > 1) LEFT JOIN several USING (query_id, chunk_id)) {_BEST.format(X.DEPTH)}""")
+scored AS (SELECT query_id, chunk_id, round(score, 9) AS score FROM one UNION ALL SELECT query_id, chunk_id, round(coalesce(score, 0), 9) FROM (SELECT query_id, chunk_id FROM met WHERE wanted > 1) LEFT JOIN several USING (query_id, chunk_id))"""
+
+
+@registry.query(f"WITH {_WEIGHTED} {_BEST.format(X.DEPTH)}")
 def weighted_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The same passages by the weights of the fields that hold the words and the distances between them."""
     return X.weighted_rank_topk(_matches(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@registry.query(f"""WITH {_WEIGHTED}, {DENSE},
+l AS (SELECT 'v' || query_id AS query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= {R.DEPTH}),
+met_by AS (SELECT query_id, chunk_id, l.rank AS lexical_rank, dense.rank AS dense_rank FROM l FULL JOIN dense USING (query_id, chunk_id)),
+fused AS (SELECT *, round(coalesce(CAST(1.0 AS DOUBLE) / (60 + lexical_rank), 0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + dense_rank), 0), 12) AS score FROM met_by)
+SELECT * FROM (SELECT query_id, chunk_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= {R.DEPTH}""")
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth passage searched for by the stems of its heading and by its vector, both arms fused by rank."""
+    weighted = X.weighted_rank_topk(_matches(spark, sf)).withColumn("query_id", F.concat(F.lit("v"), F.col("query_id").cast("string")))
+    out = R.fuse(weighted, dense(spark, sf))
+    return out.select("query_id", "chunk_id", F.coalesce(F.col("l").cast("long"), F.lit(0)).alias("lexical_rank"), F.coalesce(F.col("d").cast("long"), F.lit(0)).alias("dense_rank"), "score", "rank")

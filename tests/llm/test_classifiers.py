@@ -73,6 +73,37 @@ def test_the_field_is_fitted_as_with_enumerated_marginals(monkeypatch):
     assert np.abs(np.repeat(y, np.diff(at)) - good).mean() < 0.2
 
 
+def test_a_long_text_by_blocks_as_a_whole():
+    rng = random.Random(5)
+    field = quality.Field(np.full(quality.WIDTH, 0.1), np.full(quality.WIDTH, 0.5), np.array([rng.gauss(0, 0.4) for _ in range(quality.WIDTH)]), 0.1, np.array([[0.7, -0.4], [-0.6, 0.9]]))
+    for _ in range(200):
+        lines = [rng.choice(["", "  ", "A b c.", "1 | 2 | 3", "word " * rng.randrange(1, 30), "Ünï !!", "x"]) for _ in range(rng.randrange(0, 40))]
+        text = "\n".join(lines) + rng.choice(["", "\n", "\n\n"])
+        data, offsets = K.buffers(pa.array([text]))
+        x, size, at = quality.line_features(data, offsets)
+        want = float(quality.marginals(field.odds(x), at, field.moves)[0] @ size / size.sum()) if len(x) else 0.0
+        for limit in (1, 7, 40, 300, 10_000):
+            ranges = list(quality.line_blocks(data, limit))
+            assert [b for _, b in ranges[:-1]] == [a for a, _ in ranges[1:]] and (not ranges or (ranges[0][0], ranges[-1][1]) == (0, len(data)))
+            assert all(data[b - 1] == 10 for _, b in ranges[:-1])
+            blocks = [f for _, f, _ in quality.block_features(data, limit)]
+            assert np.array_equal(np.concatenate([np.zeros((0, quality.WIDTH)), *blocks]), x)
+            assert abs(quality.long_score(data, field, limit) - want) < 1e-12
+
+
+def test_texts_longer_than_a_pass_are_scored_and_fitted_alike(spark, monkeypatch):
+    texts = [*TEXTS, "Good words stand here.\n" * 5, "1 | 2 $$ |\n" * 400, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([1] * len(texts)), pa.array(texts)], ["doc_id", "y", "text"])
+    field = quality.Field(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), np.linspace(-1, 1, quality.WIDTH), 0.2, np.array([[0.5, -0.5], [-0.3, 0.3]]))
+    model = type("Model", (), {"value": field})
+    scores = lambda: [v for b in quality._score(model)(iter([batch])) for v in b.column(1).to_pylist()]
+    fitted = lambda: [r for b in quality._featurise(iter([batch])) for r in b.to_pylist()]
+    whole = scores(), fitted()
+    monkeypatch.setattr(K, "PASS_BYTES", 16)
+    monkeypatch.setattr(K, "passes", lambda b, text, _passes=K.passes: _passes(b, text, 16))
+    assert np.allclose(scores(), whole[0], atol=2e-9, rtol=0) and fitted() == whole[1]
+
+
 def test_a_score_does_not_depend_on_what_is_read_beside_it(spark):
     rng = random.Random(1)
     texts = ["\n".join(X.prose(rng, 8) for _ in range(rng.randrange(1, 9))) for _ in range(60)]

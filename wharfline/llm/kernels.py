@@ -1,8 +1,8 @@
 """Vectorised text kernels that run inside Spark tasks.
 
 All functions work on the raw UTF-8 buffer of an Arrow string column, so a batch of
-documents is hashed in a handful of numpy passes and no per-word Python runs.  Memory is
-bounded by ``SEGMENT`` bytes of text at a time, whatever the length of a document.
+documents is hashed in a handful of numpy passes and no per-word Python runs.  Sums of powers are
+held for ``SEGMENT`` bytes at a time; hashes and places of words follow the text given.
 
 A word is a maximal run of characters other than space and 0x09-0x0D; A-Z compare as a-z.
 """

@@ -4,7 +4,8 @@ Each line is good or bad.  Its features describe its characters and words and th
 chain's transitions let neighbours agree.  Labels exist for documents only, so every line of a labelled
 document takes its label when the field is fitted: the transitions learn to stay, and what tells documents of mixed
 lines apart is the features of the lines and their neighbours.  A document's score is the length-weighted mean of the
-forward-backward marginals of its lines.
+forward-backward marginals of its lines.  A long text is scored by blocks of lines with carried vectors; only a single
+line is held as a whole.
 """
 
 from __future__ import annotations
@@ -33,12 +34,11 @@ OWN = CLASSES + 9
 WIDTH = 3 * OWN + 2
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines with words, their lengths in bytes, and the n + 1 offsets of the documents in the lines."""
+def _own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines with words, each by itself, their lengths in bytes, and the n + 1 offsets of the documents in the lines."""
     hashes, starts, ends, _ = K.words(data, offsets, fold=False)
-    none = np.zeros((0, WIDTH)), np.zeros(0), np.zeros(len(offsets), dtype=np.int64)
     if not len(starts):
-        return none
+        return np.zeros((0, OWN)), np.zeros(0), np.zeros(len(offsets), dtype=np.int64)
     bounds = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
     low, high = bounds[:-1], bounds[1:]
     inked = np.searchsorted(starts, low) < np.searchsorted(starts, high)
@@ -68,8 +68,14 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     # words that end in something other than a letter, a digit or common punctuation
     odd = np.concatenate([[0], np.cumsum(np.isin(kinds[ends - 1], (5, 6, 7)))])
     columns.append((odd[last] - odd[first]) / words)
-    own = np.stack(columns, axis=1)
-    at = np.searchsorted(low, offsets)
+    return np.stack(columns, axis=1), size, np.searchsorted(low, offsets)
+
+
+def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines with words, their lengths in bytes, and the n + 1 offsets of the documents in the lines."""
+    own, size, at = _own_features(data, offsets)
+    if not len(own):
+        return np.zeros((0, WIDTH)), size, at
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     edge = np.zeros((len(own), 2))
@@ -80,6 +86,57 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([own, before, after, edge], axis=1), size, at
 
 
+def line_blocks(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole lines of one text, of ``limit`` bytes at most; a longer line is a range of its own."""
+    low = 0
+    while low < len(data):
+        high = min(low + limit, len(data))
+        if high < len(data):
+            breaks = np.flatnonzero(data[low:high] == 10)
+            if len(breaks):
+                high = low + int(breaks[-1]) + 1
+            else:  # on to the end of the line, read in steps of the same length
+                while high < len(data) and not len(breaks):
+                    breaks = np.flatnonzero(data[high : high + limit] == 10)
+                    high = high + int(breaks[0]) + 1 if len(breaks) else min(high + limit, len(data))
+        yield low, high
+        low = high
+
+
+@dataclass
+class Block:
+    """Lines of one text by their bytes, with what stands on either side (None at its ends)."""
+
+    low: int
+    high: int
+    before: np.ndarray | None
+    after: np.ndarray | None = None
+
+    def features(self, own: np.ndarray) -> np.ndarray:
+        none = np.zeros((1, OWN))
+        before = np.concatenate([none if self.before is None else self.before[None], own[:-1]])
+        after = np.concatenate([own[1:], none if self.after is None else self.after[None]])
+        edge = np.zeros((len(own), 2))
+        edge[0, 0], edge[-1, 1] = self.before is None, self.after is None
+        return np.concatenate([own, before, after, edge], axis=1)
+
+
+def block_features(data: np.ndarray, limit: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+    """The blocks of one text that hold words: block, features of its lines, their lengths.  Two blocks are held at a time."""
+    held = None
+    for low, high in line_blocks(data, limit):
+        own, size, _ = _own_features(data[low:high], np.array([0, high - low]))
+        if not len(own):
+            continue
+        before = None
+        if held is not None:
+            held[0].after, before = own[0].copy(), held[1][-1].copy()
+            yield held[0], held[0].features(held[1]), held[2]
+        held = Block(low, high, before), own, size
+    if held is not None:
+        yield held[0], held[0].features(held[1]), held[2]
+
+
 @dataclass
 class Field:
     """Emission weights (the odds of a good line) and the scores of the four transitions, (from, to)."""
@@ -131,6 +188,57 @@ def marginals(odds: np.ndarray, at: np.ndarray, moves: np.ndarray) -> tuple[np.n
     return (p / p.sum(axis=1, keepdims=True))[:, 1], pair
 
 
+def _emitted(odds: np.ndarray) -> tuple[list[float], list[float]]:
+    good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return (1 - good + 1e-300).tolist(), (good + 1e-300).tolist()
+
+
+def _forward(bad: list[float], good: list[float], ahead: tuple[float, float] | None, step: list[list[float]]) -> list[tuple[float, float]]:
+    """Normalised forward vectors of lines, from the one that enters (None at the text's first line)."""
+    (s00, s01), (s10, s11) = step
+    out = []
+    for e0, e1 in zip(bad, good, strict=True):
+        a0, a1 = (e0, e1) if ahead is None else (e0 * (ahead[0] * s00 + ahead[1] * s10), e1 * (ahead[0] * s01 + ahead[1] * s11))
+        ahead = a0 / (a0 + a1), a1 / (a0 + a1)
+        out.append(ahead)
+    return out
+
+
+def long_score(data: np.ndarray, field: Field, limit: int) -> float:
+    """The score of one text (bytes) of any length: the field is run over its blocks of lines.
+
+    Going ahead, only the forward vector that enters each block is kept; going back, a block's features and forward
+    vectors are made again and met by the backward vector carried from the block behind it.  Memory follows
+    ``limit`` (or the longest line), not the text.
+    """
+    step = np.exp(field.moves).tolist()
+    (s00, s01), (s10, s11) = step
+    entered: list[tuple[Block, tuple[float, float] | None]] = []
+    ahead: tuple[float, float] | None = None
+    for block, x, _ in block_features(data, limit):
+        entered.append((block, ahead))
+        if field.constant is not None:
+            return field.constant
+        ahead = _forward(*_emitted(field.odds(x)), ahead, step)[-1]
+    held = total = 0.0
+    b0 = b1 = 1.0
+    behind: tuple[float, float] | None = None
+    for block, ahead in reversed(entered):
+        own, size, _ = _own_features(data[block.low : block.high], np.array([0, block.high - block.low]))
+        bad, good = _emitted(field.odds(block.features(own)))
+        forward = _forward(bad, good, ahead, step)
+        chance = np.zeros(len(own))
+        for i in range(len(own) - 1, -1, -1):
+            if behind is not None:
+                b0, b1 = s00 * behind[0] + s01 * behind[1], s10 * behind[0] + s11 * behind[1]
+                b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
+            p0, p1 = forward[i][0] * b0, forward[i][1] * b1
+            chance[i] = p1 / (p0 + p1)
+            behind = bad[i] * b0, good[i] * b1
+        held, total = held + float(chance @ size), total + float(size.sum())
+    return held / total if total else 0.0
+
+
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray) -> Field:
     """Conditional maximum likelihood (L2-regularised, full-batch Adam from zero: the same data give the same field)."""
     line_y = np.repeat(y, np.diff(at))
@@ -156,10 +264,22 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray) -> Field:
     return Field(mean, scale, theta[:WIDTH], float(theta[WIDTH]), theta[WIDTH + 1 :].reshape(2, 2))
 
 
+def _few_lines(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of one long text's lines and their offsets, of no line once there are more than FIT_LINES."""
+    found, n = [np.zeros((0, WIDTH))], 0
+    for _, x, _ in block_features(data, K.PASS_BYTES):
+        n += len(x)
+        if n > FIT_LINES:
+            return found[0], np.array([0, 0])
+        found.append(x)
+    return np.concatenate(found), np.array([0, n])
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.passes(batch, "text"):
-            x, _, at = line_features(*K.buffers(part.column(2)))
+            data, offsets = K.buffers(part.column(2))
+            x, at = _few_lines(data) if len(data) > K.PASS_BYTES else line_features(data, offsets)[::2]
             keep = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) <= FIT_LINES))
             rows = [np.ascontiguousarray(x[at[d] : at[d + 1]], dtype=np.float32).tobytes() for d in keep]
             index = pa.array(keep)
@@ -181,7 +301,11 @@ def _score(model):
         field = model.value
         for batch in batches:
             for part in K.passes(batch, "text"):
-                x, size, at = line_features(*K.buffers(part.column(part.schema.get_field_index("text"))))
+                data, offsets = K.buffers(part.column(part.schema.get_field_index("text")))
+                if len(data) > K.PASS_BYTES:  # one text
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([round(min(max(long_score(data, field, K.PASS_BYTES), 0.0), 1.0), 9)])], ["doc_id", "score"])
+                    continue
+                x, size, at = line_features(data, offsets)
                 if field.constant is None:
                     good, _ = marginals(field.odds(x), at, field.moves)
                     score = np.zeros(len(at) - 1)

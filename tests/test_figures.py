@@ -2,12 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from wharfline.functions import arrays, stats, text
-from wharfline.operators import forecast, ledger
+from wharfline.operators import forecast, ingestion, ledger
 
 
 def test_intervals_lie_apart(spark):
@@ -58,3 +59,15 @@ def test_labels_that_are_the_same(spark):
     rows = [("Straße  Nr", "strasse nr"), ("STRASSE\tNR\n", "strasse nr"), ("Café", "café"), (" CAFÉ ", "café"), ("", ""), (None, None)]
     got = spark.createDataFrame(rows, "a string, want string").select("want", text.folded_label("a").alias("got")).collect()
     assert all(r["got"] == r["want"] for r in got)
+
+
+def test_multisets_match_each_value_once(spark):
+    rng = random.Random(11)
+    row = lambda: (rng.randrange(5), rng.choice(["a", "b", "c"]), rng.choice(["1", "2", None]))
+    produced, expected = [row() for _ in range(300)], [row() for _ in range(200)]
+    make = lambda rows: spark.createDataFrame(rows, "document_id long, field string, value string")
+    got = {r.field: (r.stored, r.printed, r.matched) for r in ingestion.multiset_counts(make(produced), make(expected), ["document_id", "field", "value"], ["field"]).collect()}
+    common = Counter(r for r in produced if None not in r) & Counter(r for r in expected if None not in r)
+    held = lambda rows, f: sum(r[1] == f for r in rows)
+    assert got == {f: (held(produced, f), held(expected, f), sum(n for r, n in common.items() if r[1] == f)) for f in "abc"}
+    assert not ingestion.multiset_counts(make([]), make([]), ["document_id", "field", "value"], ["field"]).count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -115,12 +116,16 @@ def absences(documents: DataFrame, fields: DataFrame, values: DataFrame, anchors
     return missing.join(anchors.groupBy("document_id").agg(F.min("ordinal").alias("ordinal")), "document_id", "left").withColumn("outcome", F.lit("no_value_found"))
 
 
-def multiset_matches(produced: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected values matched by produced ones, each once."""
-    own = lambda d: Window.partitionBy(*keys).orderBy(d)
-    a = produced.withColumn("k", F.row_number().over(own("value")))
-    b = expected.withColumn("k", F.row_number().over(own("value")))
-    return a.select(*keys, "k").join(b.select(*keys, "k"), [*keys, "k"])
+def multiset_counts(produced: DataFrame, expected: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(by, stored, printed, matched): both sides as multisets over ``keys``, each value matched once at most.
+
+    Both sides are folded to counts by one grouping, partly before the shuffle, so a value repeated any number of
+    times is one cell.  A row with a null key matches nothing and counts on its own side.
+    """
+    side = lambda d, stored: d.select(*keys, F.lit(stored).alias("s"), F.lit(1 - stored).alias("e"))
+    cells = side(produced, 1).unionByName(side(expected, 0)).groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return cells.groupBy(*by).agg(F.sum("s").alias("stored"), F.sum("e").alias("printed"), F.sum(F.when(whole, F.least("s", "e")).otherwise(0)).alias("matched"))
 
 
 def plan_documents(observed: DataFrame, active: DataFrame) -> DataFrame:

@@ -166,12 +166,12 @@ def overlap_shares(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).groupBy("project").agg(F.count("*").alias("n"), share("criticality >= 4 and duration > 60").alias("urgent_and_long"), share("is_closed and quantity < 10").alias("closed_and_small"), share("criticality = 5 or quantity > 45").alias("either"))
 
 
-@registry.query("SELECT event_type AS route, count(*) AS n, max(value) AS worst, round(avg(value), 9) AS mean, quantile_disc(value, 0.95) AS p95, CASE WHEN max(value) <= 99.5 THEN 'within' ELSE 'over' END AS verdict FROM events GROUP BY event_type")
+@registry.query("SELECT event_type AS route, count(*) AS n, max(value) AS worst, round(avg(value), 9) AS mean, quantile_disc(value, 0.95) AS p95, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS peak, CASE WHEN max(value) <= 99.5 AND max(CAST(json_extract_string(props, '$.k') AS BIGINT)) <= 100 THEN 'within' ELSE 'over' END AS verdict FROM events GROUP BY event_type")
 def latency_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Worst, mean and nearest-rank 95th of each route, against a budget."""
+    """Worst, mean and nearest-rank 95th of each route and the peak of what it holds, both against their budgets."""
     e = table(spark, sf, "events").groupBy(F.col("event_type").alias("route"))
-    out = e.agg(F.count("*").alias("n"), F.max("value").alias("worst"), F.round(F.avg("value"), 9).alias("mean"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
-    return out.withColumn("verdict", F.when(F.col("worst") <= 99.5, "within").otherwise("over"))
+    out = e.agg(F.count("*").alias("n"), F.max("value").alias("worst"), F.round(F.avg("value"), 9).alias("mean"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.max(F.get_json_object("props", "$.k").cast("long")).alias("peak"))
+    return out.withColumn("verdict", F.when((F.col("worst") <= 99.5) & (F.col("peak") <= 100), "within").otherwise("over"))
 
 
 @registry.query("""WITH t AS (SELECT 'supplier' AS input, count(*) AS rows, CAST(bit_xor(s_suppkey * 2654435761 % 4294967296) AS BIGINT) AS observed FROM supplier UNION ALL SELECT 'part', count(*), CAST(bit_xor(p_partkey * 2654435761 % 4294967296) AS BIGINT) FROM part UNION ALL SELECT 'orders', count(*), CAST(bit_xor(o_orderkey * 2654435761 % 4294967296) AS BIGINT) FROM orders),

@@ -301,13 +301,20 @@ def largest_remainder(spark: SparkSession, sf: str) -> DataFrame:
     return L.apportioned(counts, stratum="stratum", weight="w", total=_ALLOTTED)
 
 
-@registry.query(f"""WITH {LINES}, f AS (SELECT project, min(order_date) AS first_order, count(*) AS n FROM line GROUP BY project) SELECT f.project, first_order, f.n, (SELECT count(*) FROM line WHERE line.project = f.project AND order_date < first_order) AS early FROM f""")
+@registry.query("""WITH o AS (SELECT o_orderkey, c_mktsegment AS project, CAST(o_orderdate AS DATE) AS ordered FROM orders JOIN customer ON c_custkey = o_custkey), f AS (SELECT project, min(ordered) AS first_order FROM o GROUP BY project),
+s AS (SELECT project, CAST(l_shipdate AS DATE) AS shipped, count(*) AS n FROM lineitem JOIN o ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT project, first_order, CAST(sum(n) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (WHERE shipped < first_order), 0) AS BIGINT) AS early FROM s JOIN f USING (project) GROUP BY ALL""")
 def no_lines_before_the_first_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Each project's first order, its lines, and how many of them are older: none."""
-    own = lines(spark, sf)
-    first = own.groupBy("project").agg(F.min("order_date").alias("first_order"), F.count("*").alias("n"))
-    early = own.join(first.select("project", "first_order"), "project").where(F.col("order_date") < F.col("first_order")).groupBy("project").agg(F.count("*").alias("early"))
-    return first.join(early, "project", "left").withColumn("early", F.coalesce("early", F.lit(0)))
+    """Each project's first order, its shipments as they are stored, and how many of them are dated before that order.
+
+    Shipments are folded to a count for each project and day before they meet the first orders.
+    """
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("project"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.to_date("o_orderdate").alias("ordered")).join(customers, "o_custkey")
+    shipped = table(spark, sf, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("shipped")).join(orders, "l_orderkey").groupBy("project", "shipped").agg(F.count("*").alias("n"))
+    first = orders.groupBy("project").agg(F.min("ordered").alias("first_order"))
+    early = F.sum(F.when(F.col("shipped") < F.col("first_order"), F.col("n")).otherwise(0))
+    return shipped.join(first, "project").groupBy("project", "first_order").agg(F.sum("n").alias("n"), early.alias("early"))
 
 
 @registry.query(f"WITH {LINES} SELECT vendor, 1 - 3 / count(*) AS rule_of_three FROM line WHERE is_closed GROUP BY vendor")

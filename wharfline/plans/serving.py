@@ -83,10 +83,11 @@ def fused_on_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("chunk_id", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("d", F.lit(0)).alias("d"), F.round(stats.rrf_term(F.col("l")) + stats.rrf_term(F.col("d")), 12).alias("score"))
 
 
-@registry.query("WITH e AS (SELECT DISTINCT label % 2 AS model, len(embedding) AS width FROM embeddings) SELECT count(*) AS pairs, count(*) = 1 AS unique_pair FROM (FROM e LIMIT 2)")
+@registry.query("WITH e AS (SELECT DISTINCT abs(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) - 1) < 1e-3 AS unit, len(embedding) AS width FROM embeddings) SELECT count(*) AS pairs, count(*) = 1 AS unique_pair FROM (FROM e LIMIT 2)")
 def distinct_encoder_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether all vectors come from one encoder: two distinct pairs are enough to refuse."""
-    e = table(spark, sf, "embeddings").select((F.col("label") % 2).alias("model"), F.size("embedding").alias("width")).distinct().limit(2)
+    """Whether all vectors come from one encoder, by what tells encoders apart in the vectors (width, unit length or not): two distinct pairs are enough to refuse."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    e = table(spark, sf, "embeddings").select((F.abs(square - 1) < 1e-3).alias("unit"), F.size("embedding").alias("width")).distinct().limit(2)
     return e.agg(F.count("*").alias("pairs"), (F.count("*") == 1).alias("unique_pair"))
 
 
@@ -104,11 +105,11 @@ def excluded_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.orderBy("need_by", "line_id")))
 
 
-@registry.query("WITH k AS (SELECT n_regionkey AS region, count(*) AS n, max(n_nationkey) AS last FROM nation GROUP BY n_regionkey) SELECT count(*) AS rows, count(*) = 1 AS one_row, (SELECT count(*) FROM k WHERE region = 2) = 1 AS filtered_one FROM k")
+@registry.query(f"WITH {LINES}, k AS (SELECT po_number, count(DISTINCT (project, order_date, criticality)) AS n FROM line GROUP BY po_number) SELECT n AS constants, count(*) AS orders, n = 1 AS one_row FROM k GROUP BY n")
 def run_shape(spark: SparkSession, sf: str) -> DataFrame:
-    """Constants of a run must be one row: how many there are, and whether the run's own filter leaves one."""
-    k = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-    return k.agg(F.count("*").alias("rows"), (F.count("*") == 1).alias("one_row"), (F.count_if(F.col("n_regionkey") == 2) == 1).alias("filtered_one"))
+    """What an order's lines share must be one row: orders by the number of distinct rows of it."""
+    k = lines(spark, sf).groupBy("po_number").agg(F.count_distinct("project", "order_date", "criticality").alias("constants"))
+    return k.groupBy("constants").agg(F.count("*").alias("orders")).withColumn("one_row", F.col("constants") == 1)
 
 
 @registry.query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderdate END AS closed_at, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 50000 THEN 'medium' ELSE 'small' END AS size_class, o_orderstatus = 'F' AS is_final FROM orders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions import arrays, stats
 from wharfline.operators import worklist as W
+from wharfline.session import table
 
 from .frames import AS_OF, HORIZON, LINES, POSTERIORS, TODAY, lines, posteriors
 from .registry import Registry
@@ -143,14 +144,15 @@ def override_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return W.override_outcomes(own.select("line_id").unionByName(spark.sql("select 'unknown-1' as line_id")), own, "BUILDING")
 
 
-@registry.query(f"""WITH {LINES}, counts AS (SELECT p.project, count(line.line_id) AS rows FROM (VALUES ('BUILDING'), ('NOWHERE')) AS p(project) LEFT JOIN line ON line.project = p.project AND NOT is_closed GROUP BY p.project)
-SELECT project, rows, CASE WHEN rows = 0 THEN 'empty_filter' WHEN date_diff('day', DATE '{AS_OF}', DATE '{TODAY}') > 7 THEN 'stale' ELSE 'fresh' END AS page_state FROM counts""")
+@registry.query(f"""WITH {LINES}, own AS (SELECT o_custkey, count(*) FILTER (WHERE NOT is_closed) AS rows, max(order_date) AS newest FROM line JOIN orders ON o_orderkey = po_number GROUP BY o_custkey)
+SELECT c_custkey AS customer, coalesce(rows, 0) AS rows, CASE WHEN newest IS NULL THEN 'no_active_run' WHEN rows = 0 THEN 'empty_filter' WHEN date_diff('day', newest, DATE '{AS_OF}') > {W.STALE_AFTER_DAYS} THEN 'stale' ELSE 'fresh' END AS page_state FROM customer LEFT JOIN own ON o_custkey = c_custkey""")
 def worklist_page_states(spark: SparkSession, sf: str) -> DataFrame:
-    asked = spark.sql("select * from values ('BUILDING'), ('NOWHERE') as t(project)")
-    own = lines(spark, sf).where(~F.col("is_closed")).groupBy("project").agg(F.count("*").alias("rows"))
-    out = asked.join(own, "project", "left").select("project", F.coalesce("rows", F.lit(0)).alias("rows"))
-    age = F.datediff(F.lit(TODAY).cast("date"), F.lit(AS_OF).cast("date"))
-    return out.select("project", "rows", W.page_state(F.lit(True), age, F.col("rows")).alias("page_state"))
+    """The state of each customer's page: without known lines there is no run, and its newest order dates it."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("po_number"), F.col("o_custkey").alias("customer"))
+    own = lines(spark, sf).select("po_number", "is_closed", "order_date").join(orders, "po_number").groupBy("customer").agg(F.count_if(~F.col("is_closed")).alias("rows"), F.max("order_date").alias("newest"))
+    out = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer")).join(own, "customer", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    age = F.datediff(F.lit(AS_OF).cast("date"), "newest")
+    return out.select("customer", "rows", W.page_state(F.col("newest").isNotNull(), age, F.col("rows")).alias("page_state"))
 
 
 @registry.query(f"""WITH {SCORED} SELECT sha256(string_agg(line_id, chr(10) ORDER BY rank)) AS digest, count(*) AS n FROM

@@ -200,3 +200,36 @@ def test_a_chain_that_stays_correlated_has_no_effective_size(spark):
     df = spark.createDataFrame(rows, "p string, c int, i int, v double")
     got = {r["p"]: r["ess"] for r in forecast.effective_sizes(df, parameter="p", chain="c", order="i", value="v").collect()}
     assert got["slow"] is None and 1400 < got["fast"] < 3200
+
+
+def _odd_records(spark, n=150):
+    rng = random.Random(9)
+    word = lambda: rng.choice((None, "", "large ring", "hot bolt", "höt bolts", "x" * 300))
+    rows = [(i, i % 2, rng.choice(("m1", "m1", "m2", None)), rng.choice((None, "", f"PN{rng.randrange(40):03d}", f"PN0{rng.randrange(40)}é")), word(), rng.choice((None, "ea", "m"))) for i in range(n)]
+    return spark.createDataFrame(rows, "record_id long, project int, norm_manufacturer string, norm_part string, description string, unit string")
+
+
+@pytest.mark.parametrize("sizes", [(1, 8), (4, 40), (1000, 1000)])
+def test_scores_leave_their_blocks_as_counts(spark, sizes):
+    """Blocks of every size give the scores that all candidates have one by one."""
+    own = _odd_records(spark)
+    by = [*(f"s_{k}" for k in identity.WEIGHTS), "project", "score", "band"]
+    every = identity.scored(identity.candidates(own, prefix=4), own)
+    size = {"chunk_records": sizes[0], "block_records": sizes[1]}
+    assert {tuple(r) for r in identity.score_counts(own, prefix=4, **size).groupBy(*by).agg(F.sum("n")).collect()} == {tuple(r) for r in every.groupBy(*by).count().collect()}
+    for band in ("merge", "withhold", "reject"):
+        got = identity.scored_candidates(own, band, prefix=4, **size).select("a", "b", *by).collect()
+        assert sorted(map(str, got)) == sorted(map(str, every.where(F.col("band") == band).select("a", "b", *by).collect()))
+    parts = own.select("record_id", "project", "norm_manufacturer", "norm_part").collect()
+    want = sum(x[1] == y[1] and x[2] is not None and x[2] == y[2] and x[3] is not None and x[3] == y[3] for x in parts for y in parts if x[0] < y[0])
+    assert identity.score_counts(own, prefix=4, **size).where("exact and s_manufacturer = 1").agg(F.sum("n")).first()[0] == want
+
+
+def test_no_pair_of_a_large_block_is_shuffled(spark):
+    """2,000 records of one manufacturer are 2 million candidates."""
+    own = spark.range(2_000).selectExpr("id as record_id", "0 as project", "'m' as norm_manufacturer", "concat('PN', lpad(cast(id as string), 6, '0')) as norm_part", "'ring' as description", "'ea' as unit")
+    out = identity.score_counts(own, prefix=7, chunk_records=64, block_records=512)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    assert out.agg(F.sum("n")).first()[0] == 2_000 * 1_999 // 2
+    assert out.count() < 100

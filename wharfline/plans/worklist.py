@@ -37,6 +37,10 @@ def scored(spark: SparkSession, sf: str, overrides: DataFrame | None = None, run
     return W.score(W.effective_dates(lines(spark, sf), overrides).drop("is_adjusted"), run, as_of=AS_OF, today=TODAY, horizon=HORIZON)
 
 
+def scored_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf, run=posteriors(spark, sf).where(GAPS))
+
+
 @registry.query(f"WITH {LINES} SELECT project, count(*) AS open_lines FROM line WHERE NOT is_closed GROUP BY project")
 def open_lines_by_project(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).where(~F.col("is_closed")).groupBy("project").agg(F.count("*").alias("open_lines"))
@@ -76,13 +80,13 @@ def worklist_by_criticality(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query(f"WITH {SCORED_WITH_GAPS} SELECT state, is_ranked, count(*) AS n, count(harm) AS with_figures FROM figures GROUP BY state, is_ranked")
 def worklist_states(spark: SparkSession, sf: str) -> DataFrame:
     """Lines in each state, under a run that does not cover all vendors."""
-    return scored(spark, sf, run=posteriors(spark, sf).where(GAPS)).groupBy("state", "is_ranked").agg(F.count("*").alias("n"), F.count("harm").alias("with_figures"))
+    return scored_with_gaps(spark, sf).groupBy("state", "is_ranked").agg(F.count("*").alias("n"), F.count("harm").alias("with_figures"))
 
 
-@registry.query(f"WITH {SCORED} SELECT line_id, effective_need_by, line_id || ' · ' || project AS identifier FROM (SELECT line_id, need_by AS effective_need_by, project FROM figures WHERE NOT is_ranked)")
+@registry.query(f"WITH {SCORED_WITH_GAPS} SELECT line_id, effective_need_by, line_id || ' · ' || project AS identifier FROM (SELECT line_id, need_by AS effective_need_by, project FROM figures WHERE NOT is_ranked)")
 def worklist_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines without figures, beside the ranking."""
-    return scored(spark, sf).where(~F.col("is_ranked")).select("line_id", F.col("need_by").alias("effective_need_by"), F.concat_ws(" · ", "line_id", "project").alias("identifier"))
+    """Lines without figures, beside the ranking: also those of vendors that the run does not cover."""
+    return scored_with_gaps(spark, sf).where(~F.col("is_ranked")).select("line_id", F.col("need_by").alias("effective_need_by"), F.concat_ws(" · ", "line_id", "project").alias("identifier"))
 
 
 _SHOWN = "CASE WHEN w <= 0 THEN '{low}' WHEN w >= 100 THEN '{high}' ELSE {value} || '%' END"

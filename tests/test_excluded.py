@@ -1,7 +1,5 @@
 """Lines without figures and whole logs."""
 
-from pyspark.sql import functions as F
-
 from wharfline.plans import catalog
 
 
@@ -15,3 +13,10 @@ def test_excluded_lines_are_those_of_all_states_without_figures(spark, sf):
 def test_the_first_excluded_lines_are_of_all_excluded(spark, sf):
     every = catalog.queries()["worklist_excluded"](spark, sf).orderBy("effective_need_by", "line_id").limit(100)
     assert [r["line_id"] for r in catalog.queries()["excluded_in_order"](spark, sf).orderBy("rank").collect()] == [r["line_id"] for r in every.collect()]
+
+
+def test_a_long_log_is_one_row(spark, tmp_path):
+    own = spark.range(2_500).selectExpr("id as event_id", "0L as user_id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "concat('t', cast(id as string)) as event_type", "1.0D as value")
+    own.write.parquet(f"{tmp_path}/events.parquet")
+    rows = catalog.queries()["nested_events"](spark, str(tmp_path)).collect()
+    assert [r["n"] for r in rows] == [2_500] and rows[0]["states"] == [f"t{i}" for i in range(2_500)]

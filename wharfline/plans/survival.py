@@ -68,16 +68,11 @@ def running_rework_loops(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("user_id", "seq", F.sum(F.when(F.col("to_state") == "error", 1).otherwise(0)).over(own).alias("loops"))
 
 
-#: Events that one row of a folded log holds.
-LOG_PAGE = 1_000
-
-
-@registry.query(f"""WITH {EVENTS} SELECT user_id, (seq - 1) // {LOG_PAGE} AS page, count(*) AS n, list(to_state ORDER BY seq) AS states FROM log WHERE day <= DATE '{EVENT_AS_OF}' GROUP BY ALL""")
+@registry.query(f"""WITH {EVENTS} SELECT user_id, count(*) AS n, list(to_state ORDER BY seq) AS states FROM log WHERE day <= DATE '{EVENT_AS_OF}' GROUP BY user_id""")
 def nested_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Logs folded into arrays in sequence, up to the anchor; a long log goes on in further rows."""
+    """Logs folded into an array in sequence, up to the anchor; a log is one row, whole."""
     seen = events(spark, sf).where(F.col("day") <= F.lit(EVENT_AS_OF).cast("date"))
-    page = F.floor((F.col("seq") - 1) / LOG_PAGE).alias("page")
-    return seen.groupBy("user_id", page).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "to_state"))), lambda e: e["to_state"]).alias("states"))
+    return seen.groupBy("user_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "to_state"))), lambda e: e["to_state"]).alias("states"))
 
 
 KEY = "sha256('{h}|20260601|0.25|' || project || '|' || po_number || '|' || line_number)"

@@ -98,3 +98,25 @@ def test_a_heavy_place_counts_whole():
     import numpy as np
 
     assert X.weighted_rank([(np.array([3, 9]), np.array([0.1, 1.0]))]) == pytest.approx((1.0 + 0.1 + 0.25 - 0.25) / 1.64493406685)
+
+
+def test_queries_of_the_same_stems_are_searched_once(spark):
+    asked = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (2, "a", 2), (2, "b", 2), (3, "a", 1), (4, "zz", 1)], "query_id long, stem string, wanted long")
+    found = spark.createDataFrame([(10, "a", [1, 9], ["A", "D"]), (10, "b", [2], ["D"]), (11, "a", [4], ["C"]), (12, "b", [1], ["B"])], "chunk_id long, stem string, places array<int>, labels array<string>")
+    once, home = X.alike(asked)
+    assert {r["query_id"] for r in once.collect()} == {1, 3, 4}
+    assert {tuple(r) for r in home.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    for topk in (X.stemmed_topk, X.weighted_rank_topk):
+        got = X.answered(topk(X.matches(found, once)), home)
+        assert sorted(map(str, got.collect())) == sorted(map(str, topk(X.matches(found, asked)).select(*got.columns).collect()))
+        assert {(r["query_id"], r["chunk_id"]) for r in got.collect()} == {(1, 10), (2, 10), (3, 10), (3, 11)}
+
+
+def test_matches_are_not_shuffled(spark):
+    from wharfline.shared import materialize
+
+    asked = spark.range(400).selectExpr("id as query_id", "explode(array('a', 'b')) as stem", "2L as wanted")
+    found = materialize(spark.range(50).selectExpr("id as chunk_id", "explode(array('a', 'b')) as stem", "array(1, 2) as places", "array('A', 'D') as labels"), "postings")
+    met = X.matches(found, asked)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count() == 20_000 and plan.count("Join") == 1

@@ -70,8 +70,8 @@ def chunked(pages: DataFrame, *, budget: int = BUDGET) -> DataFrame:
 
 def body_lines(documents: DataFrame) -> DataFrame:
     """(document_id, line_no, line) of non-blank lines that are not page anchors, numbered anew."""
-    split = documents.select("document_id", F.posexplode(F.split("body", "\n")).alias("at", "line")).where(~T.blank(F.col("line")) & ~F.col("line").rlike(T.PAGE_ANCHOR))
-    return split.select("document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("at")).alias("line_no"), "line")
+    kept = F.filter(F.split("body", "\n"), lambda line: ~T.blank(line) & ~line.rlike(T.PAGE_ANCHOR))
+    return documents.select("document_id", F.posexplode(kept).alias("at", "line")).select("document_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def labelled_values(lines: DataFrame, labels: DataFrame, *, delimiter: str = "item") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wharfline.functions import stats, text
 from wharfline.operators import ingestion as I
 from wharfline.session import table
+from wharfline.shared import dealt
 
 from .registry import Registry
 
@@ -46,8 +47,11 @@ line AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER B
 
 
 def printed(spark: SparkSession, sf: str) -> DataFrame:
-    """(document_id, body): the printed order lines."""
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_partkey").alias("p"))
+    """(document_id, body): the printed order lines.
+
+    Order lines are dealt by order once, in shares of a bounded number of rows; all that follows by document stays in them.
+    """
+    items = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_partkey").alias("p"))
     no, q, even = F.col("l_linenumber").cast("string"), F.col("q").cast("string"), F.col("p") % 2 == 0
     block = F.array_join(
         F.array(

@@ -25,3 +25,10 @@ def test_lines_are_numbered_in_their_row(spark):
     lines = ingestion.body_lines(df)
     assert "Window" not in lines._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in lines.collect()) == [(1, 1, "a"), (1, 2, "b"), (1 << 40, 1, "c")]
+
+
+def test_specifications_are_dealt_once(spark, sf):
+    from wharfline.plans import documents
+
+    plan = documents.page_structure(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

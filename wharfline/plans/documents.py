@@ -10,7 +10,7 @@ from wharfline.operators import structure as U
 from wharfline.operators.blocks import cause_counts, similar_forest
 from wharfline.operators.components import connected_components
 from wharfline.session import table
-from wharfline.shared import materialize
+from wharfline.shared import dealt, materialize
 
 from .registry import Registry
 from .retrieval import _DOT
@@ -27,7 +27,8 @@ CASE WHEN regexp_matches(line, '{U.SECTION_MARK}') THEN regexp_extract(line, '{U
 
 def specifications(spark: SparkSession, sf: str) -> DataFrame:
     """(document_id, line_no, line) of the printed specifications."""
-    raw = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    items = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    raw = items.groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
     n, p = F.col("n").cast("string"), F.col("p")
     head = F.when(F.col("n") % 3 == 1, F.concat(F.lit("SECTION 23 52 "), F.lpad((p % 100).cast("string"), 2, "0"))).otherwise(F.concat(F.lit("SECTION 23 52 00 Page "), n))
     block = [head, F.concat(F.lit("PART "), n, F.lit(" GENERAL")), F.concat(n, F.lit(".1 SUMMARY")), F.concat(n, F.lit(".1."), (p % 9 + 1).cast("string"), F.lit(" Scope of work")), F.lit("a. First item"), F.lit("Body text of the unit."), F.concat(n, F.lit(".1.1.2.1 Deep clause")), F.lit("see para. 1.1.")]

@@ -32,3 +32,31 @@ def test_specifications_are_dealt_once(spark, sf):
 
     plan = documents.page_structure(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_lines_without_an_entity_are_not_gathered(spark, monkeypatch):
+    from wharfline.operators import linedetail
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 250)
+    lines = spark.range(1_000).selectExpr("cast(id as string) as line_id")
+    entities = spark.createDataFrame([("1", 7), ("2", 8), ("3", None), ("1", 8), ("x", 7)], "line_id string, entity_id long")
+    members = spark.createDataFrame([(7,), (7,), (None,), (9,)], "entity_id long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = linedetail.identity_state(lines, entities, members).rdd.glom().collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert max(len(p) for p in got) < 400
+    rows = sorted((r["line_id"], r["state"]) for p in got for r in p)
+    assert len(rows) == 1_001 and [r for r in rows if r[1] != "no_entity"] == [("1", "entity_without_documents"), ("1", "linked"), ("2", "entity_without_documents")]
+
+
+def test_lines_are_dealt_before_they_are_folded(spark, sf, monkeypatch):
+    from wharfline.plans import frames
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    plan = frames.lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(l_orderkey") == 1

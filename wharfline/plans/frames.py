@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wharfline.session import table
+from wharfline.shared import shares
 
 AS_OF, TODAY, HORIZON = "1999-06-30", "1999-07-10", 365
 DRAWS = 100
@@ -19,9 +20,10 @@ DRAWS = 100
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines known at AS_OF: ordered by then, with a shipment not before the order.
 
-    The order is joined before lines are folded, and suppliers, parts and customers are dimensions.
+    Lines are dealt by order once, in shares of a bounded number of rows, then folded and joined with their order in place; suppliers, parts and customers are dimensions.
     """
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("vendor"), F.min("l_partkey").alias("part"), F.max(F.to_date("l_shipdate")).alias("ship_date"), F.sum("l_quantity").alias("quantity"))
+    raw = table(spark, sf, "lineitem")
+    items = raw.repartition(max(shares(raw), spark.sparkContext.defaultParallelism), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("vendor"), F.min("l_partkey").alias("part"), F.max(F.to_date("l_shipdate")).alias("ship_date"), F.sum("l_quantity").alias("quantity"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("criticality"))
     known = items.join(orders, items.l_orderkey == orders.o_orderkey).where((F.col("order_date") <= F.lit(AS_OF).cast("date")) & (F.col("ship_date") >= F.col("order_date")))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("category"))

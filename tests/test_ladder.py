@@ -110,3 +110,19 @@ def test_chunks_along_the_ladder(spark):
         assert sorted(got[d]) == by_descent(lines, 20), d
     assert got[100] == [] and {c for v in got.values() for _, c, *_ in v} >= {"part", "article", "lettered_item", "sentence", "over_budget", "preamble"}
     assert structure.ladder_chunks(df.limit(0)).count() == 0
+
+
+def test_fragments_are_found_in_one_share_of_documents(spark, monkeypatch):
+    plans, real = {}, structure.materialize
+    monkeypatch.setattr(structure, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) and real(df, name))
+    df = spark.range(1_000).selectExpr("id % 10 as document_id", "id div 10 + 1 as line_no", "concat('PART ', id, ' GENERAL') as line")
+    assert structure.ladder_chunks(df, budget=20).count() == 1_000
+    assert set(plans) == {"fragments", "sentences"} and plans["fragments"].count("Exchange ") == 1
+
+
+def test_shares_of_bytes(spark):
+    from wharfline import shared
+
+    df = spark.range(1_000).selectExpr("id as k", "repeat('x', 1000) as t")
+    assert shared.spread(df, "k", task_bytes=100_000).rdd.getNumPartitions() == 11
+    assert shared.spread(df.limit(0), "k").count() == 0

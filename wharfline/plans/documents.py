@@ -89,13 +89,14 @@ chunk AS (SELECT document_id, first, 0 AS start, [{', '.join(f"'{k}'" for k in _
 @registry.query(f"WITH RECURSIVE {_CHUNKS} SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY first, start) - 1 AS BIGINT) AS ordinal, boundary, identifier, CAST(pieces AS BIGINT) AS pieces, md5(body) AS body_md5 FROM chunk WHERE pieces > 0")
 def ladder_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of all documents along the ladder of their units, within the piece budget."""
-    return U.ladder_chunks(ladder_lines(spark, sf)).select("document_id", "ordinal", "boundary", "identifier", "pieces", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
+    digests = U.ladder_cuts(ladder_lines(spark, sf)).withColumn("body", F.md5(F.encode("body", "UTF-8")))
+    return U.numbered(digests).withColumnRenamed("body", "body_md5")
 
 
 @registry.query(f"WITH {_CHUNKS} SELECT boundary, count(*) AS n, CAST(min(pieces) AS BIGINT) AS least, CAST(max(pieces) AS BIGINT) AS most, CAST(sum(pieces) AS BIGINT) AS pieces FROM chunk WHERE pieces > 0 GROUP BY boundary".replace("WITH ", "WITH RECURSIVE ", 1))
 def chunk_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks by the class of boundary that ends them, with their pieces."""
-    return U.ladder_chunks(ladder_lines(spark, sf)).groupBy("boundary").agg(F.count("*").alias("n"), F.min("pieces").alias("least"), F.max("pieces").alias("most"), F.sum("pieces").alias("pieces"))
+    return U.ladder_cuts(ladder_lines(spark, sf)).groupBy("boundary").agg(F.count("*").alias("n"), F.min("pieces").alias("least"), F.max("pieces").alias("most"), F.sum("pieces").alias("pieces"))
 
 
 @registry.query(f"WITH {_PATHS} SELECT document_id, (line_no - 1) // 5 + 1 AS page, array_to_string(arg_min(path, line_no), ' > ') AS carried, count(*) FILTER (WHERE kind IS NOT NULL) AS opened FROM path GROUP BY document_id, (line_no - 1) // 5")

@@ -112,6 +112,22 @@ def test_chunks_along_the_ladder(spark):
     assert structure.ladder_chunks(df.limit(0)).count() == 0
 
 
+def test_rounds_of_packing_are_dealt_in_bounded_shares(spark, monkeypatch):
+    made, real = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: made.append((name, df.rdd.getNumPartitions())) or real(df, name))
+    monkeypatch.setattr("wharfline.shared.TASK_ROWS", 100)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    df = spark.range(1, 3001).selectExpr("id % 7 as k", "(id - 1) div 7 + 1 as i", "7L as w")
+    try:
+        for k, v in zip(held, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        assert packing.packed(df, key="k", at="i", weight="w", budget=20).count() == 4 * len(greedy([7] * 429, 20)) + 3 * len(greedy([7] * 428, 20))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {n for name, n in made if name in ("packs", "marks", "hops")} == {30}
+
+
 def test_fragments_are_found_in_one_share_of_documents(spark, monkeypatch):
     plans, real = {}, structure.materialize
     monkeypatch.setattr(structure, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) and real(df, name))

@@ -120,3 +120,51 @@ def test_matches_are_not_shuffled(spark):
     met = X.matches(found, asked)
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert met.count() == 20_000 and plan.count("Join") == 1
+
+
+def searched(rng, n):
+    words = ["pump", "pumps", "valve", "valves", "seal", "steel", "the", "of"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(4))) or None, " ".join(rng.choices(words, k=rng.randrange(60)))) for i in range(n)]
+    # copies of one score, an id on three rows, a posting beyond its most places, places beyond the last
+    rows += [(1000 + i, None, "steel valve") for i in range(9)] + [(7, "steel pump", "seal " * 200), (7, None, "valve seal " * 150), (n + 1, "x", "pump seal " * 300), (n + 2, None, "x " * 16_380 + "pump valve seal steel"), (n + 3, "", None), (None, None, "pump valve")]
+    asked = [(1, ["pump"]), (2, ["pump", "valv"]), (3, ["seal", "steel", "valv"]), (4, ["absent", "pump"]), (5, ["seal", "steel"]), (6, ["steel", "valv"])]
+    return rows, [(q, s, len(stems)) for q, stems in asked for s in stems]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_PLACES": 300, "TASK_SETS": 2, "FEW_BYTES": 100}])
+def test_blocks_have_the_ranks_of_all_matches(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(X, name, value)
+    rows, asked = searched(random.Random(4), 80)
+    chunks = spark.createDataFrame(rows, "chunk_id long, h string, b string").repartition(3)
+    asked = spark.createDataFrame(asked, "query_id long, stem string, wanted long")
+    fields = {"A": "h", "D": "b"}
+    for k in (5, 1000):
+        got = X.weighted_rank_best(chunks, fields, asked, k)
+        want = X.weighted_rank_topk(X.matches(X.postings(chunks, fields, asked.select("stem")), asked), k)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("query_id = 3").count() > 20 and got.where("chunk_id is null").count() > 0
+    assert X.weighted_rank_best(chunks.limit(0), fields, asked).count() == 0
+    assert X.weighted_rank_best(chunks, fields, asked.limit(0)).count() == 0
+
+
+def test_pairs_of_places_are_held_in_shares(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [[sorted(rng.sample(range(1, 400), 60)) for _ in "ab"] for _ in range(5)]
+    at = [[p << 2 | rng.randrange(4) for stem in row for p in stem] for row in rows]
+    block = X.Block(pa.array(range(5)), pa.array([[0, 1]] * 5), pa.array([[60, 60]] * 5), pa.array(at), 2)
+    whole = block.ranks([0, 1])
+    monkeypatch.setattr(X, "HELD_PAIRS", 700)
+    for got in (whole, block.ranks([1, 0])):
+        assert got[0].tolist() == list(range(5))
+        assert got[1] == pytest.approx([by_pairs([[(v >> 2, "ABCD"[v & 3]) for v in x] for x in (row[:60], row[60:])]) for row in at], abs=1e-12)
+    assert np.allclose(block.ranks([0])[1], [X.weighted_rank([(np.array(row[:60]) >> 2, X._WEIGHT[np.array(row[:60]) & 3])]) for row in at], atol=1e-12)
+
+
+def test_no_row_for_a_match(spark, sf):
+    from wharfline.plans import retrieval
+
+    assert "explode" not in retrieval.weighted_rank_topk(spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -99,6 +99,24 @@ def test_dense_blocks_as_brute_force(spark):
     assert got == {(str(i), r + 1): int(c) for i in range(0, 300, 50) for r, c in enumerate(np.argsort(1 - unit[i] @ unit.T)[:7])}
 
 
+def test_dense_ties_and_copies_of_a_side(spark):
+    import re
+
+    rng = random.Random(1)
+    kinds = [[1.0, 0.0], [0.0, 0.0], [0.6, 0.8], [0.0, 1.0]]
+    rows = [(i, kinds[rng.randrange(4)]) for i in range(5000)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(4)
+    q = df.where("chunk_id < 600").selectExpr("concat('q', chunk_id) as query_id", "embedding")
+    out = retrieval.dense_topk(df, q, 3)
+    first = {tuple(kind): sorted((round(1 - sum(x * y for x, y in zip(kind, v, strict=True)), 6), i) for i, v in rows)[:3] for kind in kinds}
+    got = {(r["query_id"], r["rank"]): (round(r["score"], 6), r["chunk_id"]) for r in out.collect()}
+    assert got == {(f"q{i}", r + 1): (pytest.approx(d, abs=1e-6), c) for i, v in rows[:600] for r, (d, c) in enumerate(first[tuple(v)])}
+    # one block of queries and one of chunks, so a vector is dealt once
+    assert re.findall(r"pmod\(xxhash64\([^)]*\), (\d+)\)", out._jdf.queryExecution().optimizedPlan().toString()) == ["1", "1"]
+    with pytest.raises(Exception, match="one width"):
+        retrieval.dense_topk(df.unionByName(spark.createDataFrame([(9000, [1.0])], df.schema)), q, 3).collect()
+
+
 def test_credentials_are_redacted_at_any_depth(spark):
     key = "sk-ant-" + "a1B2" * 5
     body = spark.sql(f"select named_struct('a', '{key}', 'b', array('x', '{key}!'), '{key}', 'short sk-ant-abc', 'own', 'k3y') as p").select(text.redacted_leaves(F.col("p"), "k3y").alias("t")).first()["t"]

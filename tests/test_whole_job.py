@@ -111,8 +111,8 @@ def test_dense_ties_and_copies_of_a_side(spark):
     first = {tuple(kind): sorted((round(1 - sum(x * y for x, y in zip(kind, v, strict=True)), 6), i) for i, v in rows)[:3] for kind in kinds}
     got = {(r["query_id"], r["rank"]): (round(r["score"], 6), r["chunk_id"]) for r in out.collect()}
     assert got == {(f"q{i}", r + 1): (pytest.approx(d, abs=1e-6), c) for i, v in rows[:600] for r, (d, c) in enumerate(first[tuple(v)])}
-    # one block of queries and one of chunks, so a vector is dealt once
-    assert re.findall(r"pmod\(xxhash64\([^)]*\), (\d+)\)", out._jdf.queryExecution().optimizedPlan().toString()) == ["1", "1"]
+    # one block of queries and two of chunks: a chunk is dealt once
+    assert re.findall(r"pmod\(xxhash64\([^)]*\), (\d+)\)", out._jdf.queryExecution().optimizedPlan().toString()) == ["1", "2"]
     with pytest.raises(Exception, match="one width"):
         retrieval.dense_topk(df.unionByName(spark.createDataFrame([(9000, [1.0])], df.schema)), q, 3).collect()
 
